@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import knn
+from . import knn, licenses
 from .bpe import op5_bpe
 from .knn import op6_voronoi_topk
 from .language import op3_language_id
+from .licenses import op7_license_scan
+from .pages import op8_html_extraction
 from .sharding import op10_hilbert_sharding
 from .toxicity import op2_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op3_language_id, op5_bpe, op6_voronoi_topk, op10_hilbert_sharding)}
+    return {f.__name__: f for f in (op2_toxicity, op3_language_id, op5_bpe, op6_voronoi_topk, op7_license_scan, op8_html_extraction, op10_hilbert_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_voronoi_topk": knn.ORACLE_SQL}
+    return {"op6_voronoi_topk": knn.ORACLE_SQL, "op7_license_scan": licenses.ORACLE_SQL}
