@@ -92,13 +92,13 @@ class Words:
         """The row of each word."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the `size` words from each word on, and whether they all belong to its row."""
+    def windows(self, size: int, step: int = _STEP) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of the `size` words from each word on, and whether they all belong to its row. Other odd steps give other hashes."""
         h, n = self.hashes, len(self.hashes)
         out = np.zeros(n, dtype=_U)
         for k in range(size):
             if k < n:
-                out[: n - k] += h[k:] * _U(pow(_STEP, k, 1 << 64))
+                out[: n - k] += h[k:] * _U(pow(step, k, 1 << 64))
         last = np.repeat(self.first[1:], self.counts())
         return mix(out + _U(size)), np.arange(n) + size <= last
 
