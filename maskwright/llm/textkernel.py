@@ -102,6 +102,14 @@ class Words:
         last = np.repeat(self.first[1:], self.counts())
         return mix(out + _U(size)), np.arange(n) + size <= last
 
+    def sequences(self) -> np.ndarray:
+        """Hash of all words of each row."""
+        n = len(self.hashes)
+        sums = np.zeros(n + 1, dtype=_U)
+        np.cumsum(self.hashes * _power(_BASE, n), out=sums[1:])
+        a, b = self.first[:-1], self.first[1:]
+        return mix((sums[b] - sums[a]) * _power(_BASE_INV, n + 1)[a] + (b - a).astype(_U))
+
     def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, hash) of every word shingle; rows of fewer words have one of all their words, empty rows none."""
         row, (h, ok) = self.rows(), self.windows(size)
