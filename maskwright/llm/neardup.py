@@ -35,7 +35,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 SKETCH = 64
 SMALL = 64
-DEPTH = 3
+DEPTH = 2
 RECALL = 0.9999
 BLOCK = 256
 BUNDLE = 4000
@@ -210,9 +210,12 @@ def candidate_edges(nodes: DataFrame, threshold: float, recall: float) -> DataFr
 
 
 def _large_edges(paths: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """Edges within buckets of more than SMALL nodes: of all nodes to one, and of the nodes unlike it to all."""
+    """Edges within buckets of more than SMALL nodes: of all nodes to one, and of the nodes unlike it to all.
+
+    The one is the least node, which overlapping buckets share, so that their edges are the same.
+    """
     sketch = nodes.select("node", "sketch")
-    heads = paths.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), "node")).alias("h")).select("bucket", F.col("h.node").alias("head"))
+    heads = paths.groupBy("bucket").agg(F.min("node").alias("head"))
     heads, _ = written(heads.join(sketch.select(F.col("node").alias("head"), F.col("sketch").alias("head_sketch")), "head"), "heads")
 
     def compared(batches):
@@ -223,16 +226,14 @@ def _large_edges(paths: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
 
     stars = paths.join(heads, "bucket").join(sketch, "node").select("bucket", "node", "head", "sketch", "head_sketch")
     stars, _ = written(stars.mapInArrow(compared, "bucket long, node long, head long, same boolean"), "stars")
-    edges = stars.where("same and node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    odd = stars.where("not same").groupBy("bucket").agg(F.count(F.lit(1)).alias("odd"))
+    edges = stars.where("same and node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    odd = stars.groupBy("bucket").agg(F.count_if(~F.col("same")).alias("odd"), F.count(F.lit(1)).alias("n_all")).where("odd > 0")
     odd, _ = written(odd, "odd")
     if not odd.limit(1).count():
         return edges
     blocks = F.ceil(F.col("odd") / F.lit(BLOCK)).cast("int")
-    rows = stars.join(odd, "bucket")
     parts = F.ceil(F.col("n_all") / F.lit(4 * BLOCK)).cast("int")
-    sizes = stars.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_all"))
-    rows = rows.join(sizes, "bucket")
+    rows = stars.join(odd, "bucket")
     all_rows = rows.select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(F.xxhash64("node", F.lit(1)), parts).cast("int").alias("part"), "node", F.lit(False).alias("odd"))
     one = rows.where("not same").select("bucket", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "node", F.lit(True).alias("odd"))
 
