@@ -13,7 +13,7 @@ PAGE = """<title> My  page </title><body><h1>Profile</h1><label for=n>Full name<
 def test_scan():
     got = dom.scan(PAGE)
     assert got["title"] == "My page"
-    assert [(e["vid"], e["role"], e["label"], e["value"], e["hasValue"]) for e in got["elements"]] == [(1, "textbox", "Full name", "Ananya Rao", True), (2, "password", "PIN", "", True), (3, "combobox", "c", "B c", True), (4, "button", "Go on", "", False), (5, "link", "Home", "", False)]
+    assert [(e["vid"], e["role"], e["label"], e["value"], e["hasValue"]) for e in got["elements"]] == [(1, "textbox", "Full name", "Ananya Rao", True), (2, "password", "PIN", "", True), (3, "combobox", "My page", "B c", True), (4, "button", "Go on", "", False), (5, "link", "Home", "", False)]
     assert [(r["vid"], r["kind"], r["alt"]) for r in got["rasters"]] == [(6, "img", "Home"), (7, "img", "Photo of me")]
     assert ("12-08-1999", "Date of birth") in [(t["text"].strip(), t["prev_label"]) for t in got["texts"]]
     assert not any("gone" in t["text"] or "no" == t["text"] for t in got["texts"])
