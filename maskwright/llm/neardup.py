@@ -38,7 +38,7 @@ SMALL = 64
 DEPTH = 2
 RECALL = 0.9999
 BLOCK = 256
-BUNDLE = 4000
+BUNDLE = 1000
 NO_ID = -(1 << 63)
 _rng = np.random.default_rng(20_210)
 _MUL = _rng.integers(1, 1 << 31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -307,7 +307,8 @@ def _verified(docs: DataFrame, members: DataFrame, bundles: int, threshold: floa
                 part = batch.slice(lo, hi - lo).take(pa.array(ok))
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([h[at[k] : at[k + 1]].tobytes() for k in ok], pa.binary())], names=["node", "label", "size", "copies", "shingles"])
 
-    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text").join(members, "id").select("node", "label", "size", "copies", "id", "text")
+    # members grow with the corpus, so both sides are dealt by id at every size
+    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text").join(members.hint("merge"), "id").select("node", "label", "size", "copies", "id", "text")
     sets = texts.mapInArrow(shingled, "node long, label long, size long, copies long, shingles binary").dropDuplicates(["node"])
     sets, _ = written(sets, "sets")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
