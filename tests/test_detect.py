@@ -69,3 +69,18 @@ def test_redact(spark):
 
 def test_clean_terms(spark):
     assert spark.createDataFrame([(" Acme , ab,Acme\nZeta ",)], "t string").select(D.clean_terms(F.col("t")).alias("v")).first().v == ["Acme", "Zeta"]
+
+
+def test_spans_from_sql(spark):
+    from maskwright.functions.udtf import pii_spans
+
+    spark.createDataFrame([(1, "to ab@cd.in"), (2, None)], "id int, text string").createOrReplaceTempView("mails")
+    assert [(r.id, r.cls, r.value, r.start) for r in pii_spans(spark, "mails", "id").collect()] == [(1, "EMAIL", "ab@cd.in", 3)]
+
+
+def test_long_runs_are_read_once(spark):
+    import time
+
+    began = time.time()
+    assert spans(spark, "x" * 300_000 + " @ " + "y" * 300_000 + "@cd.in", lambda t: D.pattern_spans(t, "EMAIL"))[0][3] == 300_003
+    assert time.time() - began < 30
