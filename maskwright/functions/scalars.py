@@ -306,3 +306,14 @@ def in_frame(m: Column, width: Column, height: Column) -> Column:
 def visible(b: Column, width: Column, height: Column) -> Column:
     """More than one pixel each way, and within the viewport."""
     return (b["x1"] - b["x0"] > 1) & (b["y1"] - b["y0"] > 1) & (b["y1"] > 0) & (b["x1"] > 0) & (b["y0"] < height) & (b["x0"] < width)
+
+
+def masks_opaque(pixels: Column) -> Column:
+    """Whether all masks cover: pixels is array<array<int>>, an RGB sample under each mask. False for a null sample."""
+    dark = lambda p: F.coalesce((F.get(p, F.lit(0)) <= 16) & (F.get(p, F.lit(1)) <= 16) & (F.get(p, F.lit(2)) <= 16), F.lit(False))
+    return F.coalesce(F.forall(pixels, dark), F.lit(False))
+
+
+def total_ms(timings: Column) -> Column:
+    """Sum of a map of stage timings."""
+    return F.aggregate(F.map_values(timings), F.lit(0).cast("long"), lambda a, v: a + F.coalesce(v, F.lit(0)).cast("long"))

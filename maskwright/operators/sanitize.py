@@ -73,7 +73,7 @@ def sanitize(snapshots: DataFrame, vision: DataFrame, known: DataFrame | None =
     """(screens, vault). snapshots: snapshot_id, source, url, title, viewport, elements, texts, rasters as scanned;
     vision: snapshot_id, key, ok, faces, codes, lines.
 
-    A screen has origin, path_template, title, state, viewport, elements, texts and masks; no value of a field leaves
+    A screen has origin, path_template, title, state, viewport, elements, texts, masks and marks; no value of a field leaves
     but as its placeholder. Images whose result failed or is missing are masked whole.
     """
     base = snapshots.select("snapshot_id", "source")
@@ -168,7 +168,8 @@ def sanitize(snapshots: DataFrame, vision: DataFrame, known: DataFrame | None =
     titles = clean.where("part = 'title'").select("snapshot_id", F.col("clean").alias("title"))
     out = base.select("snapshot_id").join(url, "snapshot_id").join(titles, "snapshot_id").join(snapshot_state(snapshots).select("snapshot_id", "state", "viewport"), "snapshot_id")
     out = out.join(all_elements, "snapshot_id", "left").join(all_texts, "snapshot_id", "left").join(masks, "snapshot_id", "left")
-    return out.select("snapshot_id", "u.origin", "u.path_template", "title", "state", "viewport", "elements", "texts", "masks"), vault
+    marks = F.transform(F.filter("elements", lambda x: x["role"].isin(X.MARK_ROLES)), lambda x: F.struct(x["id"].alias("id"), x["bbox"].alias("bbox")))
+    return out.select("snapshot_id", "u.origin", "u.path_template", "title", "state", "viewport", "elements", "texts", "masks", marks.alias("marks")), vault
 
 
 ELEMENT = [

@@ -86,3 +86,10 @@ def test_blanked_tokens_keep_offsets(spark):
 def test_irreversible_lists_differ(spark):
     assert one(spark, S.irreversible(F.lit("Make payment"), "client")) and not one(spark, S.irreversible(F.lit("Make payment"), "server"))
     assert one(spark, S.irreversible(F.lit("Apply"), "server")) and not one(spark, S.irreversible(F.lit("Apply"), "client"))
+
+
+def test_masks_and_timings(spark):
+    assert one(spark, S.masks_opaque(F.array(F.array(F.lit(0), F.lit(16), F.lit(3))))) is True
+    assert one(spark, S.masks_opaque(F.array(F.array(F.lit(0), F.lit(17), F.lit(3))))) is False
+    assert one(spark, S.masks_opaque(F.lit(None).cast("array<array<int>>"))) is False
+    assert one(spark, S.total_ms(F.create_map(F.lit("a"), F.lit(3), F.lit("b"), F.lit(4)))) == 7

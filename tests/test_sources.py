@@ -48,6 +48,7 @@ def test_sanitize(spark):
     assert by[7].label == "Photo of ⟦NAME_1⟧" and by[7].masked and by[9].masked
     assert {m.label for m in s.masks} >= {"⟦NAME_1⟧", "⟦EMAIL_1⟧", "⟦SECRET_1⟧", "REDACTED", "⟦FACE_1⟧", "IMAGE"}
     assert "secret" not in str(vault.collect()) and {r.value for r in vault.where("cls = 'SECRET'").collect()} == {""}
+    assert [m.id for m in s.marks] == [1, 2, 3, 4, 5, 6]
     again, more = sanitize(snapshot(spark), none, vault)
     assert {e.value for e in again.first().elements} == {e.value for e in s.elements} and more.count() == vault.count()
 
@@ -169,3 +170,26 @@ def test_strict_schema(spark):
 
 def test_settings():
     assert wire.read_settings({"paranoid": True}, {"terms": ["a"]}) == {"serverUrl": "http://localhost:8000", "terms": ["a"], "paranoid": True}
+
+
+def test_images_as_rows(spark, tmp_path):
+    from maskwright.sources import images
+
+    img = np.random.default_rng(1).integers(0, 256, (4, 6, 4), dtype=np.uint8)
+    (tmp_path / "a.png").write_bytes(png.encode_png(img))
+    (tmp_path / "b.png").write_bytes(b"no image")
+    rows = images.read_images(spark, str(tmp_path))
+    got = {r.path[-5:]: (r.width, r.height, r.rgba) for r in images.decoded(rows).collect()}
+    assert got == {"a.png": (6, 4, bytearray(img.tobytes())), "b.png": (None, None, None)}
+    assert all(r.u.startswith("data:image/png;base64,") for r in rows.select(images.data_url(F.col("png")).alias("u")).collect())
+
+
+def test_failed_vision_rows(spark):
+    rows = spark.createDataFrame([("p", "k", bytearray(png.encode_png(np.full((9, 9, 4), 255, np.uint8))), True), ("p", "l", bytearray(b"x"), False)], "snapshot_id string, key string, png binary, analysed boolean")
+    assert {r.key: (r.ok, r.error) for r in vision.analyse(rows).collect()} == {"k": (False, "models unavailable"), "l": (False, "too many images on screen")}
+
+    def models():
+        heads = {f"{n}_{s}": np.zeros((vision.FACE_SIDE // s) ** 2 * (4 if n == "bbox" else 1)) for s in vision.FACE_STRIDES for n in ("cls", "obj", "bbox")}
+        return {"faces": lambda x: heads, "detect": lambda x: np.zeros((1, 1, *x.shape[2:])), "recognise": None, "keys": []}
+
+    assert [(r.ok, r.faces, r.lines) for r in vision.analyse(rows.where("key = 'k'"), models).collect()] == [(True, [], [])]

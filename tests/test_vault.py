@@ -55,3 +55,15 @@ def test_numbering_spans_partitions(spark):
     got = numbered(rows, "g", ["o"], "n").toPandas()
     for _, part in got.groupby("g"):
         assert part.sort_values("o").n.tolist() == list(range(1, len(part) + 1))
+
+
+def test_running_state(spark, tmp_path):
+    from maskwright.streaming import vaults
+
+    for k, rows in enumerate(([("NAME", "Ravi"), ("EMAIL", "a@b.in")], [("NAME", "Asha"), ("NAME", "ravi")])):
+        sightings(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("cls string, value string, source string, valid boolean, ord int").parquet(str(tmp_path / "in"))
+        vaults.keep_vault(stream, str(tmp_path / "vault"), str(tmp_path / "cp")).awaitTermination()
+        assert vaults.vault_version(spark, str(tmp_path / "vault")).count() == (2, 3)[k]
+    assert tokens(vaults.vault_version(spark, str(tmp_path / "vault"))) == {"ravi": "⟦NAME_1⟧", "a@b.in": "⟦EMAIL_1⟧", "asha": "⟦NAME_2⟧"}
+    assert vaults.vault_version(spark, str(tmp_path / "none")) is None
