@@ -38,3 +38,8 @@ def shuffles_released(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of frames that nothing refers to any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def cleared(spark: SparkSession) -> None:
+    """Deletes all written tables, once no frame that reads them is needed any more."""
+    dropped(spark, f"{shared_dir(spark)}/maskwright")

@@ -37,6 +37,7 @@ from .textkernel import Words, arrow_bytes
 
 WINDOW = 13
 BATCH_BYTES = 8 << 20
+MANY_BATCHES = 20_000
 _CHECK_STEP = 0x9FB21C651E98DF25
 
 
@@ -197,6 +198,8 @@ def deduped(docs: DataFrame, window: int = WINDOW, carry: list[str] | None = Non
     spark = docs.sparkSession
     total = int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # each batch sends a message to each partition: past MANY_BATCHES, batches grow first, 16 times at most
+    batch_bytes = max(batch_bytes, min(16 * batch_bytes, total // MANY_BATCHES))
     n_batches = max(1, math.ceil(total / batch_bytes), min(wide, total // (batch_bytes // 8)))
     bits = max(0, (n_batches - 1).bit_length())
     bounds = []
