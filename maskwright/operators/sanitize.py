@@ -15,6 +15,7 @@ from ..functions import fixed as X
 from ..functions import scalars as S
 from . import detect as D
 from .geometry import left_label_class, left_labels, raster_vision
+from .ranking import durable
 from .vault import build_vault, dictionary, secret_slot, vault_key
 
 
@@ -88,7 +89,9 @@ def sanitize(snapshots: DataFrame, vision: DataFrame, known: DataFrame | None =
     el = el.withColumn("whole_value", F.when(F.col("kind") == "secret", slot).when(F.col("kind") == "field", F.col("e.value")))
 
     rasters = raster_vision(snapshots.select("snapshot_id", "source", F.explode("rasters").alias("r")).select("snapshot_id", "source", "r.vid", "r.kind", "r.alt", S.box_from(F.col("r.bbox")).alias("bbox")), vision)
-    lines = image_lines(rasters)
+    # what several later steps read is written once
+    rasters = durable(rasters)
+    lines = durable(image_lines(rasters))
     tx = snapshots.select("snapshot_id", "source", F.explode("texts").alias("t"))
 
     # strings: snapshot_id, source, part, vid, sub, text, spans, ord
@@ -114,7 +117,7 @@ def sanitize(snapshots: DataFrame, vision: DataFrame, known: DataFrame | None =
     items = parts[0]
     for p in parts[1:]:
         items = items.unionByName(p)
-    items = items.withColumn("item", F.concat_ws("/", "snapshot_id", "part", "vid", "sub"))
+    items = durable(items.withColumn("item", F.concat_ws("/", "snapshot_id", "part", "vid", "sub")))
 
     order = lambda p, k: F.struct(F.struct(F.col("snapshot_id").alias("s"), F.lit(p).alias("p"), F.col("vid").cast("int").alias("v"), F.lit(k).alias("k"), F.col("i").cast("int").alias("i")).alias("ord"), F.lit(0).alias("at"))
     wholes = el.where("whole_cls is not null").withColumn("vid", F.col("e.vid")).withColumn("i", F.lit(0)).select("source", order(1, 1).alias("ord"), F.col("whole_cls").alias("cls"), F.col("whole_value").alias("value"), F.lit(None).cast("boolean").alias("valid"))
@@ -126,7 +129,8 @@ def sanitize(snapshots: DataFrame, vision: DataFrame, known: DataFrame | None =
     sightings = sightings.unionByName(spots.select("source", order(2, 1).alias("ord"), "cls", "value", none)).unionByName(hinted.select("source", order(2, 1).alias("ord"), "cls", "value", none))
     vault = build_vault(sightings, known)
 
-    clean = apply_vault(items, vault).select("snapshot_id", "part", "vid", "sub", "clean", "hit", "shown")
+    vault = durable(vault)
+    clean = durable(apply_vault(items, vault).select("snapshot_id", "part", "vid", "sub", "clean", "hit", "shown"))
     token_of = lambda df: df.withColumn("key", vault_key(F.col("cls"), F.col("value"))).join(vault.select("key", "token"), "key", "left")
     of = lambda part, name: clean.where(F.col("part") == part).select("snapshot_id", "vid", F.col("clean").alias(name), F.col("hit").alias(f"{name}_hit"))
     opts = clean.where("part = 'option'").groupBy("snapshot_id", "vid").agg(F.transform(F.array_sort(F.collect_list(F.struct("sub", "clean"))), lambda x: x["clean"]).alias("options"))
