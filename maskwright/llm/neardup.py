@@ -178,12 +178,28 @@ def candidate_edges(nodes: DataFrame, threshold: float, recall: float) -> DataFr
                 yield from split([pa.RecordBatch.from_arrays([root, batch.column(0), batch.column(1)], names=["bucket", "node", "sketch"])])
 
     def brute(batches):
-        for batch in batches:
+        """Rows (bucket, node, sketch), a bucket's together -> edges that span what is alike in each bucket."""
+        bucket, node, sketch = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, SKETCH), np.uint32)
+
+        def solved(upto: int) -> pa.RecordBatch:
             out = []
-            for members in batch.column(0).to_pylist():
-                node, sketch = [m["node"] for m in members], _unsketched([m["sketch"] for m in members])
-                out += [(node[x], node[y]) for x, y in _forest(_alike(sketch, sketch, least))]
-            yield _edges(out)
+            cuts = np.flatnonzero(np.diff(bucket[:upto])) + 1
+            for x, y in zip(np.append(0, cuts), np.append(cuts, upto), strict=True):
+                out += [(int(node[x + i]), int(node[x + j])) for i, j in _forest(_alike(sketch[x:y], sketch[x:y], least))]
+            return _edges(out)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket = np.append(bucket, batch.column(0).to_numpy())
+            node = np.append(node, batch.column(1).to_numpy())
+            sketch = np.concatenate([sketch, _unsketched(batch.column(2).to_pylist())])
+            last = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
+            if last:
+                yield solved(last)
+            bucket, node, sketch = bucket[last:], node[last:], sketch[last:]
+        if len(bucket):
+            yield solved(len(bucket))
 
     paths, found, gone = nodes.where("n > 0").select("node", "sketch").mapInArrow(roots, "bucket long, node long"), [], []
     for depth in range(1, DEPTH + 1):
@@ -192,8 +208,8 @@ def candidate_edges(nodes: DataFrame, threshold: float, recall: float) -> DataFr
         large, _ = written(paths.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SMALL), "large")
         small = paths.join(large, "bucket", "left_anti").groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("nodes")).where(F.size("nodes") > 1)
         small = small.select("nodes").distinct().select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node"))
-        small = small.join(nodes.select("node", "sketch"), "node").groupBy("bucket").agg(F.collect_list(F.struct("node", "sketch")).alias("members"))
-        found.append(written(small.select("members").mapInArrow(brute, "a long, b long").distinct(), "found")[0])
+        small = small.join(nodes.select("node", "sketch"), "node").select("bucket", "node", "sketch").repartition("bucket").sortWithinPartitions("bucket")
+        found.append(written(small.mapInArrow(brute, "a long, b long").distinct(), "found")[0])
         paths = paths.join(large, "bucket").select("bucket", "node", "size")
         if not large.limit(1).count():
             break

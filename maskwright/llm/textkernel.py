@@ -51,7 +51,7 @@ def arrow_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8)[lo:hi] if data is not None and hi > lo else np.zeros(0, np.uint8)), offs - lo
 
 
-def slices(offsets: np.ndarray, most: int = 4 << 20):
+def slices(offsets: np.ndarray, most: int = 1 << 20):
     """Ranges of rows that hold about `most` bytes each; one row alone may hold more."""
     a, n = 0, len(offsets) - 1
     while a < n:
