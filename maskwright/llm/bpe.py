@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 #: How byte-level BPE cuts words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHORT = 256
-CACHED = 400_000
+CACHED = 120_000
 _NEVER = 1 << 60
 
 
@@ -61,9 +61,10 @@ class Codec:
         self.words = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.cache: dict[str, tuple[str, int, bytes]] = {}
+        self.old: dict[str, tuple[str, int, bytes]] = {}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("words", "cut", "cache")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("words", "cut", "cache", "old")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -121,27 +122,30 @@ class Codec:
         return b"".join(map(self.parts.__getitem__, ids)).decode("utf-8", "replace")
 
     def _known(self, word: str) -> tuple[str, int, bytes]:
-        """Ids joined by commas, their number, and the bytes that they decode to."""
-        if word in self.specials:
-            ids = [self.specials[word]]
-        else:
-            ids = self.word_ids(word.encode("utf-8", "surrogatepass"))
-        got = ",".join(map(str, ids)), len(ids), b"".join(map(self.parts.__getitem__, ids))
+        """Ids joined by commas, their number, and the bytes that they decode to.
+
+        Results are kept in two generations of CACHED words: a full one becomes the old one, whose words come back to
+        the new one as they are met, and the rest goes.
+        """
+        got = self.old.get(word)
+        if got is None:
+            ids = [self.specials[word]] if word in self.specials else self.word_ids(word.encode("utf-8", "surrogatepass"))
+            got = ",".join(map(str, ids)), len(ids), b"".join(map(self.parts.__getitem__, ids))
         if len(self.cache) >= CACHED:
-            self.cache.clear()
+            self.old, self.cache = self.cache, {}
         self.cache[word] = got
         return got
 
     def round_trip(self, text: str) -> tuple[str, int, str]:
         """(ids joined by commas, number of ids, decoded text)."""
-        find = self.cache.get
         words: list[str] = []
         for piece in self.cut.split(text) if self.cut else [text]:
             if piece in self.specials:
                 words.append(piece)
             else:
                 words += self.words.findall(piece)
-        got = [find(w) or self._known(w) for w in words]
+        known = self._known
+        got = [self.cache.get(w) or known(w) for w in words]
         return ",".join([g[0] for g in got]), sum([g[1] for g in got]), b"".join([g[2] for g in got]).decode("utf-8", "replace")
 
 
