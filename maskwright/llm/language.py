@@ -32,6 +32,7 @@ PER_LANG = 400
 LANDMARKS = 300
 RIDGE = 1e-2
 SHARPNESS = 4.0
+SHARES = 16
 UNKNOWN = "und"
 
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -94,9 +95,12 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 def fit(docs: DataFrame, allowed: Column, per_lang: int = PER_LANG) -> Model | None:
     """A model of at most per_lang rows of each lang, from rows where `allowed` holds; None if there are none."""
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = docs.where(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    sample = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang).select("doc_id", F.col("lang").alias("target")).distinct()
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    rows = docs.where(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", F.pmod(F.hash("doc_id"), F.lit(SHARES)).alias("share"))
+    # the first rows of a language are among the first of each of its shares, so no task reads a whole language
+    for by in (["lang", "share"], ["lang"]):
+        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("n") <= per_lang)
+    sample = rows.select("doc_id", F.col("lang").alias("target")).distinct()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
