@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkernel import arrow_bytes, slices
+from .textkernel import arrow_bytes, released, slices
 
 ORDER = 4
 CELLS = 1 << 14
@@ -73,11 +73,13 @@ class Model:
 
 
 def fitted(x: np.ndarray, langs: list[str]) -> Model:
-    """Nyström features over evenly taken landmarks, then ridge regression of +1 / -1 targets."""
+    """Nyström features over evenly taken landmarks, then ridge regression of +1 / -1 targets. x: presence as bytes."""
     names = sorted(set(langs))
-    norm = (x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))).astype(np.float64)
-    marks = norm[np.linspace(0, len(norm) - 1, min(LANDMARKS, len(norm))).astype(int)]
-    k_mm, k_nm = marks @ marks.T, norm @ marks.T
+    sizes = np.sqrt(np.maximum(x.sum(axis=1, dtype=np.int64), 1))
+    own = np.linspace(0, len(x) - 1, min(LANDMARKS, len(x))).astype(int)
+    marks = (x[own] / sizes[own, None]).astype(np.float32)
+    k_nm = np.concatenate([x[k : k + 128].astype(np.float32) @ marks.T for k in range(0, len(x), 128)]).astype(np.float64) / sizes[:, None]
+    k_mm = k_nm[own]
     values, vectors = np.linalg.eigh(k_mm)
     keep = values > 1e-6 * max(values.max(), 1e-12)
     root = vectors[:, keep] / np.sqrt(values[keep])
@@ -114,7 +116,7 @@ def fit(docs: DataFrame, allowed: Column, per_lang: int = PER_LANG) -> Model | N
     if got.empty:
         return None
     got = got.sort_values(["lang", "doc_id", "bits"], kind="stable").groupby("lang", sort=True).head(per_lang)
-    x = np.unpackbits(np.frombuffer(b"".join(got.bits), dtype=np.uint8).reshape(len(got), -1), axis=1).astype(np.float32)
+    x = np.unpackbits(np.frombuffer(b"".join(got.bits), dtype=np.uint8).reshape(len(got), -1), axis=1)
     return fitted(x, got.lang.tolist())
 
 
@@ -122,23 +124,25 @@ def predicted(docs: DataFrame, model: Model | None, extra: list[str] | None = No
     """doc_id, the columns in `extra`, lang_pred and score of every row."""
     extra = extra or []
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select("doc_id", *extra, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"), F.col("text").alias("_text"))
+    rows = docs.select("doc_id", *extra, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"), *([] if "text" in extra else [F.col("text").alias("_text")]))
+    n = 1 + len(extra)  # the columns that stay; the text is one of them or comes last
+    text_at = 1 + extra.index("text") if "text" in extra else n + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            n = batch.num_columns - 2
             letters = batch.column(n).to_numpy(zero_copy_only=False)
             names, score = np.full(batch.num_rows, UNKNOWN, dtype=object), np.zeros(batch.num_rows)
-            for lo, hi, x in spectra(batch.column(n + 1)) if model else ():
+            for lo, hi, x in spectra(batch.column(text_at)) if model else ():
                 p = model.scores(x)
                 best = p.argmax(axis=1)
                 ok = letters[lo:hi]
                 names[lo:hi][ok] = np.array(model.langs, dtype=object)[best][ok]
                 score[lo:hi][ok] = p[np.arange(len(best)), best][ok]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(names, pa.string()), pa.array(score)], names=[*batch.schema.names[:n], "lang_pred", "score"])
+            released()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n])
     return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
