@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .textkernel import released
+
 #: How byte-level BPE cuts words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHORT = 256
@@ -54,6 +56,7 @@ class Codec:
         for k, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks[raw(a), raw(b)] = k
+        self.byte_ranks = {a + b: k for (a, b), k in self.ranks.items() if len(a) == len(b) == 1}
         self.parts = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.specials.items()}
         self.ready()
 
@@ -70,12 +73,17 @@ class Codec:
         self.__dict__.update(state)
         self.ready()
 
+    def forget(self) -> None:
+        """Drops what is kept of words; a worker may go on to other work."""
+        self.cache, self.old = {}, {}
+
     def word_ids(self, word: bytes) -> list[int]:
         if len(word) > SHORT:
             return [self.ids[p] for p in self._merged_long(word)]
         at = list(range(len(word) + 1))
         rank_of = self.ranks.get
-        ranks = [rank_of((word[i : i + 1], word[i + 1 : i + 2]), _NEVER) for i in range(len(word) - 1)]
+        of_bytes = self.byte_ranks.get
+        ranks = [of_bytes(word[i : i + 2], _NEVER) for i in range(len(word) - 1)]
         while ranks:
             least = min(ranks)
             if least == _NEVER:
@@ -173,6 +181,8 @@ def encoded(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
                     cols.append(pa.array([[int(i) for i in g[0].split(",")] if g[0] else [] for g in got], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        shared.value.forget()
+        released()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = SCHEMA.replace("doc_id long", f"doc_id {kind}") + (", ids array<int>" if with_ids else "")

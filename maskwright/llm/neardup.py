@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .scratch import dropped, shuffles_released, written
-from .textkernel import Words, arrow_bytes, mix, slices
+from .textkernel import Words, arrow_bytes, mix, released, slices
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -89,6 +89,7 @@ def _signed(batches):
                 [batch.column(0).slice(a, b - a), pa.array(node_hashes(words)), pa.array(counts, pa.int32()), pa.array([s.tobytes() for s in sketch], pa.binary())],
                 names=["doc_id", "node", "n", "sketch"],
             )
+        released()
 
 
 def _unsketched(col) -> np.ndarray:

@@ -33,10 +33,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import dropped, shuffles_released, written
-from .textkernel import Words, arrow_bytes
+from .textkernel import Words, arrow_bytes, released
 
 WINDOW = 13
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 MANY_BATCHES = 20_000
 _CHECK_STEP = 0x9FB21C651E98DF25
 
@@ -52,6 +52,7 @@ class Batch:
     def __init__(self, table: pa.Table, window: int):
         ids = table.column("doc_id").combine_chunks()
         order = pc.sort_indices(pa.table({"d": ids}), sort_keys=[("d", "ascending")], null_placement="at_start")
+        released()
         self.table = table.take(order)
         ids = self.table.column("doc_id").combine_chunks()
         self.none = np.asarray(pc.is_null(ids))

@@ -6,6 +6,8 @@ polynomial over the bytes (or over the words of a window) modulo 2**64, then a f
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -20,6 +22,14 @@ _FOLD[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
 
 
+def released() -> None:
+    """Gives freed memory of a long-lived worker back to the system, so that stages don't add up in it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def _power(base: int, n: int) -> np.ndarray:
     got = _powers.get(base)
     if got is None or len(got) < n:
@@ -79,11 +89,14 @@ class Words:
             after[:-1] = space[1:]
         self.ends = np.flatnonzero(~space & (after | edge[1:])) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        if fold:
-            data = _FOLD[data]
-        sums = np.zeros(n + 1, dtype=_U)
-        np.cumsum((data.astype(_U) + _U(1)) * _power(_BASE, n), out=sums[1:])
-        self.hashes = mix((sums[self.ends] - sums[self.starts]) * _power(_BASE_INV, n + 1)[self.starts])
+        self.hashes = np.empty(len(self.starts), dtype=_U)
+        for a, b in slices(offsets):  # sums over bytes take eight times their room
+            lo, hi, own = offsets[a], offsets[b], slice(self.first[a], self.first[b])
+            part = _FOLD[data[lo:hi]] if fold else data[lo:hi]
+            sums = np.zeros(hi - lo + 1, dtype=_U)
+            np.cumsum((part.astype(_U) + _U(1)) * _power(_BASE, hi - lo), out=sums[1:])
+            starts = self.starts[own] - lo
+            self.hashes[own] = mix((sums[self.ends[own] - lo] - sums[starts]) * _power(_BASE_INV, hi - lo + 1)[starts])
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
