@@ -1,18 +1,20 @@
 """License scans by an exact set-similarity join. DataFrame functions only.
 
-Text blocks are lines; their token sets are the distinct words of the lower-cased line. Templates are token sets too.
-A block matches a template if it holds at least `threshold` of the template's tokens. Tokens are ordered by how many
+Text blocks are pieces of the lower-cased text's words, whatever lines these are on. Pieces overlap so far that each run
+of words as long as a notice may be lies in one. Templates and blocks are sets of distinct words. A block matches a
+template if it holds at least `threshold` of the template's tokens within as many words in a row as a text has of which
+the template makes the share `threshold`; words that lie wider apart don't count together. Tokens are ordered by how many
 blocks of the corpus hold them, rarest first (then by themselves). A matching block must hold one of the first
 |T| - ceil(threshold * |T|) + 1 tokens of template T (prefix filter) and as many tokens as must be common (length
 filter), and where a token is met at place i of T and place j of the block's template tokens, what is left behind
-these places must suffice (positional filter). What passes is verified on the whole sets.
+these places must suffice (positional filter). What passes is verified on the places of the words.
 
 The places where a phrase's words stand one after another, which the base labels come from, are found on the whole
 text, where a phrase may go on over line ends.
 
 Cases: a null text is an empty one: no words, no labels, score 0; a text without a phrase has null first and last
-words; equal texts get equal results; a block that matches several templates has all their labels; very long lines are
-one block, read whole; an empty table gives an empty result; other columns are not read.
+words; equal texts get equal results; a text that matches several templates has all their labels; a notice is found over
+line ends and in very long lines, which are read whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -62,8 +64,14 @@ def lowered(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
 
+def widths(threshold: float = THRESHOLD) -> list[int]:
+    """For each template the words in a row that a notice may take: the template's share of them is the threshold."""
+    return [math.ceil(len(t.split()) / threshold - 1e-9) for ts in TEMPLATES.values() for t in ts]
+
+
 def matches(blocks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """row, label, score of the blocks' matches. blocks: row, tokens (the block's distinct tokens that any template has).
+    """row, label, score of the blocks' matches. blocks: row, block, tokens (the block's distinct tokens that any template
+    has), placed (all of these tokens with their places).
 
     The number of the templates' tokens bounds what is read to the driver: one count for each.
     """
@@ -75,24 +83,28 @@ def matches(blocks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     order = sorted(vocabulary, key=lambda t: (counts.get(t, 0), t))
     rank = {t: k for k, t in enumerate(order)}
     prefix = []
-    for k, label, tokens, common in templates:
+    for (k, label, tokens, common), width in zip(templates, widths(threshold), strict=True):
         laid = sorted(tokens, key=rank.get)
         for i, t in enumerate(laid[: len(laid) - common + 1]):
-            prefix.append((t, k, label, i, len(laid), common, laid))
-    index = spark.createDataFrame(prefix, "token string, template int, label string, i int, size int, common int, all array<string>")
+            prefix.append((t, k, label, i, len(laid), common, width, laid))
+    index = spark.createDataFrame(prefix, "token string, template int, label string, i int, size int, common int, width int, all array<string>")
     ranks = F.create_map(*[x for t, k in rank.items() for x in (F.lit(t), F.lit(k))])
     laid = F.transform(F.array_sort(F.transform("tokens", lambda t: F.struct(F.element_at(ranks, t).alias("k"), t.alias("t")))), lambda s: s["t"])
-    placed = blocks.select("row", "block", laid.alias("tokens"), F.size("tokens").alias("n")).select("row", "block", "tokens", "n", F.posexplode("tokens").alias("j", "token"))
+    placed = blocks.select("row", "block", "placed", laid.alias("tokens"), F.size("tokens").alias("n")).select("row", "block", "placed", "tokens", "n", F.posexplode("tokens").alias("j", "token"))
     # the template list bounds the index
     met = placed.join(F.broadcast(index), "token").where((F.col("n") >= F.col("common")) & (F.least(F.col("size") - F.col("i"), F.col("n") - F.col("j")) >= F.col("common")))
-    common = F.size(F.array_intersect("tokens", "all"))
-    return met.withColumn("score", common / F.col("size")).where(common >= F.col("common")).groupBy("row", "label").agg(F.max("score").alias("score"))
+    met = met.where(F.size(F.array_intersect("tokens", "all")) >= F.col("common"))
+    met = met.withColumn("own", F.filter("placed", lambda x: F.array_contains("all", x["token"])))
+    window = lambda x: F.array_distinct(F.transform(F.filter("own", lambda y: (y["at"] >= x["at"]) & (y["at"] < x["at"] + F.col("width"))), lambda y: y["token"]))
+    met = met.withColumn("common_here", F.array_max(F.transform("own", lambda x: F.size(window(x)))))
+    return met.where(F.col("common_here") >= F.col("common")).groupBy("row", "label").agg(F.max(F.col("common_here") / F.col("size")).alias("score"))
 
 
 def scanned(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row."""
     templates = template_rows(threshold)
-    vocabulary = F.array(*[F.lit(t) for t in sorted({t for _, _, ts, _ in templates for t in ts})])
+    known = sorted({t for _, _, ts, _ in templates for t in ts})
+    vocabulary = F.array(*[F.lit(t) for t in known])
     least = min(c for *_, c in templates)
     low = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), lowered(F.col("text")).alias("low"))
     flat = F.concat(F.lit(" "), F.trim(F.regexp_replace("low", NOT_WORD, " ")), F.lit(" "))
@@ -106,16 +118,25 @@ def scanned(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         firsts.append(F.when(has, spaces(F.substring_index("flat", f" {phrase} ", 1))))
         lasts.append(F.when(has, F.col("n_words") - spaces(F.substring_index("flat", f" {phrase} ", -1)) - len(phrase.split())))
         found, labels = found + n, [*labels, F.when(has, F.lit(label))]
-    blocks = F.filter(
-        F.transform(F.split("low", "\n"), lambda line: F.array_intersect(F.split(F.regexp_replace(line, NOT_WORD, " "), " "), vocabulary)),
-        lambda tokens: F.size(tokens) >= least,
+    # a text that lacks a template's tokens as a whole has no block that holds them
+    rows = rows.withColumn("words", F.split(F.trim("flat"), " ")).withColumn("held", F.array_intersect("words", vocabulary))
+    may = F.lit(False)
+    for _, _, tokens, common in templates:
+        may = may | (F.size(F.array_intersect("held", F.array(*map(F.lit, tokens)))) >= common)
+    wide = max(widths(threshold))
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - wide - 1).cast("int"), F.lit(wide)),
+        lambda k: F.filter(F.transform(F.slice("words", k + 1, F.lit(2 * wide)), lambda w, at: F.struct(at.alias("at"), w.alias("token"))), lambda x: x["token"].isin(known)),
     )
+    pieces = F.filter(pieces, lambda placed: F.size(F.array_distinct(F.transform(placed, lambda x: x["token"]))) >= least)
+    blocks = F.when((F.size("held") >= least) & may, pieces)
     rows = rows.select(
         "doc_id", "row", "n_words", found.alias("n_base"), F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"),
         F.array_compact(F.array(*labels)).alias("base"), blocks.alias("blocks"),
     )
     rows, _ = written(rows, "scanned")
-    block = rows.where(F.size("blocks") > 0).select("row", F.posexplode("blocks").alias("block", "tokens"))
+    block = rows.where(F.size("blocks") > 0).select("row", F.posexplode("blocks").alias("block", "placed"))
+    block = block.withColumn("tokens", F.array_distinct(F.transform("placed", lambda x: x["token"])))
     hits = matches(block, threshold).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
     all_labels = lambda *c: F.concat_ws(",", F.array_sort(F.array_distinct(F.concat(*c))))
     none = F.array().cast("array<string>")

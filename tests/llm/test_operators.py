@@ -208,6 +208,16 @@ def test_licenses_equal_brute_force(spark):
     assert licenses.scanned(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_licenses_over_line_ends(spark):
+    rng = np.random.default_rng(3)
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:"
+    pads = [0, 1, 27, 28, 29, 30, 55, 56, 57, 400]
+    rows = [(k, f"{prose(rng, n)}\n{mit}\n{prose(rng, 9)}") for k, n in enumerate(pads)] + [(100 + k, f"{prose(rng, n)} {bsd.replace(' ', chr(10))}") for k, n in enumerate(pads)]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: ("mit" if i < 100 else "bsd", 1.0) for i, _ in rows}
+
+
 def curve(order, bits, dims):
     """Cells in the order of their index."""
     return [c for c, _ in sorted(order.items(), key=lambda x: x[1])]
