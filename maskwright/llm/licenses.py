@@ -7,7 +7,8 @@ the template makes the share `threshold`; words that lie wider apart don't count
 blocks of the corpus hold them, rarest first (then by themselves). A matching block must hold one of the first
 |T| - ceil(threshold * |T|) + 1 tokens of template T (prefix filter) and as many tokens as must be common (length
 filter), and where a token is met at place i of T and place j of the block's template tokens, what is left behind
-these places must suffice (positional filter). What passes is verified on the places of the words.
+these places must suffice (positional filter). What passes is verified on the places of the words, and the words
+that tell a license from others (NEEDED) must be among them.
 
 The places where a phrase's words stand one after another, which the base labels come from, are found on the whole
 text, where a phrase may go on over line ends.
@@ -19,7 +20,9 @@ line ends and in very long lines, which are read whole; an empty table gives an
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 import string
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,6 +56,21 @@ TEMPLATES = {
     "copyright": ["no part of this publication may be reproduced or transmitted in any form without prior written permission"],
 }
 
+#: Words of a template that tell its license from others and so must be in a notice, whatever share of the rest is there.
+NEEDED = {
+    "licensed under the apache license version 2 0": "apache",
+    "licensed under the bsd 3 clause license": "bsd",
+    "licensed under cc by nc 4 0": "cc by nc",
+    "this work is licensed under a creative commons attribution 4 0 international license": "creative commons attribution",
+    "dedicated to the public domain under the cc0 1 0 universal dedication": "cc0",
+    "this work is licensed under the gnu general public license version 3": "gnu general public",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gnu general public",
+    "licensed under the gnu lesser general public license version 2 1": "gnu lesser",
+    "released under the mit license": "mit",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "associated",
+    "this source code form is subject to the terms of the mozilla public license": "mozilla",
+}
+
 
 def template_rows(threshold: float = THRESHOLD) -> list[tuple[int, str, list[str], int]]:
     """(template, label, distinct tokens, tokens that must be common) of each template; the list above bounds them."""
@@ -69,6 +87,11 @@ def widths(threshold: float = THRESHOLD) -> list[int]:
     return [math.ceil(len(t.split()) / threshold - 1e-9) for ts in TEMPLATES.values() for t in ts]
 
 
+def needed() -> list[list[str]]:
+    """For each template the words that must be in a notice."""
+    return [NEEDED.get(t, "").split() for ts in TEMPLATES.values() for t in ts]
+
+
 def matches(blocks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """row, label, score of the blocks' matches. blocks: row, block, tokens (the block's distinct tokens that any template
     has), placed (all of these tokens with their places).
@@ -83,11 +106,11 @@ def matches(blocks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     order = sorted(vocabulary, key=lambda t: (counts.get(t, 0), t))
     rank = {t: k for k, t in enumerate(order)}
     prefix = []
-    for (k, label, tokens, common), width in zip(templates, widths(threshold), strict=True):
+    for (k, label, tokens, common), width, must in zip(templates, widths(threshold), needed(), strict=True):
         laid = sorted(tokens, key=rank.get)
         for i, t in enumerate(laid[: len(laid) - common + 1]):
-            prefix.append((t, k, label, i, len(laid), common, width, laid))
-    index = spark.createDataFrame(prefix, "token string, template int, label string, i int, size int, common int, width int, all array<string>")
+            prefix.append((t, k, label, i, len(laid), common, width, laid, must))
+    index = spark.createDataFrame(prefix, "token string, template int, label string, i int, size int, common int, width int, all array<string>, needed array<string>")
     ranks = F.create_map(*[x for t, k in rank.items() for x in (F.lit(t), F.lit(k))])
     laid = F.transform(F.array_sort(F.transform("tokens", lambda t: F.struct(F.element_at(ranks, t).alias("k"), t.alias("t")))), lambda s: s["t"])
     placed = blocks.select("row", "block", "placed", laid.alias("tokens"), F.size("tokens").alias("n")).select("row", "block", "placed", "tokens", "n", F.posexplode("tokens").alias("j", "token"))
@@ -96,7 +119,8 @@ def matches(blocks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     met = met.where(F.size(F.array_intersect("tokens", "all")) >= F.col("common"))
     met = met.withColumn("own", F.filter("placed", lambda x: F.array_contains("all", x["token"])))
     window = lambda x: F.array_distinct(F.transform(F.filter("own", lambda y: (y["at"] >= x["at"]) & (y["at"] < x["at"] + F.col("width"))), lambda y: y["token"]))
-    met = met.withColumn("common_here", F.array_max(F.transform("own", lambda x: F.size(window(x)))))
+    met = met.withColumn("held", F.filter(F.transform("own", window), lambda ts: F.size(F.array_except("needed", ts)) == 0))
+    met = met.withColumn("common_here", F.array_max(F.transform("held", lambda ts: F.size(ts))))
     return met.where(F.col("common_here") >= F.col("common")).groupBy("row", "label").agg(F.max(F.col("common_here") / F.col("size")).alias("score"))
 
 
@@ -121,8 +145,9 @@ def scanned(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # a text that lacks a template's tokens as a whole has no block that holds them
     rows = rows.withColumn("words", F.split(F.trim("flat"), " ")).withColumn("held", F.array_intersect("words", vocabulary))
     may = F.lit(False)
-    for _, _, tokens, common in templates:
-        may = may | (F.size(F.array_intersect("held", F.array(*map(F.lit, tokens)))) >= common)
+    for (_, _, tokens, common), must in zip(templates, needed(), strict=True):
+        has = [F.array_contains("held", t) for t in must]
+        may = may | functools.reduce(operator.and_, [*has, F.size(F.array_intersect("held", F.array(*map(F.lit, tokens)))) >= common])
     wide = max(widths(threshold))
     pieces = F.transform(
         F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - wide - 1).cast("int"), F.lit(wide)),

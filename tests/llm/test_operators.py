@@ -218,6 +218,17 @@ def test_licenses_over_line_ends(spark):
     assert got == {i: ("mit" if i < 100 else "bsd", 1.0) for i, _ in rows}
 
 
+def test_licenses_need_the_word_that_tells_them_apart(spark):
+    texts = {
+        "Released under the BSD License": "", "Released under the Apache License": "", "Licensed under CC BY 4.0": "cc-by", "Licensed under CC BY-SA 4.0": "cc-by", "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc",
+        "Licensed under the Mozilla Public License, Version 2.0": "", "Licensed under the GNU General Public License, version 2": "gpl", "Licensed under the GNU Lesser General Public License, version 2.1": "gpl,lgpl",
+        "Released under the MIT License": "mit", "released as mit was, " + "so it is " * 30 + "under the license": "", "Licensed under the Apache License": "",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation": "",
+    }
+    got = {r.text: r.labels for r in licenses.scanned(spark.createDataFrame([(t, t) for t in texts], "doc_id string, text string")).withColumnRenamed("doc_id", "text").collect()}
+    assert got == texts
+
+
 def curve(order, bits, dims):
     """Cells in the order of their index."""
     return [c for c, _ in sorted(order.items(), key=lambda x: x[1])]
