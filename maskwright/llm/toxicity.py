@@ -42,6 +42,10 @@ STANDS_FOR = {
 _ENDS = ".,;:!?\"'()[]{}<>«»“”‘’…-–—_/\\`~^=%#&*"
 _JOINERS = set(".,-_*'/\\~|:;+=·")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t\n]{1,2}){2,}\S(?!\S)")
+#: Longer lattices are read in pieces of 2 * STEP positions, each STEP after the last, and may hold several words.
+LONG, STEP = 40, 40
+#: The channel's cost of a word border where nothing shows one, and of none where two spaces are.
+BORDER = 0.5
 _RUN = re.compile(r"(.)\1\1")
 
 
@@ -144,6 +148,31 @@ class Restorer:
         ended = sorted((c + flat[(a * LETTERS + b) * LETTERS], t) for (a, b), (c, t) in states.items())
         return [t for _, t in ended[:n]]
 
+    def several(self, lattice: list[list[tuple[str, float]]], n: int = 3) -> list[str]:
+        """The words of the n likeliest readings of a lattice with spaces in it, best first; of any length, in pieces."""
+        out: list[str] = []
+        flat = self.flat
+        for at in range(0, max(1, len(lattice) - STEP), STEP):
+            states: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
+            for options in lattice[at : at + 2 * STEP]:
+                after: dict[tuple[int, int], list[tuple[float, str]]] = {}
+                for (a, b), paths in states.items():
+                    for add, channel in options:
+                        x, y, c = a, b, channel
+                        for ch in add:
+                            z = letter(ch)
+                            c += flat[(x * LETTERS + y) * LETTERS + z]
+                            x, y = y, z
+                        after.setdefault((x, y), []).extend([(cost + c, text + add) for cost, text in paths])
+                states = {k: sorted(paths)[:n] for k, paths in after.items()}
+            ended = sorted((c + flat[(a * LETTERS + b) * LETTERS], t) for (a, b), paths in states.items() for c, t in paths)
+            for _, text in ended[:n]:
+                words = text.split()
+                if len(words) > 2:  # what goes on beyond the piece is whole in another one
+                    words = words[at > 0 : len(words) - (at + 2 * STEP < len(lattice))]
+                out += words
+        return list(dict.fromkeys(out))
+
     def word(self, token: str) -> tuple[str, ...]:
         """The words that a lower-case token stands for, none if it has no letters."""
         plain = token.strip(_ENDS)
@@ -156,6 +185,22 @@ class Restorer:
             return (bare,)
         return tuple(dict.fromkeys(self.best(self.readings(bare))))
 
+    def spaced(self, run: str) -> list[str]:
+        """The words of single characters set apart, where each space may be a word border or not."""
+        made: dict[tuple[str, bool, int], list[tuple[str, float]]] = {}
+        lattice, last = [], ""
+        for part in re.findall(r"\s*\S", run):
+            ch, wide = part[-1], len(part) - 1
+            key = ch, ch == last, wide
+            if key not in made:
+                may = [(ch, 0.0)] if ch.isalpha() else [(c, 0.7) for c in STANDS_FOR.get(ch, "")]
+                if ch == last or ch in _JOINERS or not may:
+                    may.append(("", 0.7))
+                made[key] = [(x, c + (BORDER if wide > 1 else 0.0)) for x, c in may] + [(" " + x, c + (0.0 if wide > 1 else BORDER)) for x, c in may if wide]
+            lattice.append(made[key])
+            last = ch
+        return self.several(lattice)
+
     def words(self, text: str) -> set[str]:
         """The distinct words of the restored text."""
         out: set[str] = set()
@@ -170,8 +215,10 @@ class Restorer:
             out.update(got)
         for m in _SPACED.finditer(low):
             joined = "".join(m[0].split())
-            if sum(c.isalnum() or c in STANDS_FOR for c in joined) >= 3 and len(joined) <= 40:
-                out.update(self.word(joined))
+            if sum(c.isalnum() or c in STANDS_FOR for c in joined) >= 3:
+                if len(joined) <= LONG:
+                    out.update(self.word(joined))
+                out.update(self.spaced(m[0]))
         return out
 
 

@@ -100,6 +100,21 @@ def test_spaced_letters_are_joined_and_plain_text_stays():
     assert r.words("") == set() and "1234" in r.words("1234")
 
 
+def sentences():
+    r = restorer()
+    counts = np.zeros((toxicity.LETTERS,) * 3)
+    for text in ["idiot", "asshole", "scumbag", "ass", "hello", "you are a scumbag", "a stupid idiot", "you are a moron"] * 50:
+        x = [0, 0, *map(toxicity.letter, text), 0]
+        for a, b, c in zip(x, x[1:], x[2:]):
+            counts[a, b, c] += 1
+    return type(r)(toxicity.letter_costs(counts))
+
+
+@pytest.mark.parametrize("text, words", [("you are a s c u m b a g", "scumbag"), ("a s t u p i d i d i o t", "stupid idiot"), (" ".join("youareascumbag"), "you are scumbag"), ("y o u  a r e  a  m o r o n", "you are moron"), (" ".join("youareastupididiot" * 9), "you are stupid idiot")])
+def test_spaced_words_and_sentences_are_cut(text, words):
+    assert set(words.split()) <= sentences().words(text)
+
+
 def brute_viterbi(r, lattice):
     import itertools
 
