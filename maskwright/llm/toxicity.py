@@ -1,9 +1,11 @@
 """Toxicity by a noisy channel: restore hidden words, then score the restored text.
 
 1. A character trigram model of letters is counted over all documents.
-2. Words that may be disguised (digits or symbols among letters, runs of one letter, single letters set apart) become
-   lattices: each position holds the letters that it may stand for, with the channel's cost. Viterbi search under the
-   trigram model gives the most likely letters. Other words have one reading, themselves.
+2. Words that may be disguised (digits or symbols for letters, also at the ends, doubled letters and runs of one letter,
+   single letters set apart) become lattices: each position holds the letters that it may stand for, with the channel's
+   cost. Where letters are set apart or a word is very long, there may be word borders too. Viterbi search under the
+   trigram model gives the most likely letters, in overlapping pieces of long lattices. Other words have one reading,
+   themselves.
 3. Restored words and their beginnings of 4 to 6 letters are the features. Presence counts over a sample of labelled
    rows select the features with the highest likelihood-ratio statistic, and logistic regression weighs them.
 
@@ -42,11 +44,13 @@ STANDS_FOR = {
 _ENDS = ".,;:!?\"'()[]{}<>«»“”‘’…-–—_/\\`~^=%#&*"
 _JOINERS = set(".,-_*'/\\~|:;+=·")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t\n]{1,2}){2,}\S(?!\S)")
+_RUN = re.compile(r"(.)\1\1")
+_TWICE = re.compile(r"(.)\1")
+_NO_LETTER = "".join(c for c in _ENDS if c not in STANDS_FOR)
 #: Longer lattices are read in pieces of 2 * STEP positions, each STEP after the last, and may hold several words.
 LONG, STEP = 40, 40
 #: The channel's cost of a word border where nothing shows one, and of none where two spaces are.
 BORDER = 0.5
-_RUN = re.compile(r"(.)\1\1")
 
 
 def _letter_table() -> np.ndarray:
@@ -120,9 +124,11 @@ class Restorer:
             while j < len(token) and token[j] == ch:
                 j += 1
             if ch.isalpha():
-                out.append([(ch, 0.0)] if j - i == 1 else [(ch * 2, 0.0)] if j - i == 2 else [(ch, 0.5), (ch * 2, 1.0)])
+                out.append([(ch, 0.0)] if j - i == 1 else [(ch * 2, 0.0), (ch, 1.0)] if j - i == 2 else [(ch, 0.5), (ch * 2, 1.0)])
             else:
                 may = [(c * (j - i if j - i < 3 else 1), 0.7) for c in STANDS_FOR.get(ch, "")]
+                if j - i == 2:
+                    may += [(c, 1.7) for c in STANDS_FOR.get(ch, "")]
                 if ch in _JOINERS or not may:
                     may.append(("", 0.7))
                 out.append(may)
@@ -173,17 +179,48 @@ class Restorer:
                 out += words
         return list(dict.fromkeys(out))
 
+    def decoded(self, lattice: list[list[tuple[str, float]]], n: int = 3) -> list[str]:
+        """The likeliest words of a lattice; several, between any positions, if it is long."""
+        if len(lattice) <= LONG:
+            return [t for t in self.best(lattice, n) if t]
+        made: dict[tuple, list[tuple[str, float]]] = {}
+        return self.several([made.setdefault(tuple(o), [*o, *((" " + x, c + BORDER) for x, c in o)]) for o in lattice], n)
+
+    def reduced(self, word: str) -> tuple[str, ...]:
+        """A word of letters and the likeliest of those with one letter for some of its doubled ones."""
+        at = [m.start() for m in _TWICE.finditer(word)]
+        if any(b - a == 2 for a, b in zip(at, at[1:])):
+            return tuple(dict.fromkeys([word, *self.decoded(self.readings(word), 1)]))
+        # doubled letters that others part don't bear on one another
+        out, codes = word, [0, *map(letter, word), 0]
+        for k in reversed(at):
+            b, x, c = codes[k], codes[k + 1], codes[k + 3]
+            if 1.0 + self.flat[(b * LETTERS + x) * LETTERS + c] < self.flat[(b * LETTERS + x) * LETTERS + x] + self.flat[(x * LETTERS + x) * LETTERS + c]:
+                out = out[:k] + out[k + 1 :]
+        return (word, out) if out != word else (word,)
+
     def word(self, token: str) -> tuple[str, ...]:
         """The words that a lower-case token stands for, none if it has no letters."""
+        whole = token.strip(_NO_LETTER)
+        if whole.isalpha() and not _RUN.search(whole):
+            return self.reduced(whole) if _TWICE.search(whole) else (whole,)
         plain = token.strip(_ENDS)
-        if not plain or plain.isalpha() and not _RUN.search(plain):
-            return (plain,) if plain else ()
         bare = plain.rstrip("$").lstrip("$") if plain.count("$") > 2 else plain
+        out: list[str] = []
         if bare.isalpha() and not _RUN.search(bare):
-            return (bare,)
-        if not any(map(str.isalpha, bare)) or len(bare) > 40:
-            return (bare,)
-        return tuple(dict.fromkeys(self.best(self.readings(bare))))
+            out = [*self.reduced(bare)]
+        elif any(map(str.isalpha, bare)):
+            out = self.decoded(self.readings(bare))
+        elif bare:
+            out = [bare]
+        if whole != bare and bare:
+            # what stands at the ends may be punctuation or letters
+            k = whole.index(bare)
+            ends = [[[*o, ("", 0.7)] for o in self.readings(e)] for e in (whole[:k], whole[k + len(bare) :])]
+            out += self.decoded([*ends[0], *self.readings(bare), *ends[1]])
+        elif not any(map(str.isalpha, whole)) and len(set(whole)) > 1 and sum(c in STANDS_FOR for c in whole) > 1:
+            out += self.decoded(self.readings(whole))
+        return tuple(dict.fromkeys(out))
 
     def spaced(self, run: str) -> list[str]:
         """The words of single characters set apart, where each space may be a word border or not."""

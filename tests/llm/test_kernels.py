@@ -115,6 +115,11 @@ def test_spaced_words_and_sentences_are_cut(text, words):
     assert set(words.split()) <= sentences().words(text)
 
 
+@pytest.mark.parametrize("token, word", [("!diot", "idiot"), ("*sshole", "asshole"), ("(scumbag!)", "scumbag"), ("4$$", "ass"), ("@$$", "ass"), ("iiddiioott", "idiot"), ("s" + "t" * 60 + "upid", "stupid"), (".".join("youareastupididiot" * 3), "idiot"), ("stu" + "u" * 50 + "pid!", "stupid"), ("11dd110000tt", "idiot")])
+def test_disguises_at_the_ends_without_letters_doubled_and_long(token, word):
+    assert word in sentences().word(token)
+
+
 def brute_viterbi(r, lattice):
     import itertools
 
