@@ -78,3 +78,14 @@ def test_empty_documents_and_repeated_ids(spark, folder, tmp_path):
     odd = spark.createDataFrame([rows[0], rows[0], (rows[0][0], rows[1][1], "en", "s", 1), (None, rows[2][1], "en", "s", 1), (None, rows[2][1], "en", "s", 1)], DOCS)
     kept = P.near_duplicates(spark, odd, at).select("doc_id", F.col("text")).collect()
     assert Counter((r.doc_id, r.text) for r in kept) == Counter([(rows[0][0], rows[0][1]), (rows[0][0], rows[1][1]), (None, rows[2][1])])
+
+
+@pytest.mark.parametrize("broadcast", [20_000, 0])
+def test_leaks_of_null_and_repeated_ids_go_alone(spark, folder, monkeypatch, broadcast):
+    at, rows, item = folder
+    contained = P.contamination.contained
+    monkeypatch.setattr(P.contamination, "contained", lambda docs, items: contained(docs, items, broadcast=broadcast))
+    leak = f"some words {item} and more"
+    odd = [(None, leak, "en", "s", 1), (None, rows[1][1], "en", "s", 1), (None, None, "en", "s", 1), (7, leak, "en", "s", 1), (7, rows[2][1], "en", "s", 1), (7, rows[2][1], "en", "s", 1), (8, "", "en", "s", 0)]
+    kept = P.benchmark_leaks(spark, spark.createDataFrame(odd, DOCS), at)
+    assert kept.columns == P.COLUMNS and Counter(map(tuple, kept.collect())) == Counter(r for r in odd if r[1] != leak)
