@@ -149,6 +149,16 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var t="</p>";</scri
 <article><h1>Title &amp;&nbsp;more</h1><p><b>First  line,\n with words in it.<br>And a second one.<p>Another paragraph, of some length, with several words. It goes on.</p></article><div class="comments"><h3>Comments</h3><p>First!</p></div><footer>&copy; x &middot; y</footer>"""
 
 
+def test_end_tags_of_head_and_option_may_be_left_out():
+    body = PAGE[PAGE.index("<nav>") :]
+    want = pages.main_texts([PAGE], pages.trained())[0]
+    heads = ["<html><head><title>t</title><body>", "<head><meta charset=x><title>t</title><template><p>no</p></template><link rel=y>", "<head><title>t</title></head><body>", "<head><script>var a;</script>\n<body class=a>"]
+    assert pages.main_texts([h + body for h in heads], pages.trained()) == [want] * len(heads)
+    lists = ["<datalist><option value=a><option value=b></datalist>", "<datalist><option>one<b>two</b><option>three</datalist>", "<datalist><option>one</option></datalist>", "<div><option>one<div>two</div>three</div>", "<select><option>one<option>two</select>"]
+    assert pages.main_texts(["<body>" + x + body for x in lists], pages.trained()) == [want] * len(lists)
+    assert "one" not in str([pages.Page("<body>" + x + "<p>z").blocks for x in lists]) and pages.Page("<head><title>t</title>Text").blocks == [(0, "Text")]
+
+
 def test_main_text():
     assert pages.main_texts([PAGE, "", "plain text only"], pages.trained())[:2] == ["Title & more\n\nFirst line, with words in it. And a second one.\n\nAnother paragraph, of some length, with several words. It goes on.", ""]
 
