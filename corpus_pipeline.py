@@ -25,16 +25,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each class of similar documents, and all without words. Documents without
-    a doc_id stay, as nothing tells them apart."""
-    found, _ = written(neardup.links(docs).where("doc_id is not null").select("doc_id", (F.col("doc_id") == F.col("class_id")).alias("first")), "classes")
-    gone = found.where("not first").select(F.col("doc_id").alias("gone_id")).distinct()
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeated:
-        gone = gone.join(found.where("first"), F.col("gone_id") == F.col("doc_id"), "left_anti")
-    gone, _ = written(gone, "gone")
-    kept = docs.join(gone, docs.doc_id == gone.gone_id, "left_anti").select(*COLUMNS)
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    """Keeps one document of each class of similar documents, that of the least doc_id, and all without words."""
+    return neardup.firsts(docs).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,6 +65,63 @@ def test_links_equal_brute_force(spark, corpus, monkeypatch):
 
 def test_links_of_an_empty_table(spark):
     assert neardup.links(spark.createDataFrame([], DOCS)).count() == 0
+    assert neardup.firsts(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_links_of_ids_that_are_no_numbers(spark):
+    text = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    docs = spark.createDataFrame([("k2", text), ("k1", text + " end"), (None, text.upper()), ("k9", "other words here")], "doc_id string, text string")
+    got = {(r.doc_id, r.class_id, r.n_links, r.class_size) for r in neardup.links(docs).collect()}
+    assert got == {("k2", "k1", 2, 3), ("k1", "k1", 2, 3), (None, "k1", 2, 3), ("k9", "k9", 0, 1)}
+
+
+def test_spanned_components_equal_brute_force():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 7, 60):
+        near = rng.random((n, n)) < 1.2 / max(n, 1)
+        near |= near.T | np.eye(n, dtype=bool)
+
+        class Rows:
+            def near(self, r):
+                return near[r]
+
+        for first in ([], list(range(0, n, 9))):
+            edges, label = neardup.spanned(Rows(), n, first)
+            reach = np.linalg.matrix_power(near.astype(float), max(n, 1)) > 0 if n else near
+            assert (label[:, None] == label[None, :]).tolist() == reach.tolist()
+            assert all(near[a, b] for a, b in edges) and len(edges) == n - len(set(label.tolist()))
+
+
+def test_overlaps_of_rare_and_frequent_tokens():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(np.concatenate([rng.integers(0, 40, 30), rng.integers(100, 5000, 30)]).astype(np.uint64)) for _ in range(50)] + [np.zeros(0, np.uint64)]
+    got = neardup.overlaps(sets[:20], sets[20:])
+    assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[20:]] for a in sets[:20]]
+
+
+def test_rows_of_a_large_group_grow_in_proportion(spark, monkeypatch):
+    """Near copies of one text with three edits each: many pairs are links, and many are not."""
+    rng = np.random.default_rng(10)
+    base, made = prose(rng, 120).split(), {}
+    for name in ("hub_rows", "odd_rows", "written"):
+
+        def counted(*args, whole=getattr(neardup, name)):
+            got = whole(*args)
+            made[size] = made.get(size, 0) + (got[0] if isinstance(got, tuple) else got).count()
+            return got
+
+        monkeypatch.setattr(neardup, name, counted)
+    monkeypatch.setattr(neardup, "SMALL", 512)
+    for size in (1000, 2000, 4000):
+        texts = []
+        for k in range(size):
+            words = list(base)
+            for at in rng.integers(0, len(words), 3):
+                words[at] = f"new{rng.integers(0, 1 << 30)}"
+            texts.append((k, " ".join(words)))
+        got = neardup.firsts(spark.createDataFrame(texts, "doc_id long, text string"))
+        assert got.where("doc_id = 0").count() == 1
+    assert made[2000] < 2.4 * made[1000] and made[4000] < 2.4 * made[2000], made
 
 
 def test_enough_runs():
