@@ -1,15 +1,17 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 Items and documents are read as sets of word shingles (five words; of all words, if there are fewer), ASCII letters
-lower-cased. Items are partitioned by size, with upper bounds u that are powers of two. For each partition a document
-is cut into segments of 2 u shingles, one beginning every u, so that a passage as long as an item of the partition
+lower-cased. Items of at most SHORT shingles are found exactly: a document that holds enough of them holds one of any
+|item| - enough + 1 of them, by which they are looked up. Other items are partitioned by size, with upper bounds u that
+are powers of two. For each partition a document is cut into segments of 2 u shingles, one beginning every u, so that a passage as long as an item of the partition
 lies whole in a segment, whose size is in proportion to the item's, however long the document is. At a containment of
 0.8 that leaves a Jaccard similarity of 0.19 at least, and one common minimum hash of HASHES makes a candidate: one in
 700,000 true pairs is missed by a single segment. Candidates are verified by exact containment in the whole document.
 
 Minimum hashes are taken once, of blocks of the least bound, and those of larger segments are the minima of theirs.
-Segments are first looked up in a bitmap of fixed size of the items' hashes. With at most BROADCAST items their hashes
-and shingles are broadcast and candidates are verified in place; with more, what passes the bitmap is joined.
+Segments are first looked up in a bitmap of the items' keys, with 16 cells or more for each key up to 2**27 cells. With
+at most BROADCAST items of BROADCAST_BYTES in all their keys and shingles are broadcast and candidates are verified in
+place; with more, what passes the bitmap is joined. Both ways find the same pairs.
 
 Cases: null and empty texts and items have no shingles and are in no pair; an item of fewer than five words is found
 only in a document of just these words; repeated documents and items make a pair each; ties don't arise, as every pair
@@ -19,6 +21,8 @@ than doc_id, item_id and text are not read, and names that clash on both sides d
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,9 +34,11 @@ from .textkernel import Words, arrow_bytes, mix, slices
 SHINGLE = 5
 THRESHOLD = 0.8
 HASHES = 64
-LEAST_BOUND = 8
+SHORT = 8
+LEAST_BOUND = 2 * SHORT
 BROADCAST = 20_000
-MAP_BITS = 22
+BROADCAST_BYTES = 32 << 20
+MAP_BITS, MOST_BITS = 22, 27
 _rng = np.random.default_rng(471)
 _MUL = _rng.integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -55,6 +61,11 @@ def _minima(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def _short_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of single shingles, apart from those of minimum hashes."""
+    return mix(h ^ np.uint64(0x5A17C0DE0B5E55ED))
+
+
 def _keys(minima: np.ndarray, bound: int) -> np.ndarray:
     """64-bit keys of (bound, coordinate, value)."""
     salt = mix(np.arange(HASHES, dtype=np.uint64) + np.uint64(bound << 8))[:, None]
@@ -70,8 +81,9 @@ def _shingled(col) -> tuple[np.ndarray, np.ndarray, int]:
         yield lo, hi, row[order], h[order]
 
 
-def item_table(items: DataFrame) -> DataFrame:
-    """item_id, bound, shingles (sorted, distinct) and keys of every item that has shingles."""
+def item_table(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """item_id, bound (0 for items of at most SHORT shingles), shingles (sorted, distinct) and keys of every item that has
+    shingles."""
 
     def run(batches):
         for batch in batches:
@@ -80,11 +92,13 @@ def item_table(items: DataFrame) -> DataFrame:
                 ids, bounds, sets, keys = [], [], [], []
                 for r in np.flatnonzero(np.diff(at)):
                     own = np.unique(h[at[r] : at[r + 1]])
-                    bound = int(bound_of(np.array([len(own)]))[0])
+                    short = len(own) <= SHORT
+                    bound = 0 if short else int(bound_of(np.array([len(own)]))[0])
                     ids.append(batch.column(0)[lo + int(r)])
                     bounds.append(bound)
                     sets.append(own.astype(np.int64))
-                    keys.append(_keys(_minima(own, np.array([0])), bound)[:, 0].astype(np.int64))
+                    enough = math.ceil(threshold * len(own) - 1e-9)
+                    keys.append((_short_keys(own[: len(own) - enough + 1]) if short else _keys(_minima(own, np.array([0])), bound)[:, 0]).astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([i.as_py() for i in ids], batch.schema.field(0).type), pa.array(bounds, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
                     names=["item_id", "bound", "shingles", "keys"],
@@ -94,32 +108,49 @@ def item_table(items: DataFrame) -> DataFrame:
     return items.select("item_id", "text").mapInArrow(run, f"item_id {kind}, bound long, shingles array<long>, keys array<long>")
 
 
-def _bitmap(table: DataFrame, column: str) -> np.ndarray:
-    """Which of 2**MAP_BITS cells the values of an array column fall in."""
+class Bitmap:
+    """Which of a power of two of cells some hashes fall in, eight cells a byte."""
+
+    def __init__(self, packed: np.ndarray):
+        self.packed, self.mask = packed, np.uint64(8 * len(packed) - 1)
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        cell = h & self.mask
+        return (self.packed[cell >> np.uint64(3)] >> (np.uint64(7) - (cell & np.uint64(7))).astype(np.uint8)) & 1 > 0
+
+
+def _bitmap(table: DataFrame, column: str, n: int) -> Bitmap:
+    """A bitmap of the n values of an array column."""
+    cells = 1 << min(MOST_BITS, max(MAP_BITS, (16 * n - 1).bit_length()))
 
     def run(batches):
-        bits = np.zeros(1 << MAP_BITS, dtype=bool)
+        bits = np.zeros(cells, dtype=bool)
         for batch in batches:
             flat = batch.column(0).flatten().to_numpy().astype(np.uint64)
-            bits[flat & np.uint64((1 << MAP_BITS) - 1)] = True
+            bits[flat & np.uint64(cells - 1)] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
     parts = table.select(column).coalesce(8).mapInArrow(run, "bits binary").collect()
-    out = np.zeros(1 << MAP_BITS, dtype=bool)
+    out = np.zeros(cells // 8, dtype=np.uint8)
     for p in parts:
-        out |= np.unpackbits(np.frombuffer(p.bits, np.uint8)).astype(bool)
-    return out
+        out |= np.frombuffer(p.bits, np.uint8)
+    return Bitmap(out)
 
 
 class Segments:
     """Rows and keys of the segments of some documents that the bitmap lets pass."""
 
-    def __init__(self, bounds: list[int], bits: np.ndarray):
-        self.bounds, self.bits = sorted(bounds), bits
+    def __init__(self, bounds: list[int], bits: Bitmap):
+        self.bounds, self.short, self.bits = sorted(b for b in bounds if b), 0 in bounds, bits
 
     def passing(self, row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows, keys = [], []
-        if len(h):
+        if len(h) and self.short:
+            k = _short_keys(h)
+            at = np.flatnonzero(self.bits.holds(k))
+            rows.append(row[at])
+            keys.append(k[at])
+        if len(h) and self.bounds:
             unit = self.bounds[0]
             first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
             place = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
@@ -135,7 +166,7 @@ class Segments:
                 same = owner[1:] == owner[:-1]
                 both[:, :-1] = np.where(same, np.minimum(minima[:, :-1], minima[:, 1:]), minima[:, :-1])
                 k = _keys(both, bound)
-                _, seg = hit = np.nonzero(self.bits[k & np.uint64((1 << MAP_BITS) - 1)])
+                _, seg = hit = np.nonzero(self.bits.holds(k))
                 rows.append(owner[seg])
                 keys.append(k[hit])
         return (np.concatenate(rows), np.concatenate(keys)) if rows else (np.zeros(0, int), np.zeros(0, np.uint64))
@@ -145,19 +176,20 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, b
     """doc_id, item_id, n_common, n_shingles and containment of each pair in which the document holds at least
     `threshold` of the item's shingles."""
     spark = docs.sparkSession
-    table, _ = written(item_table(items), "items")
-    bounds = [r.bound for r in table.select("bound").distinct().collect()]
+    table, _ = written(item_table(items, threshold), "items")
+    told = table.groupBy("bound").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("keys")).alias("keys"), F.sum(F.size("shingles")).alias("shingles")).collect()  # a row for each power of two
+    bounds, n_items, n_keys, n_shingles = [r.bound for r in told], sum(r.n for r in told), sum(r["keys"] for r in told), sum(r.shingles for r in told)
     kinds = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     out = f"doc_id {kinds[0]}, item_id {kinds[1]}, n_common long, n_shingles long, containment double"
     if not bounds:
         return spark.createDataFrame([], out)
-    shared = spark.sparkContext.broadcast(Segments(bounds, _bitmap(table, "keys")))
-    if table.count() <= broadcast:
+    shared = spark.sparkContext.broadcast(Segments(bounds, _bitmap(table, "keys", n_keys)))
+    if n_items <= broadcast and 8 * (2 * n_keys + n_shingles) <= BROADCAST_BYTES:
         got = table.toPandas()
         sets = [np.sort(np.asarray(s, dtype=np.int64).astype(np.uint64)) for s in got.shingles]
         keys = np.concatenate([np.asarray(k, dtype=np.int64).astype(np.uint64) for k in got["keys"]])
         order = np.argsort(keys, kind="stable")
-        index = spark.sparkContext.broadcast((keys[order], np.repeat(np.arange(len(got)), HASHES)[order], sets, got.item_id.tolist()))
+        index = spark.sparkContext.broadcast((keys[order], np.repeat(np.arange(len(got)), [len(k) for k in got["keys"]])[order], sets, got.item_id.tolist()))
 
         def solve(batches):
             segments, (known, owner, sets, ids) = shared.value, index.value
@@ -185,7 +217,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, b
         items_type = pa.int64() if kinds[1] == "bigint" else pa.int32() if kinds[1] == "int" else pa.string()
         return docs.select("doc_id", "text").mapInArrow(solve, out)
 
-    common = spark.sparkContext.broadcast(_bitmap(table, "shingles"))
+    common = spark.sparkContext.broadcast(_bitmap(table, "shingles", n_shingles))
     least = table.agg(F.min(F.size("shingles"))).first()[0]
 
     def passed(batches):
@@ -194,7 +226,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, b
         for batch in batches:
             for lo, hi, row, h in _shingled(batch.column(1)):
                 rows, keys = segments.passing(row, h)
-                may = bits[h & np.uint64((1 << MAP_BITS) - 1)]
+                may = bits.holds(h)
                 row, h = row[may], h[may]
                 order, by = np.argsort(rows, kind="stable"), np.arange(hi - lo + 1)
                 rows, keys = rows[order], keys[order]

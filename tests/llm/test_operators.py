@@ -392,3 +392,47 @@ def test_pages_with_odd_rows(spark):
 def test_registry_names_every_operator():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries()) == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
     assert json.dumps(sorted(oracle_sql()))
+
+
+def test_short_items_are_all_found(spark):
+    """Items of one shingle and more, each whole or with one word in nine changed, inside long documents."""
+    rng = np.random.default_rng(12)
+    items, docs = [], []
+    for n in range(5, 30):
+        for k in range(8):
+            words = [f"w{n}x{k}y{i}" for i in range(n)]
+            items.append((n * 100 + k, " ".join(words)))
+            docs.append((n * 100 + k, f"{prose(rng, 300)} {' '.join(words)} {prose(rng, 200)}"))
+            if k == 0 and n >= 9:
+                docs.append((50_000 + n, f"{prose(rng, 50)} {' '.join(words[: n // 2])} other {' '.join(words[n // 2 :])}"))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {(d, i) for d, t in docs for i, x in items if len(shingles(t) & shingles(x)) >= 0.8 * len(shingles(x)) - 1e-9 and x.split()[0] in t}
+    for broadcast in (1000, 0):
+        got = {(r.doc_id, r.item_id) for r in contamination.contained(frame, spark.createDataFrame(items, "item_id long, text string"), broadcast=broadcast).collect()}
+        assert got == want and len(got) >= 200
+
+
+def test_bitmap_has_cells_for_all_keys(spark):
+    table = spark.createDataFrame([([1, 2, 1 << 40],), ([-5],), ([],)], "keys array<long>")
+    bits = contamination._bitmap(table, "keys", 4)
+    known = np.array([1, 2, 1 << 40, -5], dtype=np.int64).astype(np.uint64)
+    assert bits.holds(known).all() and not bits.holds(np.array([7, 9], dtype=np.uint64)).any() and bits.holds(known.reshape(2, 2)).shape == (2, 2)
+    assert len(contamination._bitmap(table, "keys", 10**6).packed) * 8 == 1 << 24
+
+
+def test_pivots_and_salts_grow_with_the_rows(spark):
+    assert [knn.pivots_for(n) for n in (0, 10_000, 10**6, 10**12)] == [16, 16, 125, 1024] and [knn.salts_for(n) for n in (100, 10**9, 10**12)] == [8, 59, 64]
+    rng = np.random.default_rng(14)
+    x = rng.integers(-9, 9, (400, 5))
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    few, many = ({tuple(r) for r in knn.topk(frame, F.col("vec_id") % 50 == 0, 7, p).collect()} for p in (1, 64))
+    assert few == many and len(few) == 56
+
+
+def test_more_languages_have_fewer_rows_each(spark, monkeypatch):
+    monkeypatch.setattr(language, "ROWS", 30)
+    rows = [(i, "abcdefghij"[i % 10] * 9 + " " + "klmnopqrst"[i % 10] * 5, f"l{i % 10}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, F.lit(True))
+    got = {(r.doc_id, r.lang_pred) for r in language.predicted(docs, model).collect()}
+    assert len(model.langs) == 10 and got == {(i, lang) for i, _, lang in rows}
