@@ -7,8 +7,11 @@ query cell's radius, follows a bound on the distance of the k-th neighbour of an
 triangle inequality the ring of distances in which a candidate cell can matter. Only candidates in that ring are
 copied to the query cell, packed in blocks; each pair of blocks is solved alone, and the results are merged.
 
-Blocks hold at most BLOCK candidates and QUERIES queries, so that a cell with many rows is many units of work.
-Pivots are a sample of PIVOTS candidates by a hash; distances to them only decide what is copied, never the result.
+Blocks hold at most BLOCK candidates and QUERIES queries, so that a cell with many rows is many units of work; they are
+dealt to salts, and a sort-merge join brings each pair together once, spilling where a cell has many. Pivots are a sample
+of candidates by a hash, and their number and that of salts grow with the rows: PIVOTS and SALTS are the least, and what
+the driver and each task hold of all cells bounds them by MOST_PIVOTS and MOST_SALTS. They only decide what is copied and
+where it is solved, never the result.
 
 Cases: vectors that are null, or hold null or non-finite components, take no part; a shorter vector is read as
 followed by zeros; a query's own row is no candidate, other rows with its vec_id are; ties go to the smaller vec_id;
@@ -17,6 +20,7 @@ with fewer candidates than k all are returned; an empty table gives an empty res
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +30,10 @@ from pyspark.sql import functions as F
 
 from .scratch import written
 
-PIVOTS = 16
+PIVOTS, MOST_PIVOTS = 16, 1024
 BLOCK = 8192
 QUERIES = 1024
-SALTS = 8
+SALTS, MOST_SALTS = 8, 64
 SLACK = 1e-6
 
 
@@ -85,10 +89,19 @@ class Frame:
         return d.argmin(1), d.min(1)
 
 
-def topk(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = PIVOTS) -> DataFrame:
+def pivots_for(n: int) -> int:
+    """A pivot for about as many rows as there are eightfold pivots."""
+    return min(MOST_PIVOTS, max(PIVOTS, math.isqrt(n) // 8))
+
+
+def salts_for(n: int) -> int:
+    return min(MOST_SALTS, max(SALTS, n >> 24))
+
+
+def topk(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for the k candidates of highest integer inner product of each query.
 
-    vectors has vec_id and embedding.
+    vectors has vec_id and embedding. pivots: how many cells at most; else it follows from the number of rows.
     """
     spark = vectors.sparkSession
     fine = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -97,13 +110,13 @@ def topk(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = PIVOTS
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "is_query", ints.alias("v"))
     rows, _ = written(rows, "vectors")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    found = rows.agg(F.max(F.size("v")), F.max(square)).first()
+    found = rows.agg(F.max(F.size("v")), F.max(square), F.count(F.lit(1))).first()
     if found[0] is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim, most = max(int(found[0]), 1), float(found[1])
-    chosen = rows.orderBy(F.xxhash64("vec_id", "row"), "row").limit(pivots).select("v").toPandas()
+    chosen = rows.orderBy(F.xxhash64("vec_id", "row"), "row").limit(pivots or pivots_for(found[2])).select("v").toPandas()
     frame = Frame(np.unique(_matrix(list(chosen.v), dim), axis=0), dim, most)
-    shared = spark.sparkContext.broadcast(frame)
+    shared, salts = spark.sparkContext.broadcast(frame), salts_for(found[2])
 
     def summary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The k + 1 least distances of candidates to each cell's pivot, and each query cell's radius (side 1)."""
@@ -129,12 +142,12 @@ def topk(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = PIVOTS
     sums = sums.groupBy("side", "cell").agg(F.collect_list("d").alias("d")).collect()
     least = {r.cell: np.array(r.d) for r in sums if r.side == 0}
     radius = {r.cell: max(r.d) for r in sums if r.side == 1}
-    rings: dict[int, dict[int, tuple[float, float]]] = {}
+    rings: dict[int, np.ndarray] = {}
     for i, u in radius.items():
         bounds = np.sort(np.concatenate([u + frame.between[i, j] + d for j, d in least.items()]))
         theta = bounds[k] if len(bounds) > k else np.inf  # one of them may be the query's own row
         theta = theta * (1 + SLACK) + SLACK
-        rings[i] = {j: (frame.between[i, j] - u - theta - SLACK, frame.between[i, j] + u + theta) for j in least}
+        rings[i] = np.stack([frame.between[i] - u - theta - SLACK, frame.between[i] + u + theta])
     ringed = spark.sparkContext.broadcast(rings)
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,12 +157,11 @@ def topk(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = PIVOTS
             x, rows_at, ids = _matrix(list(b.v), at.dim), b.row.to_numpy(np.int64), b.vec_id.to_numpy(np.int64)
             cell, d = at.candidates(x)
             for i, by in ring.items():
-                lo, hi = np.array([by[c][0] for c in cell]), np.array([by[c][1] for c in cell])
-                keep = np.flatnonzero((d >= lo) & (d <= hi))
+                keep = np.flatnonzero((d >= by[0, cell]) & (d <= by[1, cell]))
                 for a in range(0, len(keep), BLOCK):
                     part = keep[a : a + BLOCK]
                     n += 1
-                    yield pd.DataFrame({"cell": [i], "salt": [(int(rows_at[part[0]]) + n) % SALTS], "c_rows": [rows_at[part].tobytes()], "c_ids": [ids[part].tobytes()], "c": [_packed(x[part])]})
+                    yield pd.DataFrame({"cell": [i], "salt": [(int(rows_at[part[0]]) + n) % salts], "c_rows": [rows_at[part].tobytes()], "c_ids": [ids[part].tobytes()], "c": [_packed(x[part])]})
 
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = shared.value
@@ -188,8 +200,8 @@ def topk(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = PIVOTS
                     yield pd.concat(out, ignore_index=True)
 
     block = rows.mapInPandas(blocks, "cell int, salt int, c_rows binary, c_ids binary, c binary")
-    query = rows.where("is_query").mapInPandas(asked, "cell int, q_rows binary, q_ids binary, q binary").withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    part = block.join(query.hint("shuffle_hash"), ["cell", "salt"]).mapInPandas(solved, "row long, query_id long, vec_id long, score long")
+    query = rows.where("is_query").mapInPandas(asked, "cell int, q_rows binary, q_ids binary, q binary").withColumn("salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    part = block.join(query.hint("merge"), ["cell", "salt"]).mapInPandas(solved, "row long, query_id long, vec_id long, score long")
     best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
