@@ -6,8 +6,8 @@ the product of both sizes. Landmarks give the Nyström features, on which one ri
 solved. As the kernel is a product of presence vectors, landmarks and coefficients fold into one matrix, and a batch
 of texts is scored by one matrix product.
 
-The fit uses at most PER_LANG rows of each language, taken by a hash of doc_id, of which at most LANDMARKS are
-landmarks. Everything else reads every row and the whole text.
+The fit uses at most PER_LANG rows of each language and ROWS in all, taken by a hash of doc_id; LANDMARKS of them, or two
+for each language where that is more, are landmarks. Everything else reads every row and the whole text.
 
 Cases: a null text, or one with no letter, is `und` with score 0, as is every text where no row could be learned
 from; equal texts get equal results; ties go to the language that sorts first; a null doc_id isn't held out; very
@@ -28,7 +28,7 @@ from .textkernel import arrow_bytes, released, slices
 
 ORDER = 4
 CELLS = 1 << 14
-PER_LANG = 400
+PER_LANG, ROWS = 400, 25_600
 LANDMARKS = 300
 RIDGE = 1e-2
 SHARPNESS = 4.0
@@ -76,7 +76,7 @@ def fitted(x: np.ndarray, langs: list[str]) -> Model:
     """Nyström features over evenly taken landmarks, then ridge regression of +1 / -1 targets. x: presence as bytes."""
     names = sorted(set(langs))
     sizes = np.sqrt(np.maximum(x.sum(axis=1, dtype=np.int64), 1))
-    own = np.linspace(0, len(x) - 1, min(LANDMARKS, len(x))).astype(int)
+    own = np.linspace(0, len(x) - 1, min(max(LANDMARKS, 2 * len(names)), len(x))).astype(int)
     marks = (x[own] / sizes[own, None]).astype(np.float32)
     k_nm = np.concatenate([x[k : k + 128].astype(np.float32) @ marks.T for k in range(0, len(x), 128)]).astype(np.float64) / sizes[:, None]
     k_mm = k_nm[own]
@@ -96,9 +96,11 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 
 def fit(docs: DataFrame, allowed: Column, per_lang: int = PER_LANG) -> Model | None:
-    """A model of at most per_lang rows of each lang, from rows where `allowed` holds; None if there are none."""
+    """A model of at most per_lang rows of each lang and ROWS in all, from rows where `allowed` holds; None if there are none."""
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     rows = docs.where(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", F.pmod(F.hash("doc_id"), F.lit(SHARES)).alias("share"))
+    n_langs = rows.agg(F.count_distinct("lang")).first()[0]
+    per_lang = min(per_lang, max(1, ROWS // max(1, n_langs)))
     # the first rows of a language are among the first of each of its shares, so no task reads a whole language
     for by in (["lang", "share"], ["lang"]):
         rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("n") <= per_lang)
