@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language import held_out
+from .scratch import dropped, written
 
 TRAIN_ROWS = 12_000
 FEATURES = 3_000
@@ -41,6 +42,12 @@ STANDS_FOR = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
     "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "{": "c", "€": "e", "£": "l", "*": "aeiou", "#": "h", "&": "a", "%": "o",
 }
+#: Letters of other scripts that look like Latin ones.
+LOOKS_LIKE = str.maketrans({
+    "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h",
+    "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ɑ": "a", "ɡ": "g", "ı": "i", "ӓ": "ä", "ё": "ë", "ї": "ï", "ӧ": "ö",
+})
+_LATIN = re.compile(r"[a-z]")
 _ENDS = ".,;:!?\"'()[]{}<>«»“”‘’…-–—_/\\`~^=%#&*"
 _JOINERS = set(".,-_*'/\\~|:;+=·")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t\n]{1,2}){2,}\S(?!\S)")
@@ -200,7 +207,15 @@ class Restorer:
         return (word, out) if out != word else (word,)
 
     def word(self, token: str) -> tuple[str, ...]:
-        """The words that a lower-case token stands for, none if it has no letters."""
+        """The words that a lower-case token stands for, none if it has no letters. Where it has Latin letters beside some
+        that look like them, these stand for Latin ones too."""
+        if not token.isascii():
+            latin = token.translate(LOOKS_LIKE)
+            if latin != token and _LATIN.search(token):
+                return tuple(dict.fromkeys([*self._word(latin), *self._word(token)]))
+        return self._word(token)
+
+    def _word(self, token: str) -> tuple[str, ...]:
         whole = token.strip(_NO_LETTER)
         if whole.isalpha() and not _RUN.search(whole):
             return self.reduced(whole) if _TWICE.search(whole) else (whole,)
@@ -306,7 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, n_feat
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     # at most train_rows rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    rows, rows_at = written(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic"), "labelled")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: tuple[Counter, Counter] = (Counter(), Counter())
@@ -341,6 +356,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, n_feat
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["at", "toxic"])
 
     got = rows.mapInArrow(indexed, "at array<int>, toxic int").toPandas()
+    dropped(spark, rows_at)
     order = sorted(range(len(got)), key=lambda i: (tuple(got["at"][i]), got.toxic[i]))
     w, b = _logistic([np.array(got["at"][i], dtype=int) for i in order], got.toxic.to_numpy()[order].astype(float), len(chosen))
     return Model(shared.value, {x: float(w[k]) for x, k in chosen.items() if abs(w[k]) > 1e-4}, float(b))
