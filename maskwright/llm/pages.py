@@ -10,8 +10,9 @@ There are no labelled pages, so the trees are fitted on pages that sample_page()
 input.
 
 Cases: a null or empty html has the empty text; text outside of any tag is judged as a block of the body; unclosed and
-misnested tags are closed as their parents end; a head without an end tag ends at the first thing that can't be in it, and
-an option at the next one or as its parent ends; broken character references stay as they are; equal rows get equal
+misnested tags are closed as their parents end; a head without an end tag ends at the first thing that can't be in it, an
+option at the next one or as its parent ends, and a button, a list to choose from or a player, of which no end tag
+follows, as its parent ends or the first block begins; comments end as in HTML (also by --!>); broken character references stay as they are; equal rows get equal
 results; very long pages are read whole; an empty table gives an empty result; other columns are not read.
 """
 
@@ -31,12 +32,13 @@ from pyspark.sql import DataFrame
 from .boosting import Boosted, fitted
 
 TRAIN_PAGES = 900
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|data-y|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_ATTR = re.compile(r"\b(class|id|role|data-y)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style title noscript template iframe object svg math textarea select button option head canvas audio video".split())
 _HEAD = frozenset("head html base basefont bgsound link meta noframes noscript script style template title".split())
+_OPEN = frozenset("option button select object canvas audio video".split())
 _CODE = frozenset("script style title textarea iframe noscript".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 _ENDS_P = _BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "dd", "dt", "li"}
@@ -87,7 +89,9 @@ class Page:
         stack: list[tuple[str, int]] = [("body", 0)]
         pieces: list[str] = []
         at, links, drop = 0, 0, ""
-        inner: list[str] = []  # what is open in an option that is dropped
+        inner: list[str] = []  # what is open in what is dropped
+        low, ends = "", {}  # the source in lower case, and where an element's last end tag is, once asked for
+        unclosed = False
 
         def text(s: str) -> None:
             nonlocal drop
@@ -124,21 +128,28 @@ class Page:
             name = name.lower()
             if not m["end"]:
                 # the end tags of head and option may be left out
-                if drop == "head" and (name not in _HEAD or name == "template") or drop == "option" and name == "optgroup" and not inner:
+                if drop == "head" and (name not in _HEAD or name == "template") or drop == "option" and name == "optgroup" and not inner or unclosed and drop and name in _BLOCK:
                     drop = ""
                 if name in _CODE:
                     close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(source, at)
                     at = close.end() if close else length
                     continue
                 if drop:
-                    if drop == "option" and name == "option":
+                    if drop in ("option", "button") and name == drop:
                         inner.clear()
-                    elif drop == "option" and name not in _VOID and not m["attrs"].endswith("/"):
+                    elif drop in _OPEN and name not in _VOID and not m["attrs"].endswith("/"):
                         inner.append(name)
                     continue
                 if name in _RAW and not m["attrs"].endswith("/"):
                     drop = name
                     inner.clear()
+                    if name in _OPEN and name != "option":
+                        if name not in ends:
+                            low = low or source.lower()
+                            ends[name] = low.rfind(f"</{name}")
+                        unclosed = ends[name] < at
+                    else:
+                        unclosed = False
                     continue
                 self.marks[stack[-1][1]] += 1
                 if name == "a":
@@ -171,11 +182,11 @@ class Page:
                                 break
                     stack.append((name, self._node(name, m["attrs"], stack[-1][1])))
                 continue
-            if drop == "option" and name in inner:
+            if drop in _OPEN and name in inner:
                 del inner[len(inner) - 1 - inner[::-1].index(name) :]
                 continue
-            if drop == "option" and name not in ("option", "body", "html"):
-                drop = ""
+            if drop == "option" and name not in ("option", "body", "html") or drop in _OPEN and name != drop and any(t == name for t, _ in stack[1:]):
+                drop = ""  # its parent ends
             if drop:
                 if name == drop or name in ("body", "html"):
                     drop = ""

@@ -201,3 +201,35 @@ def test_decoding_is_the_likeliest_consistent_labelling():
 def test_digest_of_ids(codec):
     ids, n, text = codec.round_trip("hello")
     assert hashlib.sha256(ids.encode()).hexdigest() == hashlib.sha256(b"31373").hexdigest() and n == 1 and text == "hello"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<body><div><button>Menu</div><article><p>{}</p></article></body>",
+        "<body><button>Menu<article><p>{}</p></article></body>",
+        "<body><div><select><option>a<option>b</div><article><p>{}</p></article></body>",
+        "<body><select><option>a<article><p>{}</p></article></body>",
+        "<body><!-- note --!><article><p>{}</p></article></body>",
+        "<body><!--><article><p>{}</p></article><!-- x --></body>",
+        "<body><div><video><source src=a>no video</div><article><p>{}</p></article></body>",
+        "<body><button><div>a</div><span>b</button><article><p>{}</p></article></body>",
+        "<head><title>x</title><article><p>{}</p></article>",
+    ],
+)
+def test_pages_whose_elements_are_not_ended(html):
+    text = "The river rose in the night, and by morning the lower fields were under water. Nobody had expected it so early in the year."
+    page = pages.Page(html.format(text))
+    assert [b for _, b in page.blocks if "river" in b] == [text] and not any("Menu" in b or b in ("a", "b", "no video", "ab") for _, b in page.blocks)
+
+
+def test_deeply_nested_pages():
+    page = pages.Page("<div>" * 3000 + "<p>The end of it all, at last.</p>" + "</div>" * 3000)
+    assert [b for _, b in page.blocks] == ["The end of it all, at last."]
+    assert len(page.features()) == len(page.tag)
+
+
+def test_letters_that_look_alike():
+    made = toxicity.Restorer(np.ones((toxicity.LETTERS,) * 3))
+    assert "idiot" in made.word("\u0456di\u043et") and "moron" in made.word("m\u03bfr\u043en")
+    assert made.word("\u0445\u043e\u0440") == ("\u0445\u043e\u0440",)  # a word of one script stays
