@@ -39,26 +39,32 @@ def leaves(value: Column, schema: T.DataType, path: Column | None = None, skip:
 
 
 def json_leaves(payloads: DataFrame, column: str = "json") -> DataFrame:
-    """id, path, value of all strings of JSON payloads (id, json) of any shape."""
-
-    def walk(x, path: str) -> Iterator[tuple[str, str]]:
-        if isinstance(x, str):
-            yield path, x
-        elif isinstance(x, dict):
-            for k, v in x.items():
-                if k not in SKIPPED:
-                    yield from walk(v, f"{path}.{k}" if path else k)
-        elif isinstance(x, list):
-            for i, v in enumerate(x):
-                yield from walk(v, f"{path}[{i}]")
+    """id, path, value of all strings of JSON payloads (id, json) of any shape, and error: for a payload that can't be
+    read one row that tells why, so that nobody takes it for one without strings."""
+
+    def walk(whole) -> Iterator[tuple[str, str]]:
+        left = [("", whole)]
+        while left:
+            path, x = left.pop()
+            if isinstance(x, str):
+                yield path, x
+            elif isinstance(x, dict):
+                left += [(f"{path}.{k}" if path else k, v) for k, v in reversed(x.items()) if k not in SKIPPED]
+            elif isinstance(x, list):
+                left += [(f"{path}[{i}]", x[i]) for i in range(len(x) - 1, -1, -1)]
+
+    def rows(key, raw: str | None) -> list[tuple]:
+        try:
+            return [(key, p, v, None) for p, v in walk(json.loads(raw))] if raw else []
+        except (ValueError, RecursionError) as e:
+            return [(key, None, None, f"{type(e).__name__}: {e}")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(i, p, v) for i, raw in zip(b["id"], b[column], strict=True) if raw for p, v in walk(json.loads(raw), "")]
-            yield pd.DataFrame(out, columns=["id", "path", "value"])
+            yield pd.DataFrame([r for i, raw in zip(b["id"], b[column], strict=True) for r in rows(i, raw)], columns=["id", "path", "value", "error"])
 
     kind = payloads.schema["id"].dataType.simpleString()
-    return payloads.select("id", column).mapInPandas(run, f"id {kind}, path string, value string")
+    return payloads.select("id", column).mapInPandas(run, f"id {kind}, path string, value string, error string")
 
 
 def joined_text(leaf: Column) -> Column:
@@ -66,27 +72,46 @@ def joined_text(leaf: Column) -> Column:
     return S.without_tokens(F.concat_ws("\n", F.transform(leaf, lambda x: x["value"])))
 
 
+def _folded(text: Column) -> Column:
+    """Case and runs of white space made one, as the patterns of values see them."""
+    return F.lower(F.upper(F.regexp_replace(text, f"{X.SPACE}+", " ")))
+
+
 def value_patterns(cls: Column, value: Column) -> Column:
-    """Regular expressions by which a stored value is found: its digits however spaced, or itself in any case."""
+    """array<struct(pattern, gram)>: regular expressions by which a stored value is found, its digits however spaced, or
+    itself in any case; and the first of the value's grams, which a text that matches holds (text_grams)."""
+    told = lambda pattern, form, n=3: F.struct(pattern.alias("pattern"), F.substring(form, 1, n).alias("gram"))
+    none = F.array().cast("array<struct<pattern:string,gram:string>>")
     v = S.strip(value)
     d = S.digits(v)
     packed = F.length(F.regexp_replace(v, f"{X.SPACE}+", ""))
     core = F.when(cls == "PHONE", F.right(d, F.lit(10))).otherwise(d)
     spaced = F.regexp_replace(core, "(?<=[0-9])(?=[0-9])", r"[\\s-]?")
     flexible = lambda s: F.regexp_replace(S.escaped(s), f"{X.SPACE}+", r"\\s+")
-    whole = F.when(F.length(v) >= 3, F.array(F.concat(F.lit("(?iu)"), flexible(v)))).otherwise(F.array().cast("array<string>"))
-    words = F.transform(F.filter(F.split(v, f"{X.SPACE}+"), lambda w: F.length(w) >= 3), lambda w: F.concat(F.lit("(?iu)" + X.BORDER), S.escaped(w), F.lit(X.BORDER)))
-    named = F.when(cls == "NAME", words).otherwise(F.array().cast("array<string>"))
-    return F.when((F.length(d) >= 6) & (F.length(d) / packed > 0.6), F.array(spaced)).otherwise(F.concat(whole, named))
+    whole = F.when(F.length(v) >= 3, F.array(told(F.concat(F.lit("(?iu)"), flexible(v)), _folded(v)))).otherwise(none)
+    words = F.transform(F.filter(F.split(v, f"{X.SPACE}+"), lambda w: F.length(w) >= 3), lambda w: told(F.concat(F.lit("(?iu)" + X.BORDER), S.escaped(w), F.lit(X.BORDER)), _folded(w)))
+    named = F.when(cls == "NAME", words).otherwise(none)
+    return F.when((F.length(d) >= 6) & (F.length(d) / packed > 0.6), F.array(told(spaced, core, 6))).otherwise(F.concat(whole, named))
+
+
+def text_grams(text: Column) -> Column:
+    """Distinct runs of three characters, and of six digits where single spaces and hyphens between digits are left out."""
+    threes = F.regexp_extract_all(_folded(text), F.lit("(?s)(?=(...))"), F.lit(1))
+    sixes = F.regexp_extract_all(F.regexp_replace(text, r"(?<=[0-9])[\s-](?=[0-9])", ""), F.lit("(?=([0-9]{6}))"), F.lit(1))
+    return F.array_union(threes, sixes)
 
 
 def leaked_values(texts: DataFrame, vault: DataFrame) -> DataFrame:
     """id, token, cls, ord of the vault entries whose value shows in a text. texts: id, scope, text; vault also scope.
 
-    A payload meets the entries of its own scope (session or user) only, whose number its work bounds.
+    A payload meets the entries of its own scope (session or user) that begin with a gram that it holds: an equi-join in
+    which only grams travel. Each text then meets its entries once.
     """
-    known = vault.where(F.col("value") != "").select("scope", "token", "cls", F.col("n").alias("ord"), F.explode(value_patterns(F.col("cls"), F.col("value"))).alias("pattern"))
-    return texts.join(known, "scope").where(F.expr("text rlike pattern")).groupBy("id", "token", "cls").agg(F.min("ord").alias("ord"))
+    known = vault.where(F.col("value") != "").select("scope", "token", "cls", F.col("n").alias("ord"), F.explode(value_patterns(F.col("cls"), F.col("value"))).alias("p")).select("scope", F.col("p.gram").alias("gram"), F.struct("ord", "cls", "token", "p.pattern").alias("entry"))
+    grams = texts.select("id", "scope", F.explode(text_grams(F.col("text"))).alias("gram"))
+    met = grams.join(known, ["scope", "gram"]).groupBy("id").agg(F.collect_set("entry").alias("entries"))
+    shown = texts.join(met, "id").select("id", F.explode(F.filter("entries", lambda e: F.rlike(F.col("text"), e["pattern"]))).alias("e"))
+    return shown.groupBy("id", "e.token", "e.cls").agg(F.min("e.ord").alias("ord"))
 
 
 def firewall(requests: DataFrame, vault: DataFrame) -> DataFrame:
@@ -126,7 +151,7 @@ def firewall(requests: DataFrame, vault: DataFrame) -> DataFrame:
 
 def plain_digits(text: Column) -> Column:
     """Decimal digits of all scripts as ASCII digits."""
-    others = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd" and c < 0x10000]
+    others = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
     return F.translate(text, "".join(others), "".join(str(unicodedata.digit(c)) for c in others))
 
 

@@ -52,25 +52,25 @@ def matches(text: Column, pattern: Column) -> Column:
     return F.aggregate(zipped, start, step, lambda a: a["out"])
 
 
-def _verdict(cls: str, value: Column) -> tuple[Column | None, Column | None]:
+CHECKED = ("CARD", "AADHAAR")
+
+
+def _verdict(cls: str, value: Column) -> tuple[Column, Column]:
     """(valid, kept) of a match of a class with a check."""
     if cls == "CARD":
         n = F.length(S.digits(value))
         return F.lit(True), n.between(13, 19) & S.luhn(value)
-    if cls == "AADHAAR":
-        good = S.verhoeff(value)
-        return good, good | value.rlike("[ -]")
-    return None, None
+    good = S.verhoeff(value)
+    return good, good | value.rlike("[ -]")
 
 
 def pattern_spans(text: Column, cls: str, detectors: dict[str, str] = X.DETECTORS, read=lambda v: v) -> Column:
     """Spans of one class. Offsets are only worked out where the pattern occurs. read: what a value is checked as."""
     pattern = _searched(detectors[cls])
     found = matches(text, F.lit(pattern))
-    valid, kept = _verdict(cls, F.lit(""))
-    if kept is not None:
+    if cls in CHECKED:
         found = F.filter(found, lambda m: _verdict(cls, read(m["value"]))[1])
-    spans = F.transform(found, lambda m: span(cls, m["start"], m["start"] + F.length(m["value"]), m["value"], _verdict(cls, read(m["value"]))[0] if valid is not None else None))
+    spans = F.transform(found, lambda m: span(cls, m["start"], m["start"] + F.length(m["value"]), m["value"], _verdict(cls, read(m["value"]))[0] if cls in CHECKED else None))
     return F.when(text.rlike(pattern), spans).otherwise(no_spans())
 
 
@@ -128,23 +128,39 @@ def clean_terms(raw: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(raw, r"[,\n]"), S.strip), lambda t: F.length(t) >= 3))
 
 
+RUNS = r"[\p{L}\p{N}]+"
+SIGNS = r"[^\p{L}\p{N}\s]"
+
+
+def _keys(text: Column) -> Column:
+    """array<string>: runs of letters and digits of a text in lower case, pairs of neighbouring ones, and other signs."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit(RUNS), F.lit(0))
+    pairs = lambda r: F.filter(F.transform(r, lambda x, i: F.concat(x, F.lit(" "), F.get(r, i + 1))), lambda p: p.isNotNull())
+    both = S.bound(runs, lambda r: F.concat(r, pairs(r)))
+    return F.array_union(both, F.regexp_extract_all(text, F.lit(SIGNS), F.lit(0)))
+
+
 def term_index(terms: DataFrame) -> DataFrame:
-    """terms (term, cls, token) with their first run of letters and digits, by which texts are looked up."""
-    return terms.withColumn("first_run", F.lower(F.regexp_extract("term", r"[\p{L}\p{N}]+", 0)))
+    """terms (term, cls, token) with the key by which texts are looked up: their first two runs of letters and digits, or
+    the only one; a term without any has its first sign."""
+    runs = F.regexp_extract_all(F.lower("term"), F.lit(RUNS), F.lit(0))
+    return terms.withColumn("key", F.when(F.size(runs) > 0, F.array_join(F.slice(runs, 1, 2), " ")).otherwise(F.regexp_extract("term", SIGNS, 0)))
 
 
 def dictionary_spans(texts: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """texts (with `item`, a unique id) with a column dict_spans: merged spans of the terms, longer terms first.
+    """texts (with `item`, a unique id) with a column dict_spans: merged spans of the terms, longer terms first, equal
+    ones in the order of the terms' column `ord`, or of the term where there is none.
 
-    A text meets only the terms whose first run of letters and digits it holds, by an equi-join on an inverted index.
+    A text meets only the terms whose first two runs of letters and digits it holds side by side (or first sign), by an
+    equi-join on an inverted index. Only runs travel there; each text meets its terms once.
     """
-    runs = texts.select("item", F.col(text).alias("_t"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("first_run"))
-    indexed = term_index(terms).where("first_run <> ''").withColumn("pattern", term_pattern(F.col("term")))
-    met = runs.join(indexed, "first_run").where(F.expr("_t rlike pattern"))
-    spans = F.transform(matches(F.col("_t"), F.col("pattern")), lambda m: span(F.col("cls"), m["start"], m["start"] + F.length(m["value"]), m["value"], token=F.col("token")))
-    ranked = met.select("item", F.struct((-F.length("term")).alias("k"), F.col("term").alias("t"), F.col("token").alias("o"), spans.alias("s")).alias("r"))
-    found = ranked.groupBy("item").agg(F.array_sort(F.collect_list("r")).alias("rs")).select("item", merged(F.flatten(F.transform("rs", lambda r: r["s"]))).alias("dict_spans"))
-    return texts.join(found, "item", "left").withColumn("dict_spans", F.coalesce("dict_spans", no_spans()))
+    runs = texts.select("item", F.explode(_keys(F.col(text))).alias("key"))
+    order = F.col("ord") if "ord" in terms.columns else F.col("term")
+    indexed = term_index(terms).where("key <> ''").select(
+        "key", F.struct((-F.length("term")).alias("k"), order.alias("o"), F.col("term").alias("t"), F.col("cls").alias("cls"), F.col("token").alias("token"), term_pattern(F.col("term")).alias("pattern")).alias("r"))
+    met = runs.join(indexed, "key").groupBy("item").agg(F.array_sort(F.collect_list("r")).alias("_terms"))
+    found = F.transform("_terms", lambda r: F.transform(matches(F.col(text), r["pattern"]), lambda m: span(r["cls"], m["start"], m["start"] + F.length(m["value"]), m["value"], token=r["token"])))
+    return texts.join(met, "item", "left").withColumn("dict_spans", F.when(F.col("_terms").isNull(), no_spans()).otherwise(merged(F.flatten(found)))).drop("_terms")
 
 
 def replaced(text: Column, spans: Column, shown) -> Column:
@@ -155,7 +171,16 @@ def replaced(text: Column, spans: Column, shown) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(whole)
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `spans` and `redacted`, where each span is ⟦CLASS⟧."""
-    found = docs.withColumn("spans", detect_patterns(F.col(text)))
+def may_hold(text: Column) -> Column:
+    """Whether any of the patterns occurs, told by one search; what it leaves out holds no span."""
+    return text.rlike("|".join(f"(?:{_searched(p)})" for p in X.DETECTORS.values()))
+
+
+def redact(docs: DataFrame, text: str = "text", changed_only: bool = False) -> DataFrame:
+    """docs with `spans` and `redacted`, where each span is ⟦CLASS⟧. changed_only: only rows with spans, which are searched
+    by one pattern before any offsets are worked out."""
+    rows = (docs.where(may_hold(F.col(text))) if changed_only else docs).drop("spans", "redacted")
+    # a generated column, so that a filter on it isn't worked out from the patterns once more
+    found = rows.select("*", F.explode(F.array(detect_patterns(F.col(text)))).alias("spans"))
+    found = found.where(F.size("spans") > 0) if changed_only else found
     return found.withColumn("redacted", replaced(F.col(text), F.col("spans"), lambda s: F.concat(F.lit("⟦"), s["cls"], F.lit("⟧"))))

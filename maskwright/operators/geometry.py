@@ -45,6 +45,13 @@ def merge_frames(items: DataFrame, matched: DataFrame, child_items: DataFrame) -
     return own.unionByName(kids)
 
 
+def routed(actions: DataFrame, merged: DataFrame) -> DataFrame:
+    """actions (snapshot_id, target) with frame_id, child_vid and origin of the frame that the target's element came from;
+    null where it is an element of the page itself, or there is no target."""
+    routes = merged.where((F.col("kind") == "element") & F.col("frame_id").isNotNull()).select("snapshot_id", F.col("vid").alias("target"), "frame_id", "child_vid", "origin")
+    return actions.join(routes, ["snapshot_id", "target"], "left")
+
+
 def left_labels(lines: DataFrame) -> DataFrame:
     """lines (image_id, line, text, bbox) with `label`: the text of the nearest line to the left in the same row.
 
@@ -102,7 +109,7 @@ def vision_summary(vision: DataFrame) -> DataFrame:
     n = lambda c: F.sum(F.when(F.col("ok"), F.size(c)).otherwise(0)).cast("long")
     return vision.groupBy("snapshot_id").agg(
         F.count_if("ok").alias("images"), n("faces").alias("faces"), n("codes").alias("codes"), n("lines").alias("lines"),
-        F.count_if(~F.coalesce("ok", F.lit(False))).alias("whole"), F.min_by("error", "key").alias("error"),
+        F.count_if(~F.coalesce("ok", F.lit(False))).alias("whole"), F.min_by(F.col("error"), F.when(~F.coalesce("ok", F.lit(False)), F.col("key"))).alias("error"),
     )
 
 

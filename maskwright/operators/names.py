@@ -128,6 +128,27 @@ def find_names(texts: DataFrame, vocabulary: dict[str, int], model: Callable[[],
     return texts.select("snapshot_id", "ord", "text").mapInPandas(run, "snapshot_id string, ord long, start int, end int, value string, score double")
 
 
+def name_texts(snapshots: DataFrame, vision: DataFrame | None = None) -> DataFrame:
+    """snapshot_id, source, ord and text of all that may hold names in prose: texts, then values of fields that aren't
+    passwords, then lines read from images. ord numbers the texts of a snapshot from 1."""
+    place = lambda part, *at: F.struct(F.lit(part).alias("part"), *[x.alias(f"k{i}") for i, x in enumerate(at)]).alias("place")
+    none = F.lit("")
+    texts = snapshots.select("snapshot_id", "source", F.posexplode("texts").alias("i", "t")).select("snapshot_id", "source", place(0, none, F.col("i"), F.lit(0)), F.col("t.text").alias("text"))
+    values = snapshots.select("snapshot_id", "source", F.posexplode("elements").alias("i", "e")).where((F.col("e.value") != "") & ~F.col("e.role").eqNullSafe("password"))
+    out = texts.unionByName(values.select("snapshot_id", "source", place(1, none, F.col("i"), F.lit(0)), F.col("e.value").alias("text")))
+    if vision is not None:
+        lines = vision.join(snapshots.select("snapshot_id", "source"), "snapshot_id").select("snapshot_id", "source", "key", F.posexplode("lines").alias("i", "l"))
+        out = out.unionByName(lines.select("snapshot_id", "source", place(2, F.col("key"), F.col("i"), F.lit(0)), F.col("l.text").alias("text")))
+    return out.select("snapshot_id", "source", F.row_number().over(Window.partitionBy("snapshot_id").orderBy("place")).cast("long").alias("ord"), "text")
+
+
+def learned(snapshots: DataFrame, vision: DataFrame | None, vocabulary: dict[str, int], model: Callable[[], Callable], known: DataFrame) -> DataFrame:
+    """snapshot_id, source, ord, start, value and score of the names that are new to the vault `known`, for sanitize()."""
+    texts = name_texts(snapshots, vision)
+    found = find_names(budgeted(texts), vocabulary, model)
+    return fresh_names(found, known).join(texts.select("snapshot_id", "ord", "source"), ["snapshot_id", "ord"]).select("snapshot_id", "source", "ord", "start", S.strip(F.col("value")).alias("value"), "score")
+
+
 def fresh_names(names: DataFrame, vault: DataFrame) -> DataFrame:
     """Names worth learning: three characters at least, no label of a field, not in the dictionary in any case."""
     rows = names.withColumn("term", F.lower(S.strip(F.col("value")))).where((F.length("term") >= 3) & S.class_from_context(F.col("value")).isNull())

@@ -70,12 +70,14 @@ def image_lines(rasters: DataFrame) -> DataFrame:
     return lines.withColumn("spans", F.when(F.size("found") > 0, F.col("found")).otherwise(D.context_span(F.col("text"), left_label_class(F.col("label"))))).drop("found", "label")
 
 
-def sanitize(snapshots: DataFrame, vision: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def sanitize(snapshots: DataFrame, vision: DataFrame, known: DataFrame | None = None, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(screens, vault). snapshots: snapshot_id, source, url, title, viewport, elements, texts, rasters as scanned;
     vision: snapshot_id, key, ok, faces, codes, lines.
 
-    A screen has origin, path_template, title, state, viewport, elements, texts, masks and marks; no value of a field leaves
-    but as its placeholder. Images whose result failed or is missing are masked whole.
+    A screen has origin, path_template, title, state, viewport, elements, texts, masks, marks and late (whether the
+    dictionary found values in texts that had no span of their own); no value of a field leaves but as its placeholder.
+    Images whose result failed or is missing are masked whole. names: snapshot_id, source, ord, start, value of names in
+    prose, which join the vault before all else of their snapshot.
     """
     base = snapshots.select("snapshot_id", "source")
     el = snapshots.select("snapshot_id", "source", F.explode("elements").alias("e"))
@@ -99,7 +101,7 @@ def sanitize(snapshots: DataFrame, vision: DataFrame, known: DataFrame | None =
         sub = F.lit(0) if sub is None else sub
         step = {"label": 0, "value": 1, "placeholder": 2, "option": 3}.get(part, 0)
         at = F.struct(F.col("snapshot_id").alias("s"), F.lit(order).alias("p"), vid.cast("int").alias("v"), F.lit(step).alias("k"), sub.cast("int").alias("i"))
-        spans = D.detect_patterns(text) if spans is None else spans
+        spans = F.lit(None).cast(D.NO_SPANS) if spans is None else spans  # found below, for all parts at once
         return df.select("snapshot_id", "source", F.lit(part).alias("part"), vid.cast("int").alias("vid"), sub.cast("int").alias("sub"), text.alias("text"), spans.alias("spans"), at.alias("ord"), F.lit(part == "line").alias("forward"))
 
     e = lambda c: F.coalesce(F.col(f"e.{c}"), F.lit(""))
@@ -117,7 +119,8 @@ def sanitize(snapshots: DataFrame, vision: DataFrame, known: DataFrame | None =
     items = parts[0]
     for p in parts[1:]:
         items = items.unionByName(p)
-    items = durable(items.withColumn("item", F.concat_ws("/", "snapshot_id", "part", "vid", "sub")))
+    items = items.withColumn("item", F.concat_ws("/", "snapshot_id", "part", "vid", "sub"))
+    items = durable(items.withColumn("spans", F.coalesce("spans", D.detect_patterns(F.col("text")))))
 
     order = lambda p, k: F.struct(F.struct(F.col("snapshot_id").alias("s"), F.lit(p).alias("p"), F.col("vid").cast("int").alias("v"), F.lit(k).alias("k"), F.col("i").cast("int").alias("i")).alias("ord"), F.lit(0).alias("at"))
     wholes = el.where("whole_cls is not null").withColumn("vid", F.col("e.vid")).withColumn("i", F.lit(0)).select("source", order(1, 1).alias("ord"), F.col("whole_cls").alias("cls"), F.col("whole_value").alias("value"), F.lit(None).cast("boolean").alias("valid"))
@@ -127,10 +130,13 @@ def sanitize(snapshots: DataFrame, vision: DataFrame, known: DataFrame | None =
     none = F.lit(None).cast("boolean").alias("valid")
     sightings = spans_seen(items).unionByName(wholes)
     sightings = sightings.unionByName(spots.select("source", order(2, 1).alias("ord"), "cls", "value", none)).unionByName(hinted.select("source", order(2, 1).alias("ord"), "cls", "value", none))
+    if names is not None:
+        first = F.struct(F.struct(F.col("snapshot_id").alias("s"), F.lit(-1).alias("p"), F.col("ord").cast("int").alias("v"), F.lit(0).alias("k"), F.lit(0).alias("i")).alias("ord"), F.col("start").cast("int").alias("at"))
+        sightings = sightings.unionByName(names.select("source", first.alias("ord"), F.lit("NAME").alias("cls"), "value", none))
     vault = build_vault(sightings, known)
 
     vault = durable(vault)
-    clean = durable(apply_vault(items, vault).select("snapshot_id", "part", "vid", "sub", "clean", "hit", "shown"))
+    clean = durable(apply_vault(items, vault).select("snapshot_id", "part", "vid", "sub", "clean", "hit", "shown", (F.col("hit") & (F.size("spans") == 0)).alias("late")))
     token_of = lambda df: df.withColumn("key", vault_key(F.col("cls"), F.col("value"))).join(vault.select("key", "token"), "key", "left")
     of = lambda part, name: clean.where(F.col("part") == part).select("snapshot_id", "vid", F.col("clean").alias(name), F.col("hit").alias(f"{name}_hit"))
     opts = clean.where("part = 'option'").groupBy("snapshot_id", "vid").agg(F.transform(F.array_sort(F.collect_list(F.struct("sub", "clean"))), lambda x: x["clean"]).alias("options"))
@@ -172,8 +178,10 @@ def sanitize(snapshots: DataFrame, vision: DataFrame, known: DataFrame | None =
     titles = clean.where("part = 'title'").select("snapshot_id", F.col("clean").alias("title"))
     out = base.select("snapshot_id").join(url, "snapshot_id").join(titles, "snapshot_id").join(snapshot_state(snapshots).select("snapshot_id", "state", "viewport"), "snapshot_id")
     out = out.join(all_elements, "snapshot_id", "left").join(all_texts, "snapshot_id", "left").join(masks, "snapshot_id", "left")
+    late = clean.where("part = 'text'").groupBy("snapshot_id").agg(F.bool_or("late").alias("late"))
+    out = out.join(late, "snapshot_id", "left").withColumn("late", F.coalesce("late", F.lit(False)))
     marks = F.transform(F.filter("elements", lambda x: x["role"].isin(X.MARK_ROLES)), lambda x: F.struct(x["id"].alias("id"), x["bbox"].alias("bbox")))
-    return out.select("snapshot_id", "u.origin", "u.path_template", "title", "state", "viewport", "elements", "texts", "masks", marks.alias("marks")), vault
+    return out.select("snapshot_id", "u.origin", "u.path_template", "title", "state", "viewport", "elements", "texts", "masks", marks.alias("marks"), "late"), vault
 
 
 ELEMENT = [

@@ -6,6 +6,7 @@ Images are height x width x 4 arrays of bytes. Models are callables from arrays
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ TEXT_SIDE, TEXT_THRESHOLD, TEXT_BOX, UNCLIP = 960, 0.3, 0.6, 1.5
 LINE_HEIGHT, LINE_WIDTH = 48, 1600
 FACE_SIDE, FACE_STRIDES, FACE_SCORE, FACE_OVERLAP, FACE_MARGIN = 640, (8, 16, 32), 0.6, 0.3, 0.2
 
+BUDGET_SECONDS = 5.0
+
 Box = list[float]
 
 
@@ -260,22 +263,27 @@ def protobuf_strings(raw: bytes, field: int = 14, key: str = "character") -> lis
     raise ValueError("no character list in the model")
 
 
-def analyse(images: DataFrame, models: Callable[[], dict] | None = None) -> DataFrame:
+def analyse(images: DataFrame, models: Callable[[], dict] | None = None, seconds: float = BUDGET_SECONDS) -> DataFrame:
     """images (snapshot_id, key, png, analysed) -> ok, faces, codes, lines and error of each.
 
     models: makes {faces, detect, recognise, keys} once for each worker. Without it, or where it or an image fails, the
-    result isn't ok, and the image is masked as a whole.
+    result isn't ok, and the image is masked as a whole. So it is where the images of its snapshot before it took more than
+    `seconds`: the images of a snapshot share a task.
     """
     from ..sources.png import decode_png
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made: dict | None = None
+        spent: dict[str, float] = {}
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
+                began = time.monotonic()
                 try:
                     if not r.analysed:
                         raise ValueError("too many images on screen")
+                    if spent.get(r.snapshot_id, 0.0) > seconds:
+                        raise ValueError("time budget exceeded")
                     if made is None:
                         if models is None:
                             raise ValueError("models unavailable")
@@ -288,8 +296,31 @@ def analyse(images: DataFrame, models: Callable[[], dict] | None = None) -> Data
                     out.append((r.snapshot_id, r.key, True, faces, find_codes(img), read_lines(img, made["detect"], made["recognise"], made["keys"]), None))
                 except Exception as e:  # fail closed
                     out.append((r.snapshot_id, r.key, False, [], [], [], str(e)))
+                spent[r.snapshot_id] = spent.get(r.snapshot_id, 0.0) + time.monotonic() - began
             yield pd.DataFrame(out, columns=["snapshot_id", "key", "ok", "faces", "codes", "lines", "error"])
 
     from ..sources.wire import VISION
 
-    return images.select("snapshot_id", "key", "png", "analysed").mapInPandas(run, VISION)
+    parts = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # told, so that few bytes don't end in one task
+    return images.select("snapshot_id", "key", "png", "analysed").repartition(parts, "snapshot_id").sortWithinPartitions("snapshot_id", "key").mapInPandas(run, VISION)
+
+
+def read_back(images: DataFrame, models: Callable[[], dict] | None = None) -> DataFrame:
+    """id and audit of outgoing images (id, png): the lines that can still be read in them, null where reading failed, so
+    that the firewall refuses what it could not read."""
+    from ..sources.png import decode_png
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made: dict | None = None
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                try:
+                    made = made or models()
+                    out.append((r.id, [x["text"] for x in read_lines(decode_png(r.png), made["detect"], made["recognise"], made["keys"])]))
+                except Exception:  # fail closed
+                    out.append((r.id, None))
+            yield pd.DataFrame(out, columns=["id", "audit"])
+
+    kind = images.schema["id"].dataType.simpleString()
+    return images.select("id", "png").mapInPandas(run, f"id {kind}, audit array<string>")

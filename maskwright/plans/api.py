@@ -15,6 +15,15 @@ def same_major(version: Column) -> Column:
     return F.coalesce(F.split(version, r"\.")[0] == X.VERSION.split(".")[0], F.lit(False))
 
 
+def created_sessions(calls: DataFrame, salt: str | None = None) -> DataFrame:
+    """status, session_id, token and max_steps for each call (call_id, vrs_version) that asks for a session; 409 and no
+    session where the major version differs. Ids and tokens are random, or follow from call_id and a salt in tests."""
+    key = F.uuid() if salt is None else F.col("call_id").cast("string")
+    made = calls.withColumn("_a", F.sha2(F.concat_ws("|", F.lit(salt or "id"), key), 256)).withColumn("_b", F.sha2(F.concat_ws("|", F.lit(salt or "token"), F.uuid() if salt is None else F.reverse(key), F.col("_a")), 256))
+    fine = same_major(F.col("vrs_version"))
+    return made.select("call_id", F.when(fine, 200).otherwise(409).alias("status"), F.when(fine, F.concat(F.lit("s_"), F.left("_a", F.lit(8)))).alias("session_id"), F.when(fine, F.col("_b")).alias("token"), F.when(fine, F.lit(X.MAX_STEPS_SERVER)).alias("max_steps"))
+
+
 def live_sessions(calls: DataFrame) -> DataFrame:
     """calls (call_id, session_id, ts, kind, bearer, session_token) with `authorised`.
 

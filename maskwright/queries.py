@@ -10,6 +10,7 @@ from .functions import scalars as S
 from .operators import audit, geometry
 from .operators import detect as D
 from .operators import vault as V
+from .operators.ranking import durable
 from .plans import planner, policy
 from .sources import dom, synth
 from .streaming import sessions
@@ -103,7 +104,7 @@ SELECT doc_id, list_reduce(list_prepend(regexp_replace(t, '{EMAIL}', '⟦EMAIL
 FROM c WHERE len(cards) > 0 OR regexp_matches(t, '{EMAIL}')
 """)
 def redact_documents(spark, sf_dir):
-    return D.redact(_read(spark, sf_dir, "documents")).where(F.size("spans") > 0).select("doc_id", "redacted")
+    return D.redact(_read(spark, sf_dir, "documents"), changed_only=True).select("doc_id", "redacted")
 
 
 # --- vault ---
@@ -217,18 +218,25 @@ def _sql_rules(s: str, rules) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({s}, '{p.replace(chr(39), chr(39) * 2)}') THEN '{c}'" for p, c in rules) + " END"
 
 
-def _values(xs: list[str]) -> str:
-    return ", ".join("('" + x.replace("'", "''") + "')" for x in xs)
+def _told(words: list[str]) -> F.Column:
+    """One of the words for each customer, every third time with the customer's segment."""
+    word = F.element_at(F.array(*map(F.lit, words)), (F.col("c_custkey") % len(words) + 1).cast("int"))
+    return F.concat(word, F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(" "), F.col("c_mktsegment"))).otherwise(F.lit("")))
 
 
-@query(f"SELECT label, {_sql_rules(chr(34) + 's' + chr(34), X.CONTEXT_RULES)} AS cls FROM (SELECT label, regexp_replace(lower(label), '[_-]+', ' ', 'g') AS s FROM (VALUES {_values(_LABELS)}) t(label))")
+def _sql_told(words: list[str]) -> str:
+    listed = ", ".join("'" + x.replace("'", "''") + "'" for x in words)
+    return f"(SELECT c_custkey, [{listed}][CAST(c_custkey % {len(words)} + 1 AS BIGINT)] || CASE WHEN c_custkey % 3 = 0 THEN ' ' || c_mktsegment ELSE '' END AS label FROM customer)"
+
+
+@query(f"SELECT c_custkey, label, {_sql_rules('s', X.CONTEXT_RULES)} AS cls FROM (SELECT c_custkey, label, regexp_replace(lower(label), '[_-]+', ' ', 'g') AS s FROM {_sql_told(_LABELS)})")
 def context_class(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in _LABELS], "label string").select("label", S.class_from_context(F.col("label")).alias("cls"))
+    return _read(spark, sf_dir, "customer").select("c_custkey", _told(_LABELS).alias("label")).select("c_custkey", "label", S.class_from_context(F.col("label")).alias("cls"))
 
 
-@query(f"SELECT attribute, {_sql_rules('lower(attribute)', X.AUTOCOMPLETE_RULES)} AS cls FROM (VALUES {_values(_AUTO)}) t(attribute)")
+@query(f"SELECT c_custkey, label AS attribute, {_sql_rules('lower(label)', X.AUTOCOMPLETE_RULES)} AS cls FROM {_sql_told(_AUTO)}")
 def autocomplete_class(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in _AUTO], "attribute string").select("attribute", S.class_from_autocomplete(F.col("attribute")).alias("cls"))
+    return _read(spark, sf_dir, "customer").select("c_custkey", _told(_AUTO).alias("attribute")).select("c_custkey", "attribute", S.class_from_autocomplete(F.col("attribute")).alias("cls"))
 
 
 @query("""SELECT c_custkey, 'NAME' AS cls, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'ADDRESS', c_custkey || ' Lake Road' FROM customer UNION ALL SELECT c_custkey, 'ACCOUNT', 'A-' || c_custkey FROM customer""")
@@ -320,13 +328,15 @@ def nearest_left_label(spark, sf_dir):
     return geometry.left_labels(lines).select("image_id", "line", "label")
 
 
-@query("""WITH r AS (SELECT s_nationkey AS snap, s_suppkey AS vid, 300 + s_suppkey % 3 * 40 AS w FROM supplier), f AS (SELECT c_nationkey AS snap, c_custkey AS frame_id, 301 + c_custkey % 5 * 40 AS w FROM customer WHERE c_custkey % 11 = 0),
+@query("""WITH r AS (SELECT s_suppkey AS snap, s_suppkey AS vid, 300 + s_suppkey % 3 * 40 AS w FROM supplier), f AS (SELECT c_custkey AS snap, c_custkey * 2 + j AS frame_id, 301 + c_custkey % 5 * 20 + j * (c_custkey % 2) * 40 AS w FROM customer, (VALUES (0), (1)) t(j)),
 m AS (SELECT snap, vid, frame_id, count(*) OVER (PARTITION BY snap, frame_id) AS nf, count(*) OVER (PARTITION BY snap, vid) AS nr FROM r JOIN f USING (snap) WHERE abs(r.w - f.w) <= 2)
 SELECT snap AS snapshot_id, frame_id, vid FROM m WHERE nf = 1 AND nr = 1""")
 def frame_match(spark, sf_dir):
+    """Frames of the screen that has the supplier's key, two of a customer: of one size, or one 40 pixels wider."""
     w = 300 + F.col("s_suppkey") % 3 * 40
-    rasters = _read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("snapshot_id"), F.col("s_suppkey").alias("vid"), F.lit("iframe").alias("kind"), F.lit("https://Pay.example:443/f").alias("src"), S.box(F.lit(10), F.lit(10), w + 10, F.lit(110)).alias("inner"))
-    frames = _read(spark, sf_dir, "customer").where("c_custkey % 11 = 0").select(F.col("c_nationkey").alias("snapshot_id"), F.col("c_custkey").alias("frame_id"), F.lit("https://pay.example/x?y").alias("url"), (301 + F.col("c_custkey") % 5 * 40).alias("w"), F.lit(99).alias("h"))
+    rasters = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("snapshot_id"), F.col("s_suppkey").alias("vid"), F.lit("iframe").alias("kind"), F.lit("https://Pay.example:443/f").alias("src"), S.box(F.lit(10), F.lit(10), w + 10, F.lit(110)).alias("inner"))
+    c, j = F.col("c_custkey"), F.col("j")
+    frames = _read(spark, sf_dir, "customer").withColumn("j", F.explode(F.array(F.lit(0), F.lit(1)))).select(c.alias("snapshot_id"), (c * 2 + j).alias("frame_id"), F.lit("https://pay.example/x?y").alias("url"), (301 + c % 5 * 20 + j * (c % 2) * 40).alias("w"), F.lit(99).alias("h"))
     return geometry.match_frames(rasters, frames).select("snapshot_id", "frame_id", "vid")
 
 
@@ -362,7 +372,7 @@ def screen_state(spark, sf_dir):
 
 
 def _requests(spark, sf_dir) -> DataFrame:
-    """A screen for each customer, of five kinds; two steps each of the first 5,000."""
+    """A screen for each customer, of five kinds; two steps each."""
     c = _read(spark, sf_dir, "customer").select("c_custkey", F.explode(F.array(F.lit(1), F.lit(2))).alias("step"))
     kind = F.col("c_custkey") % 5
     none = F.lit(None)
@@ -425,7 +435,14 @@ def latest_log(spark, sf_dir):
     return sessions.latest_log(_read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"]).select("user_id", "event_id")
 
 
-@query()
+_DAY = 86_400_000
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) * 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT user_id, i, ms AS first_ms, ms + {_DAY} AS settled_ms, 1 AS n FROM e WHERE i = 1
+ UNION ALL SELECT e.user_id, e.i, CASE WHEN e.ms < r.settled_ms THEN r.first_ms ELSE e.ms END, CASE WHEN e.ms < r.settled_ms THEN least(e.ms + {_DAY}, r.first_ms + {7 * _DAY}) ELSE e.ms + {_DAY} END, CASE WHEN e.ms < r.settled_ms THEN r.n + 1 ELSE 1 END
+ FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT CAST(user_id AS VARCHAR) AS key, first_ms, max(settled_ms) AS settled_ms, CAST(max(n) AS BIGINT) AS n FROM r GROUP BY user_id, first_ms""")
 def settle_events(spark, sf_dir):
     """Runs of a user's events that a day without any ends, a week after their start at the latest."""
     e = _read(spark, sf_dir, "events").select("user_id", (F.unix_timestamp(F.col("ts").cast("timestamp")) * 1000).alias("ms"))
@@ -435,17 +452,24 @@ def settle_events(spark, sf_dir):
 # --- made-up pages and their scan ---
 
 
-@query("""SELECT template, count(*) AS n_pages, CAST(sum(n) AS BIGINT) AS n_truth FROM (SELECT CASE c_custkey % 3 WHEN 0 THEN 'kyc_form' WHEN 1 THEN 'profile' ELSE 'statement' END AS template, CASE c_custkey % 3 WHEN 0 THEN 6 WHEN 1 THEN 8 ELSE 7 END AS n FROM customer) GROUP BY template""")
+@query("""SELECT template, count(*) AS n_pages, CAST(sum(n) AS BIGINT) AS n_truth FROM (SELECT CASE c_custkey % 3 WHEN 0 THEN 'onboarding' WHEN 1 THEN 'member_card' ELSE 'ledger' END AS template, CASE c_custkey % 3 WHEN 0 THEN 6 WHEN 1 THEN 8 ELSE 7 END AS n FROM customer) GROUP BY template""")
 def synth_pages(spark, sf_dir):
     made = synth.pages(synth.people(_read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))))
     return made.groupBy("template").agg(F.count(F.lit(1)).alias("n_pages"), F.sum(F.size("truth")).cast("long").alias("n_truth"))
 
 
-@query()
+_ACCOUNT = " || ".join(f"lpad(CAST(((k + 1 + 6 * 7919) * {104_729 + 2 * (6 * 31 + i)} + {7 * (i + 3) * 15_485_863}) % {10**n} AS VARCHAR), {n}, '0')" for i, n in enumerate((6, 6, 2)))
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS k FROM customer), a AS (SELECT k % 3 AS m, {_ACCOUNT} AS account FROM c),
+n AS (SELECT count(*) FILTER (m = 0) AS f, count(*) FILTER (m = 1) AS d, count(*) FILTER (m = 2) AS l, count(*) FILTER (m = 2 AND {_sql_luhn("account")}) AS cards FROM a),
+r AS (SELECT class, labelled, hit, found FROM n, LATERAL (VALUES ('AADHAAR', f + d, f + d, f + d), ('PAN', f + d, f + d, f + d), ('DOB', f + d, f + d, f + d), ('EMAIL', f + d, f + d, f + d), ('PHONE', f + d + l, f + d + l, f + d + l), ('ADDRESS', d, d, d), ('IFSC', l, l, l),
+ ('UPI', 2 * l, 2 * l, 2 * l), ('NAME', f + 2 * d + l, f + d + l, f + d + l), ('ACCOUNT', l, l, l - cards), ('CARD', l, l, l + cards)) t(class, labelled, hit, found))
+SELECT class, labelled, hit, found, found AS "right", hit / labelled AS recall, 1.0::DOUBLE AS precision FROM r WHERE labelled > 0""")
 def synth_score(spark, sf_dir):
     """Recall and precision by class of what scanning finds on made-up pages: fields by their class, texts by spans."""
     made = synth.pages(synth.people(_read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))))
-    scanned = dom.scan_pages(made.select("page", "html"), "page", "html")
+    scanned = durable(dom.scan_pages(made.select("page", "html"), "page", "html"))  # two branches read it
     fields = scanned.select("page", F.explode("elements").alias("e")).where((F.col("e.value") != "") & F.col("e.role").isin(X.FIELD_ROLES))
     fields = fields.select("page", S.field_class(*[F.col(f"e.{c}") for c in ("type", "autocomplete", "label", "name", "idAttr", "placeholder")]).alias("class"), F.col("e.value").alias("value")).where("class is not null")
     spans = scanned.select("page", F.explode("texts").alias("t")).select("page", F.explode("t.spans").alias("s")).select("page", F.col("s.cls").alias("class"), F.col("s.value").alias("value"))
@@ -465,4 +489,4 @@ def json_string_leaves(spark, sf_dir):
     image = F.lit("x").alias("image")
     screen = F.struct(F.array(F.struct(F.col("c_name").alias("text"), image)).alias("texts"), image)
     rows = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.to_json(F.struct(screen.alias("screen"), F.col("c_custkey").alias("n"), F.col("c_mktsegment").alias("segment"))).alias("json"))
-    return audit.json_leaves(rows).select(F.col("id").alias("c_custkey"), "path", "value")
+    return audit.json_leaves(rows).where("error is null").select(F.col("id").alias("c_custkey"), "path", "value")

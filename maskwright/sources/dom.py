@@ -28,13 +28,24 @@ BUTTON_TYPES = ["submit", "button", "reset", "image", "file"]
 OTHER_TYPES = ["range", "color"]
 CLOSED_BY = {"li": {"li"}, "p": {"p", "div", "ul", "ol", "table", "section", "form", "h1", "h2", "h3", "dl", "article"}, "option": {"option"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 WHITE = re.compile(r"\s+")
+SILENT, UNASKED, DRAWN = 1, 2, 4
+WITHIN = {SILENT: NO_TEXT | {"head", "title"}, UNASKED: NEVER_VALUE, DRAWN: frozenset({"svg"})}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "order")
+    """An element. prev is the element before it under the same parent; hidden, and what `within` holds of the tag sets
+    below, are those of its ancestors too, worked out as the page is read from its start."""
+
+    __slots__ = ("tag", "attrs", "parent", "children", "order", "prev", "last", "hidden", "within", "interactive")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None, order: int):
         self.tag, self.attrs, self.parent, self.children, self.order = tag, attrs, parent, [], order
+        self.prev, self.last = (parent.last if parent else None), None
+        self.hidden = (parent.hidden if parent else False) or _hides(attrs)
+        self.within = (parent.within if parent else 0) | sum(bit for bit, tags in WITHIN.items() if tag in tags)
+        self.interactive = False  # whether it or anything in it is, known once the page is read
+        if parent:
+            parent.last = self
 
     def up(self) -> Iterator[Node]:
         n: Node | None = self
@@ -43,31 +54,25 @@ class Node:
             n = n.parent
 
     def walk(self) -> Iterator[Node]:
-        yield self
-        for c in self.children:
-            if isinstance(c, Node):
-                yield from c.walk()
-
-    def inside(self, tags) -> bool:
-        return any(n.tag in tags for n in self.up())
+        left = [self]
+        while left:
+            n = left.pop()
+            yield n
+            left += [c for c in reversed(n.children) if isinstance(c, Node)]
 
     def strings(self) -> Iterator[str]:
-        if self.tag in NOT_LABEL_TEXT:
-            return
-        for c in self.children:
-            if isinstance(c, str):
-                yield c
-            else:
-                yield from c.strings()
-
-    def before(self) -> Node | None:
-        found = None
-        for c in self.parent.children if self.parent else []:
-            if c is self:
-                return found
-            if isinstance(c, Node):
-                found = c
-        return None
+        left: list[Node | str] = [self]
+        while left:
+            n = left.pop()
+            if isinstance(n, str):
+                yield n
+            elif n.tag not in NOT_LABEL_TEXT:
+                left += reversed(n.children)
+
+
+def _hides(attrs: dict[str, str]) -> bool:
+    style = attrs.get("style", "").replace(" ", "").lower()
+    return "hidden" in attrs or "display:none" in style or "visibility:hidden" in style or re.search(r"opacity:0(?![.\d])", style) is not None
 
 
 class Tree(HTMLParser):
@@ -106,7 +111,16 @@ class Tree(HTMLParser):
 
 
 def shown_text(node: Node | None, most: int = 120) -> str:
-    return WHITE.sub(" ", "".join(node.strings())).strip()[:most] if node is not None else ""
+    """The first `most` characters of the text in a node; no more of it is read than they need."""
+    if node is None:
+        return ""
+    parts, n = [], 0
+    for part in node.strings():
+        parts.append(part)
+        n += len(WHITE.sub("", part))
+        if n > most:
+            break
+    return WHITE.sub(" ", "".join(parts)).strip()[:most]
 
 
 def short_text(node: Node | None) -> str:
@@ -115,11 +129,7 @@ def short_text(node: Node | None) -> str:
 
 
 def is_visible(node: Node) -> bool:
-    for n in node.up():
-        style = n.attrs.get("style", "").replace(" ", "").lower()
-        if "hidden" in n.attrs or "display:none" in style or "visibility:hidden" in style or re.search(r"opacity:0(?![.\d])", style):
-            return False
-    return not (node.tag == "input" and node.attrs.get("type", "").lower() == "hidden")
+    return not node.hidden and not (node.tag == "input" and node.attrs.get("type", "").lower() == "hidden")
 
 
 def is_interactive(n: Node) -> bool:
@@ -156,7 +166,7 @@ def label_of(n: Node, role: str, by_id: dict[str, Node], labels: dict[str, list[
 def nearby_label(n: Node) -> str:
     """Short text of the element before, or of the one before the parent."""
     for at in (n, n.parent):
-        if at is not None and (text := short_text(at.before())):
+        if at is not None and (text := short_text(at.prev)):
             return text
     return ""
 
@@ -192,6 +202,10 @@ def scan(source: str) -> dict:
     can't be a value."""
     root = Tree(source or "").root
     nodes = list(root.walk())
+    for n in reversed(nodes):
+        n.interactive = n.interactive or is_interactive(n)
+        if n.parent is not None and n.interactive:
+            n.parent.interactive = True
     by_id = {n.attrs["id"]: n for n in reversed(nodes) if n.attrs.get("id")}
     labels: dict[str, list[Node]] = {}
     for n in nodes:
@@ -209,7 +223,7 @@ def scan(source: str) -> dict:
                 "options": [WHITE.sub(" ", "".join(c for c in o.children if isinstance(c, str))).strip() for o in n.walk() if o.tag == "option"] if n.tag == "select" else None, "bbox": None, "valueBox": None,
             })
     for n in nodes:
-        if n.tag in RASTERS and not (n.tag == "svg" and n.parent and n.parent.inside({"svg"})) and is_visible(n):
+        if n.tag in RASTERS and not (n.tag == "svg" and n.parent and n.parent.within & DRAWN) and is_visible(n):
             least = 96 if n.tag == "svg" else 48
             w, h = _size(n.attrs.get("width")), _size(n.attrs.get("height"))
             if all(x is None or x >= least for x in (w, h)):
@@ -217,12 +231,12 @@ def scan(source: str) -> dict:
                 rasters.append({"vid": 0, "kind": n.tag, "alt": alt, "bbox": [0.0, 0.0, w, h] if w is not None and h is not None else None, "src": n.attrs.get("src") if n.tag == "iframe" else None, "inner": None})
     for n in nodes:
         own = [c for c in n.children if isinstance(c, str) and c.strip()]
-        if own and n.parent is not None and not n.inside(NO_TEXT | {"head", "title"}) and is_visible(n):
+        if own and n.parent is not None and not n.within & SILENT and is_visible(n):
             text = "".join(own)
-            as_label = lambda e: short_text(e) if e is not None and not any(is_interactive(x) for x in e.walk()) else ""
+            as_label = lambda e: short_text(e) if e is not None and not e.interactive else ""
             label = None
-            if len(text.strip()) <= 120 and not n.inside(NEVER_VALUE):
-                label = as_label(n.before()) or as_label(n.parent.before())
+            if len(text.strip()) <= 120 and not n.within & UNASKED:
+                label = as_label(n.prev) or as_label(n.parent.prev)
                 label = label if label and len(label) <= 40 else None
             texts.append({"vid": 0, "text": text, "bbox": None, "prev_label": label})
             if len(texts) >= X.MAX_BLOCKS:

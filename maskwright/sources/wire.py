@@ -77,8 +77,9 @@ def parsed_requests(raw: DataFrame, column: str = "json") -> DataFrame:
     return rows.withColumn("schema_ok", ok).select(*[c for c in rows.columns if c != "r"], "schema_ok", "r.*")
 
 
-def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STEP_REQUEST).option("multiLine", True).json(path)
+def read_requests(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Requests of JSON files: one in each file, or with `lines` one in each line."""
+    return spark.read.schema(STEP_REQUEST).option("multiLine", not lines).json(path)
 
 
 def read_settings(stored: dict | None, patch: dict | None = None) -> dict:

@@ -88,6 +88,28 @@ def settled(changes: DataFrame, key: str, ms: str, quiet: int = 300, most: int =
     return parts.select(F.col(key).cast("string").alias("key"), F.col(ms).cast("long").alias("ms"), "_run").groupBy("key", "_run").applyInPandas(fold, SETTLED)
 
 
+def stream_settled(changes: DataFrame, key: str, ts: str, quiet: int = 300, most: int = 3000, watermark: str = "1 minute") -> DataFrame:
+    """settled() over a stream of changes: a run is told once the watermark has passed the time at which it settles. What
+    comes later than the watermark allows is left out, as in all event-time state."""
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting = list(state.get[0]) if state.exists else []
+        for b in batches:
+            waiting += [t.value // 1_000_000 for t in b["ts"]]
+        now, runs = state.getCurrentWatermarkMs(), settle_groups(waiting, quiet, most)
+        done = [r for r in runs if r[1] <= now]
+        left = sorted(t for t in waiting if not done or t >= done[-1][1])
+        if left:
+            state.update((left,))
+            state.setTimeoutTimestamp(max(settle_groups(left, quiet, most)[0][1], now + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame([(str(k[0]), a, b, n) for a, b, n in done], columns=["key", "first_ms", "settled_ms", "n"])
+
+    rows = changes.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", watermark)
+    return rows.groupBy("key").applyInPandasWithState(run, SETTLED, "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def latest_log(events: DataFrame, key: str, order: list[str], most: int = 60) -> DataFrame:
     """The last events of each key, the ring that a panel shows."""
     newest = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])

@@ -1,7 +1,7 @@
 """The vault as running state: placeholders stay the same from batch to batch until the vault is wiped.
 
-Each batch writes a whole new version in its own folder, so a batch that runs again writes the same one, and readers
-never see half a version.
+Each batch writes only its new entries, in its own folder; every COMPACT batches one writes the whole vault, so that
+readers open few folders. A batch that runs again writes the same, and readers never see half a folder.
 """
 
 from __future__ import annotations
@@ -10,23 +10,43 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.vault import COLUMNS, build_vault
 
+COMPACT = 32
 
-def vault_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest version, or the newest before that of a batch; None if there is none."""
+
+def _folder(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return jvm, root, root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def vault_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The vault after all batches, or after those before a batch; None if there is none."""
+    jvm, root, fs = _folder(spark, path)
     if not fs.exists(root):
         return None
-    found = [int(str(s.getPath().getName()).removeprefix("batch=")) for s in fs.listStatus(root) if s.getPath().getName().startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    found = [n for n in found if before is None or n < before]
-    return spark.read.parquet(f"{path}/batch={max(found)}").select(*COLUMNS) if found else None
+    names = [s.getPath().getName() for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    numbers = lambda kind: [n for n in (int(x.removeprefix(kind)) for x in names if x.startswith(kind)) if before is None or n < before]
+    whole = max(numbers("whole="), default=-1)
+    parts = [f"{path}/batch={n}" for n in sorted(numbers("batch=")) if n > whole] + ([f"{path}/whole={whole}"] if whole >= 0 else [])
+    return spark.read.parquet(*parts).select(*COLUMNS) if parts else None
 
 
 def keep_vault(sightings: DataFrame, path: str, checkpoint: str):
     """Feeds a stream of sightings (cls, value, source, valid, ord) into the vault at a path."""
 
     def put(batch: DataFrame, number: int) -> None:
-        build_vault(batch, vault_version(batch.sparkSession, path, number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        known = vault_version(spark, path, number)
+        after = build_vault(batch, known)
+        new = after if known is None else after.join(known.select("key"), "key", "left_anti").select(*COLUMNS)
+        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if number % COMPACT == COMPACT - 1:
+            vault_version(spark, path, number + 1).write.mode("overwrite").parquet(f"{path}/whole={number}")
 
     return sightings.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def wipe_vault(spark: SparkSession, path: str) -> None:
+    """Forgets all entries; the next batch numbers from 1 again."""
+    _, root, fs = _folder(spark, path)
+    fs.delete(root, True)

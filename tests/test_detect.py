@@ -84,3 +84,17 @@ def test_long_runs_are_read_once(spark):
     began = time.time()
     assert spans(spark, "x" * 300_000 + " @ " + "y" * 300_000 + "@cd.in", lambda t: D.pattern_spans(t, "EMAIL"))[0][3] == 300_003
     assert time.time() - began < 30
+
+
+def test_terms_of_signs_only_and_the_order_of_terms(spark):
+    texts = spark.createDataFrame([(1, "pay $$$ now, Falcon-9 FALCON 9"), (2, None), (3, "$ $$ falcon")], "item int, text string")
+    terms = spark.createDataFrame([("$$$", "CUSTOM", "⟦C_1⟧", 3), ("Falcon", "CUSTOM", "⟦C_2⟧", 2), ("falcon", "NAME", "⟦N_1⟧", 1), ("Falcon 9", "CUSTOM", "⟦C_3⟧", 4)], "term string, cls string, token string, ord int")
+    got = {r.item: [(s.value, s.token) for s in r.dict_spans] for r in D.dictionary_spans(texts, terms).collect()}
+    assert got == {1: [("$$$", "⟦C_1⟧"), ("Falcon", "⟦N_1⟧"), ("FALCON 9", "⟦C_3⟧")], 2: [], 3: [("falcon", "⟦N_1⟧")]}
+
+
+def test_redacting_only_what_changes(spark):
+    docs = spark.createDataFrame([(1, "to a.b@mail.in"), (2, "Order 482166301978"), (3, None)], "id int, text string")
+    assert [(r.id, r.redacted) for r in D.redact(docs, changed_only=True).collect()] == [(1, "to ⟦EMAIL⟧")]
+    plan = D.redact(docs, changed_only=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == D.redact(docs)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")

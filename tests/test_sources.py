@@ -69,7 +69,7 @@ def test_made_up_pages_are_found(spark):
     made = synth.pages(synth.people(keys))
     scanned = dom.scan_pages(made.select("page", "html"), "page", "html")
     spans = scanned.select("page", F.explode("texts").alias("t")).select("page", F.explode("t.spans").alias("s")).select("page", F.col("s.cls").alias("class"), F.col("s.value").alias("value"))
-    truth = made.where("template = 'statement'").select("page", F.explode("truth").alias("t")).select("page", "t.class", "t.value")
+    truth = made.where("template = 'ledger'").select("page", F.explode("truth").alias("t")).select("page", "t.class", "t.value")
     got = {r["class"]: r for r in synth.score(truth, spans).collect()}
     assert all(got[c].recall == 1 for c in ("UPI", "CARD", "IFSC", "PHONE", "ACCOUNT")) and got["CARD"].precision == 1
     assert made.count() == 60 and made.select("template").distinct().count() == 3
@@ -193,3 +193,32 @@ def test_failed_vision_rows(spark):
         return {"faces": lambda x: heads, "detect": lambda x: np.zeros((1, 1, *x.shape[2:])), "recognise": None, "keys": []}
 
     assert [(r.ok, r.faces, r.lines) for r in vision.analyse(rows.where("key = 'k'"), models).collect()] == [(True, [], [])]
+
+
+def test_deep_and_wide_pages(spark):
+    deep = "<div>" * 5000 + "x user@mail.example" + "</div>" * 5000
+    wide = "<ul>" + "".join(f"<li>{i}</li><input name=n{i}>" for i in range(3000)) + "</ul>"
+    rows = spark.createDataFrame([(1, deep), (2, wide), (3, None), (4, "<div hidden><p>no</p></div><p>yes</p><svg width=100 height=100><svg width=100 height=100></svg></svg>")], "page_id int, html string")
+    got = {r.page_id: r for r in dom.scan_pages(rows).collect()}
+    assert [s.value for s in got[1].texts[0].spans] == ["user@mail.example"]
+    assert len(got[2].texts) == 400 and len(got[2].elements) == 3000 and got[2].elements[1].label == "1"
+    assert got[3].texts == [] and [t.text for t in got[4].texts] == ["yes"] and len(got[4].rasters) == 1
+
+
+def test_time_budget_and_reading_back(spark):
+    image = bytearray(png.encode_png(np.full((9, 9, 4), 255, np.uint8)))
+    rows = spark.createDataFrame([("p", "a", image, True), ("p", "b", image, True), ("q", "a", image, True)], "snapshot_id string, key string, png binary, analysed boolean")
+
+    def models():
+        heads = {f"{n}_{s}": np.zeros((vision.FACE_SIDE // s) ** 2 * (4 if n == "bbox" else 1)) for s in vision.FACE_STRIDES for n in ("cls", "obj", "bbox")}
+        return {"faces": lambda x: heads, "detect": lambda x: np.zeros((1, 1, *x.shape[2:])), "recognise": None, "keys": []}
+
+    assert {(r.snapshot_id, r.key): r.error for r in vision.analyse(rows, models, seconds=0.0).collect()} == {("p", "a"): None, ("p", "b"): "time budget exceeded", ("q", "a"): None}
+    assert [r.audit for r in vision.read_back(rows.selectExpr("1 AS id", "png").limit(1), models).collect()] == [[]]
+    assert [r.audit for r in vision.read_back(rows.selectExpr("1 AS id", "png").limit(1)).collect()] == [None]
+
+
+def test_only_passed_screens_are_written(spark, tmp_path):
+    screens = spark.createDataFrame([("a",), ("b",), ("c",)], "snapshot_id string")
+    wire.sanitized_only(screens, spark.createDataFrame([("a", True), ("b", False), ("c", None)], "id string, ok boolean"), str(tmp_path / "out"))
+    assert [r.snapshot_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["a"]

@@ -1,6 +1,9 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from maskwright.streaming import sessions as S
+from maskwright.streaming import vaults
 
 T0 = dt.datetime(2026, 1, 1)
 
@@ -40,3 +43,31 @@ def test_settled_frame(spark):
 def test_log_ring(spark):
     e = spark.createDataFrame([("a", i) for i in range(100)], "k string, i int")
     assert sorted(r.i for r in S.latest_log(e, "k", ["i"]).collect()) == list(range(40, 100))
+
+
+def test_settling_stream_equals_batch(spark, tmp_path):
+    base = 1_000_000
+    rows = [("a", base + t) for t in range(0, 6000, 200)] + [("b", base + 7), ("b", base + 9000), ("c", base + 200_000)]
+    stamp = F.timestamp_millis("ms").alias("ts")
+    for i, part in enumerate((rows[:12], rows[12:])):
+        spark.createDataFrame(part, "k string, ms long").select("k", stamp).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    S.to_sink(S.stream_settled(stream, "k", "ts"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = sorted((r.key, r.first_ms - base, r.settled_ms - base, r.n) for r in spark.read.schema(S.SETTLED).parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", 0, 3000, 15), ("a", 3000, 6000, 15), ("b", 7, 307, 1), ("b", 9000, 9300, 1)]
+
+
+def test_vault_stream_appends_compacts_and_is_wiped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vaults, "COMPACT", 3)
+    rows = [(i, "NAME", f"Name {i % 7}", "s", None) for i in range(20)]
+    path = str(tmp_path / "vault")
+    for i in range(0, 20, 4):
+        spark.createDataFrame(rows[i : i + 4], "ord long, cls string, value string, source string, valid boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ord long, cls string, value string, source string, valid boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    vaults.keep_vault(stream, path, str(tmp_path / "cp")).awaitTermination()
+    made = vaults.vault_version(spark, path)
+    assert sorted(r.n for r in made.collect()) == list(range(1, 8)) and made.select("key").distinct().count() == 7
+    assert {p.name for p in (tmp_path / "vault").iterdir()} == {*[f"batch={i}" for i in range(5)], "whole=2"}
+    assert vaults.vault_version(spark, path, 1).count() < 7
+    vaults.wipe_vault(spark, path)
+    assert vaults.vault_version(spark, path) is None
