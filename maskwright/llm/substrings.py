@@ -14,7 +14,9 @@ window of BLOCK words of every document is a probe.
 
 As batches are in the order of doc_id, only hashes and bits travel, and what a batch repeats within itself travels
 once, however often it occurs. A batch holds about BATCH_BYTES of text, and a partition of the hash space as much as a
-batch. Sequences are compared by 96 bits of hashes.
+batch. Sequences are compared by 96 bits of hashes. A batch sends at most 2**COARSE_BITS messages. Where there must be
+more partitions than that, messages meet in chunks of CHUNK_BYTES, which are cut by more bits of the hash and sent on,
+and the answers take the same way back, so that rows grow in proportion to the bytes.
 
 Cases: a null or empty text has no words; a text of less than WINDOW words loses none; rows of one doc_id don't count
 as before each other; a row with a null doc_id neither loses words nor makes others lose any; very long texts are read
@@ -38,6 +40,7 @@ from .textkernel import Words, arrow_bytes, released
 WINDOW = 13
 BATCH_BYTES = 4 << 20
 MANY_BATCHES = 20_000
+COARSE_BITS, CHUNK_BYTES = 12, 32 << 20
 _CHECK_STEP = 0x9FB21C651E98DF25
 
 
@@ -150,16 +153,16 @@ def _answered(table: pa.Table, kind: int, verdict) -> pa.Table:
     })
 
 
-def anchor_bits(batches: np.ndarray, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def anchor_bits(batches: np.ndarray, blobs: list[bytes], kind: type = np.uint32) -> tuple[np.ndarray, np.ndarray]:
     """An entry is an anchor if its hash is indexed by any batch and in several batches."""
-    sizes = np.array([len(b) // 4 for b in blobs])
-    v = np.frombuffer(b"".join(blobs), dtype=np.uint32)
-    order = np.argsort(v >> 1, kind="stable")
+    sizes = np.array([len(b) // np.dtype(kind).itemsize for b in blobs])
+    v = np.frombuffer(b"".join(blobs), dtype=kind)
+    order = np.argsort(v >> kind(1), kind="stable")
     s = v[order]
     new = np.ones(len(s), dtype=bool)
-    new[1:] = (s[1:] >> 1) != (s[:-1] >> 1)
+    new[1:] = (s[1:] >> kind(1)) != (s[:-1] >> kind(1))
     group = np.cumsum(new) - 1
-    many, indexed = np.bincount(group) > 1, np.bincount(group, weights=s & 1) > 0
+    many, indexed = np.bincount(group) > 1, np.bincount(group, weights=(s & kind(1)).astype(np.int64)) > 0
     out = np.zeros(len(v), dtype=bool)
     out[order] = (many & indexed)[group]
     return out, sizes
@@ -181,41 +184,141 @@ def before_bits(batches: np.ndarray, blobs: list[bytes]) -> tuple[np.ndarray, np
     return out, sizes
 
 
+def _hashes(kind: int, blob: bytes) -> np.ndarray:
+    """The sorted 64-bit hashes of a message of anchors (1) or of sequences (2)."""
+    return np.frombuffer(blob, np.uint64, len(blob) // 8 if kind == 1 else len(blob) // 12)
+
+
+def _piece(kind: int, blob: bytes, a: int, b: int) -> bytes:
+    """Entries a to b of a message."""
+    n = len(blob) // 12
+    return blob[8 * a : 8 * b] if kind == 1 else blob[8 * a : 8 * b] + blob[8 * n + 4 * a : 8 * n + 4 * b]
+
+
+CHUNK = "part int, first int, sub int, batches array<int>, sizes array<int>, payload binary"
+
+
+def _regrouped(messages, kind: int, bits: int, fine: int, chunk_bytes: int):
+    """Messages (batch, part, payload), a part's together and in order of batch -> chunks of them, cut by the next `fine`
+    bits of the hash, so that how many rows travel follows from the bytes alone."""
+    held: list[tuple[int, bytes]] = []
+    part, size = -1, 0
+
+    def flush():
+        cuts = []
+        for _, blob in held:
+            sub = (_hashes(kind, blob) >> np.uint64(64 - bits - fine)) & np.uint64((1 << fine) - 1)
+            cuts.append(np.searchsorted(sub, np.arange((1 << fine) + 1)))
+        batches = pa.array([[b for b, _ in held]], pa.list_(pa.int32()))
+        for s in range(1 << fine):
+            blobs = [_piece(kind, blob, int(c[s]), int(c[s + 1])) for (_, blob), c in zip(held, cuts, strict=True)]
+            if any(blobs):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part], pa.int32()), pa.array([held[0][0]], pa.int32()), pa.array([s], pa.int32()), batches, pa.array([[len(x) for x in blobs]], pa.list_(pa.int32())), pa.array([b"".join(blobs)], pa.binary())],
+                    names=["part", "first", "sub", "batches", "sizes", "payload"],
+                )
+
+    for m in messages:
+        for batch, own, blob in zip(*(m.column(k).to_pylist() for k in range(3)), strict=True):
+            if held and (own != part or size + len(blob) > chunk_bytes):
+                yield from flush()
+                held, size = [], 0
+            part, size = own, size + len(blob)
+            held.append((batch, blob))
+    if held:
+        yield from flush()
+
+
+def _answered_chunks(table: pa.Table, verdict) -> pa.Table:
+    """For the chunks of one part and one value of the next bits the bits of their entries."""
+    rows = table.select(["batches", "sizes", "payload"]).to_pylist()
+    batches, blobs, counts = [], [], []
+    for r in rows:
+        at = np.append(0, np.cumsum(r["sizes"]))
+        batches += r["batches"]
+        blobs += [r["payload"][a:b] for a, b in zip(at, at[1:], strict=False)]
+        counts.append(len(r["sizes"]))
+    bits, sizes = verdict(np.array(batches), blobs)
+    at, msg = np.append(0, np.cumsum(sizes)), np.append(0, np.cumsum(counts))
+    packed = [np.packbits(bits[at[a] : at[b]]).tobytes() for a, b in zip(msg, msg[1:], strict=False)]
+    entries = [sizes[a:b].tolist() for a, b in zip(msg, msg[1:], strict=False)]
+    out = table.drop(["sizes", "payload"])
+    return out.append_column("sizes", pa.array(entries, pa.list_(pa.int32()))).append_column("payload", pa.array(packed, pa.binary())).select(["part", "first", "sub", "batches", "sizes", "payload"])
+
+
+def _merged(table: pa.Table, kind: int) -> pa.Table:
+    """The bitmap of each message of a chunk, from those of its entries by the next bits."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["sub"])
+    out: list[list[np.ndarray]] = [[] for _ in rows[0]["batches"]]
+    for r in rows:
+        at = np.append(0, np.cumsum(r["sizes"]))
+        bits = np.unpackbits(np.frombuffer(r["payload"], np.uint8), count=int(at[-1]))
+        for k, (a, b) in enumerate(zip(at, at[1:], strict=False)):
+            out[k].append(bits[a:b])
+    n = len(out)
+    return pa.table({
+        "batch": pa.array(rows[0]["batches"], pa.int32()), "kind": pa.array([kind] * n, pa.int32()), "part": pa.array([rows[0]["part"]] * n, pa.int32()),
+        "payload": pa.array([np.packbits(np.concatenate(x)).tobytes() for x in out], pa.binary()),
+    })
+
+
+def batch_bounds(docs: DataFrame, total: int, batch_bytes: int, wide: int) -> list[int]:
+    """The greatest doc_id of each batch but the last. Ranges of doc_id, four for a batch, are put together as long as they
+    stay within batch_bytes of text; one that alone holds more, as a very long text or a repeated doc_id, is a batch."""
+    n = max(1, math.ceil(total / batch_bytes), min(wide, total // (batch_bytes // 8)))
+    if n == 1:
+        return []
+    most = total / n
+    ids = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    ids = ids.repartitionByRange(4 * n, "doc_id").groupBy(F.spark_partition_id().alias("range")).agg(F.max("doc_id").alias("top"), F.sum("size").alias("size"))
+    out, size, last = [], 0, None
+    for r in sorted(ids.collect(), key=lambda r: r.top):  # four rows for each batch
+        if size and size + r["size"] > most:
+            out.append(last)
+            size = 0
+        size, last = size + r["size"], r.top
+    return out
+
+
 def _ranged(doc_id: Column, bounds: list, null_to: Column) -> Column:
     """How many of the sorted bounds lie below doc_id, by a search in two levels."""
     if not bounds:
-        return F.lit(0)
+        return F.when(doc_id.isNull(), null_to).otherwise(F.lit(0)).cast("int")
     width = max(1, math.isqrt(len(bounds)))
     runs = [bounds[k : k + width] for k in range(0, len(bounds), width)]
+    longs = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")  # noqa: E731  one literal, which the optimizer folds
     count = lambda xs: F.size(F.filter(xs, lambda b: b < doc_id))
-    outer = F.size(F.filter(F.array(*[F.lit(r[-1]) for r in runs]), lambda b: b < doc_id))
-    inner = F.get(F.array(*[F.array(*map(F.lit, r)) for r in runs]), F.least(outer, F.lit(len(runs) - 1)))
+    outer = count(longs([r[-1] for r in runs]))
+    all_runs = F.transform(F.split(F.lit(";".join(",".join(map(str, r)) for r in runs)), ";"), lambda r: F.split(r, ",").cast("array<bigint>"))
+    inner = F.get(all_runs, F.least(outer, F.lit(len(runs) - 1)))
     return F.when(doc_id.isNull(), null_to).otherwise(F.when(outer == len(runs), len(bounds)).otherwise(outer * width + count(inner))).cast("int")
 
 
-def deduped(docs: DataFrame, window: int = WINDOW, carry: list[str] | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def deduped(docs: DataFrame, window: int = WINDOW, carry: list[str] | None = None, batch_bytes: int = BATCH_BYTES, coarse_bits: int = COARSE_BITS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row, or with `carry` those columns, text (the kept words
     joined by one space; as it was if no word goes), n_words and n_removed."""
     spark = docs.sparkSession
     total = int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # each batch sends a message to each partition: past MANY_BATCHES, batches grow first, 16 times at most
-    batch_bytes = max(batch_bytes, min(16 * batch_bytes, total // MANY_BATCHES))
-    n_batches = max(1, math.ceil(total / batch_bytes), min(wide, total // (batch_bytes // 8)))
-    bits = max(0, (n_batches - 1).bit_length())
-    bounds = []
-    if n_batches > 1:
-        cuts = [k / n_batches for k in range(1, n_batches)]
-        bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", cuts, max(10_000, 20 * n_batches))).first()[0] or []))
-    batch = _ranged(F.col("doc_id"), bounds, F.pmod(F.xxhash64("text"), F.lit(n_batches)).cast("int"))
-    slim = docs.select(batch.alias("batch"), "doc_id", "text")
+    batch_bytes = max(batch_bytes, min(16 * batch_bytes, total // MANY_BATCHES))  # bounds are kept by the driver
+    bounds = batch_bounds(docs, total, batch_bytes, wide)
+    n_batches = len(bounds) + 1
+    all_bits = max(0, (n_batches - 1).bit_length())
+    bits = min(all_bits, coarse_bits)
+    fine = all_bits - bits
+    # rows without a doc_id take no part and are spread
+    batch = _ranged(F.col("doc_id"), bounds, F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(n_batches)).cast("int"))
+    slim = docs.where("doc_id is not null").select(batch.alias("_batch"), "doc_id", "text")
     reply = "batch int, kind int, part int, payload binary"
     sent = "batch int, part int, payload binary"
 
     def ask_anchors(key, table):
         b = Batch(table, window)
         b.probes()
-        values = ((b.distinct >> np.uint64(33 - bits)) & np.uint64(0x7FFFFFFF)).astype(np.uint32) << 1 | b.indexed.astype(np.uint32)
+        if fine:
+            values = b.distinct & ~np.uint64(1) | b.indexed.astype(np.uint64)
+        else:
+            values = ((b.distinct >> np.uint64(33 - bits)) & np.uint64(0x7FFFFFFF)).astype(np.uint32) << 1 | b.indexed.astype(np.uint32)
         return _messages(key[0].as_py(), _cuts(b.distinct, bits), lambda s: values[s].tobytes())
 
     def ask_before(key, table, replies):
@@ -239,21 +342,29 @@ def deduped(docs: DataFrame, window: int = WINDOW, carry: list[str] | None = Non
             cols = {c: b.table.column(c) for c in carry} | {"text": pa.array(text, pa.string()), "n_words": pa.array(b.words.counts(), pa.int64()), "n_removed": pa.array(n_gone, pa.int64())}
         return pa.table(cols)
 
+    def answered(asked: DataFrame, kind: int, verdict) -> DataFrame:
+        if not fine:
+            return asked.groupBy("part").applyInArrow(lambda t: _answered(t, kind, verdict), reply)
+        chunks = asked.repartition("part").sortWithinPartitions("part", "batch").mapInArrow(lambda ms: _regrouped(ms, kind, bits, fine, chunk_bytes), CHUNK)
+        told = chunks.groupBy("part", "sub").applyInArrow(lambda t: _answered_chunks(t, verdict), CHUNK)
+        return told.groupBy("part", "first").applyInArrow(lambda t: _merged(t, kind), reply)
+
+    anchor_kind = np.uint64 if fine else np.uint32
     grouped = lambda df, key: df.groupBy(key)
-    asked = grouped(slim, "batch").applyInArrow(ask_anchors, sent)
-    anchors, anchors_at = written(grouped(asked, "part").applyInArrow(lambda t: _answered(t, 1, anchor_bits), reply), "anchors")
+    asked = grouped(slim, "_batch").applyInArrow(ask_anchors, sent)
+    anchors, anchors_at = written(answered(asked, 1, lambda b, x: anchor_bits(b, x, anchor_kind)), "anchors")
     del asked
     shuffles_released(spark)
-    asked = grouped(slim, "batch").cogroup(grouped(anchors, "batch")).applyInArrow(ask_before, sent)
-    before, _ = written(grouped(asked, "part").applyInArrow(lambda t: _answered(t, 2, before_bits), reply).unionByName(anchors), "repeats")
+    asked = grouped(slim, "_batch").cogroup(grouped(anchors, "batch")).applyInArrow(ask_before, sent)
+    before, _ = written(answered(asked, 2, before_bits).unionByName(anchors), "repeats")
     del asked
     shuffles_released(spark)
     dropped(spark, anchors_at)
     kind = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     extra = [c for c in carry or [] if c not in ("doc_id", "text")]
-    rows = docs.select(batch.alias("batch"), "doc_id", "text", *extra)
+    rows = docs.select(batch.alias("_batch"), "doc_id", "text", *extra)
     head = f"doc_id {kind['doc_id']}, n_words long, n_removed long, kept_sha256 string" if carry is None else ", ".join(f"`{c}` {kind[c]}" for c in carry) + ", text string, n_words long, n_removed long"
-    return grouped(rows, "batch").cogroup(grouped(before, "batch")).applyInArrow(finish, head)
+    return grouped(rows, "_batch").cogroup(grouped(before, "batch")).applyInArrow(finish, head)
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +177,35 @@ def test_substrings_equal_brute_force(spark, corpus, batch_bytes):
     assert got == dedup_by_hand(rows)
 
 
+@pytest.mark.parametrize("coarse", [0, 2])
+def test_substrings_over_chunks_equal_brute_force(spark, corpus, coarse):
+    rows, docs = corpus
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.deduped(docs, batch_bytes=2000, coarse_bits=coarse, chunk_bytes=3000).collect())
+    assert got == dedup_by_hand(rows)
+
+
+def test_batches_are_cut_by_bytes(spark):
+    rows = [(i, "x" * (1000 if i % 50 else 20_000)) for i in range(1000)] + [(7, "y" * 5000)] * 3 + [(None, "z" * 900)] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bounds = substrings.batch_bounds(docs, sum(len(t) for _, t in rows), 50_000, 4)
+    sizes = Counter()
+    for i, t in rows:
+        if i is not None:
+            sizes[sum(b < i for b in bounds)] += len(t)
+    assert bounds == sorted(set(bounds)) and 10 < len(bounds) < 200 and max(sizes.values()) <= 75_000
+
+
+def test_messages_grow_in_proportion(spark):
+    """Rows that chunks send on, for twice and four times the messages of a part."""
+    rng = np.random.default_rng(3)
+    made = []
+    for n in (50, 100, 200):
+        blobs = [np.sort(rng.integers(0, 1 << 62, 200, dtype=np.uint64) >> np.uint64(2)).tobytes() for _ in range(n)]
+        ms = [pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([0] * n, pa.int32()), pa.array(blobs, pa.binary())], names=["batch", "part", "payload"])]
+        made.append(len(list(substrings._regrouped(iter(ms), 1, 4, 3, 10 * 1600))))
+    assert made[1] == 2 * made[0] and made[2] == 4 * made[0]
+
+
 def test_substrings_other_windows_and_carried_columns(spark, corpus):
     rows, docs = corpus
     got = substrings.deduped(docs, window=4, carry=["doc_id", "label", "spans"], batch_bytes=3000).collect()
@@ -184,6 +214,8 @@ def test_substrings_other_windows_and_carried_columns(spark, corpus):
     assert Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(text(r).encode()).hexdigest()) for r in got) == want
     assert {(r.label, r.spans) for r in got} == {(1, "x"), (None, None)}
     assert substrings.deduped(spark.createDataFrame([], DOCS)).count() == 0
+    clash = substrings.deduped(docs.withColumnRenamed("label", "batch").withColumnRenamed("lang", "part"), carry=["doc_id", "batch", "part"], batch_bytes=3000)
+    assert clash.where("batch = 1").count() == len(rows) - 2
 
 
 def test_ranges_of_doc_ids(spark):
