@@ -72,9 +72,9 @@ NEEDED = {
 }
 
 
-def template_rows(threshold: float = THRESHOLD) -> list[tuple[int, str, list[str], int]]:
-    """(template, label, distinct tokens, tokens that must be common) of each template; the list above bounds them."""
-    texts = [(label, t) for label, ts in TEMPLATES.items() for t in ts]
+def template_rows(threshold: float = THRESHOLD, templates: dict[str, list[str]] = TEMPLATES) -> list[tuple[int, str, list[str], int]]:
+    """(template, label, distinct tokens, tokens that must be common) of each template; the given list bounds them."""
+    texts = [(label, t) for label, ts in templates.items() for t in ts]
     return [(k, label, sorted(set(t.split())), math.ceil(threshold * len(set(t.split())) - 1e-9)) for k, (label, t) in enumerate(texts)]
 
 
@@ -82,31 +82,31 @@ def lowered(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
 
-def widths(threshold: float = THRESHOLD) -> list[int]:
+def widths(threshold: float = THRESHOLD, templates: dict[str, list[str]] = TEMPLATES) -> list[int]:
     """For each template the words in a row that a notice may take: the template's share of them is the threshold."""
-    return [math.ceil(len(t.split()) / threshold - 1e-9) for ts in TEMPLATES.values() for t in ts]
+    return [math.ceil(len(t.split()) / threshold - 1e-9) for ts in templates.values() for t in ts]
 
 
-def needed() -> list[list[str]]:
+def needed(templates: dict[str, list[str]] = TEMPLATES, words: dict[str, str] = NEEDED) -> list[list[str]]:
     """For each template the words that must be in a notice."""
-    return [NEEDED.get(t, "").split() for ts in TEMPLATES.values() for t in ts]
+    return [words.get(t, "").split() for ts in templates.values() for t in ts]
 
 
-def matches(blocks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def matches(blocks: DataFrame, threshold: float = THRESHOLD, templates: dict[str, list[str]] = TEMPLATES, needed_words: dict[str, str] = NEEDED) -> DataFrame:
     """row, label, score of the blocks' matches. blocks: row, block, tokens (the block's distinct tokens that any template
     has), placed (all of these tokens with their places).
 
     The number of the templates' tokens bounds what is read to the driver: one count for each.
     """
     spark = blocks.sparkSession
-    templates = template_rows(threshold)
-    vocabulary = sorted({t for _, _, ts, _ in templates for t in ts})
+    told = template_rows(threshold, templates)
+    vocabulary = sorted({t for _, _, ts, _ in told for t in ts})
     held = blocks.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     counts = {r.token: r.n for r in held.collect()}
     order = sorted(vocabulary, key=lambda t: (counts.get(t, 0), t))
     rank = {t: k for k, t in enumerate(order)}
     prefix = []
-    for (k, label, tokens, common), width, must in zip(templates, widths(threshold), needed(), strict=True):
+    for (k, label, tokens, common), width, must in zip(told, widths(threshold, templates), needed(templates, needed_words), strict=True):
         laid = sorted(tokens, key=rank.get)
         for i, t in enumerate(laid[: len(laid) - common + 1]):
             prefix.append((t, k, label, i, len(laid), common, width, laid, must))
@@ -124,12 +124,13 @@ def matches(blocks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return met.where(F.col("common_here") >= F.col("common")).groupBy("row", "label").agg(F.max(F.col("common_here") / F.col("size")).alias("score"))
 
 
-def scanned(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row."""
-    templates = template_rows(threshold)
-    known = sorted({t for _, _, ts, _ in templates for t in ts})
+def scanned(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, list[str]] = TEMPLATES, needed_words: dict[str, str] = NEEDED) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row. templates: the texts of
+    each label, lower-cased words set apart by spaces; needed_words: of a template those that no notice may lack."""
+    told = template_rows(threshold, templates)
+    known = sorted({t for _, _, ts, _ in told for t in ts})
     vocabulary = F.array(*[F.lit(t) for t in known])
-    least = min(c for *_, c in templates)
+    least = min(c for *_, c in told)
     low = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), lowered(F.col("text")).alias("low"))
     flat = F.concat(F.lit(" "), F.trim(F.regexp_replace("low", NOT_WORD, " ")), F.lit(" "))
     rows = low.withColumn("flat", flat)
@@ -145,10 +146,10 @@ def scanned(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # a text that lacks a template's tokens as a whole has no block that holds them
     rows = rows.withColumn("words", F.split(F.trim("flat"), " ")).withColumn("held", F.array_intersect("words", vocabulary))
     may = F.lit(False)
-    for (_, _, tokens, common), must in zip(templates, needed(), strict=True):
+    for (_, _, tokens, common), must in zip(told, needed(templates, needed_words), strict=True):
         has = [F.array_contains("held", t) for t in must]
         may = may | functools.reduce(operator.and_, [*has, F.size(F.array_intersect("held", F.array(*map(F.lit, tokens)))) >= common])
-    wide = max(widths(threshold))
+    wide = max(widths(threshold, templates))
     pieces = F.transform(
         F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - wide - 1).cast("int"), F.lit(wide)),
         lambda k: F.filter(F.transform(F.slice("words", k + 1, F.lit(2 * wide)), lambda w, at: F.struct(at.alias("at"), w.alias("token"))), lambda x: x["token"].isin(known)),
@@ -162,7 +163,7 @@ def scanned(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows, _ = written(rows, "scanned")
     block = rows.where(F.size("blocks") > 0).select("row", F.posexplode("blocks").alias("block", "placed"))
     block = block.withColumn("tokens", F.array_distinct(F.transform("placed", lambda x: x["token"])))
-    hits = matches(block, threshold).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
+    hits = matches(block, threshold, templates, needed_words).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
     all_labels = lambda *c: F.concat_ws(",", F.array_sort(F.array_distinct(F.concat(*c))))
     none = F.array().cast("array<string>")
     return rows.join(hits, "row", "left").select(
@@ -184,14 +185,17 @@ def _oracle() -> str:
         places.append(f"list_filter(range(0, greatest(len(w) - {len(ws) - 1}, 0)), lambda i: {same})")
         labels.append(f"CASE WHEN len({places[-1]}) > 0 THEN '{label}' END")
     best = []
-    for _, label, tokens, common in template_rows():
-        held = f"list_max(list_transform(blocks, lambda b: len(list_intersect(b, [{', '.join(repr(t) for t in tokens)}]))))"
+    for (_, label, tokens, common), width, must in zip(template_rows(), widths(), needed(), strict=True):
+        ts, ms = (f"[{', '.join(repr(t) for t in xs)}]" for xs in (tokens, must))
+        own = f"list_filter(range(0, len(w)), lambda i: list_contains({ts}, w[i + 1]))"
+        whole = f"list_has_all(w[i + 1 : i + {width}], {ms})" if must else "true"
+        held = f"list_max(list_transform({own}, lambda i: CASE WHEN {whole} THEN len(list_distinct(list_intersect(w[i + 1 : i + {width}], {ts}))) ELSE 0 END))"
         best.append((label, f"CASE WHEN {held} >= {common} THEN {held} / {len(tokens)}.0 END"))
     more = ", ".join(f"CASE WHEN {x} IS NOT NULL THEN '{label}' END" for label, x in best)
     joined = lambda x: f"coalesce(array_to_string(list_sort(list_distinct(list_filter([{x}], lambda v: v IS NOT NULL))), ','), '')"
     return f"""
 WITH l AS (SELECT doc_id, translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS low FROM documents),
-w AS (SELECT doc_id, regexp_extract_all(low, '{word}') AS w, list_transform(string_split(low, chr(10)), lambda b: list_distinct(regexp_extract_all(b, '{word}'))) AS blocks FROM l),
+w AS (SELECT doc_id, regexp_extract_all(low, '{word}') AS w FROM l),
 p AS (SELECT *, {' || '.join(f'({x})' for x in places)} AS places, {joined(', '.join(labels))} AS base_labels, {joined(', '.join([*labels, more]))} AS labels, greatest({', '.join(x for _, x in best)}) AS best FROM w)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(places) AS BIGINT) AS first_word,
   CAST(list_max(places) AS BIGINT) AS last_word, base_labels, labels, CAST(coalesce(best, CASE WHEN len(places) > 0 THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS score

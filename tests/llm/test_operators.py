@@ -468,3 +468,10 @@ def test_more_languages_have_fewer_rows_each(spark, monkeypatch):
     model = language.fit(docs, F.lit(True))
     got = {(r.doc_id, r.lang_pred) for r in language.predicted(docs, model).collect()}
     assert len(model.langs) == 10 and got == {(i, lang) for i, _, lang in rows}
+
+
+def test_templates_of_a_caller(spark):
+    docs = spark.createDataFrame([(1, "This file\nmay be used under the\nFalcon terms of   use."), (2, "used under the terms of use"), (3, None), (4, "word " * 5000 + "used under the falcon terms of use" + " word" * 5000)], "doc_id long, text string")
+    own = {"falcon": ["may be used under the falcon terms of use"]}
+    got = {r.doc_id: (r.labels, round(r.score, 3)) for r in licenses.scanned(docs, 0.75, own, {own["falcon"][0]: "falcon"}).collect()}
+    assert got == {1: ("falcon", 1.0), 2: ("", 0.0), 3: ("", 0.0), 4: ("falcon", 0.778)}
