@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm import bpe, contamination, language, neardup, substrings
-from maskwright.llm.scratch import written
+from maskwright.llm.scratch import dropped, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document is rejected if no language reaches this score.
@@ -65,8 +65,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each but the last written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on documents, each but the last written and read again; what the one before wrote then goes."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir), name)
+        docs, at = written(stage(spark, docs, sf_dir), name)
+        if before:
+            dropped(spark, before)
+        before = at
     return STAGES[-1][1](spark, docs, sf_dir)

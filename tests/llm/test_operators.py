@@ -475,3 +475,47 @@ def test_templates_of_a_caller(spark):
     own = {"falcon": ["may be used under the falcon terms of use"]}
     got = {r.doc_id: (r.labels, round(r.score, 3)) for r in licenses.scanned(docs, 0.75, own, {own["falcon"][0]: "falcon"}).collect()}
     assert got == {1: ("falcon", 1.0), 2: ("", 0.0), 3: ("", 0.0), 4: ("falcon", 0.778)}
+
+
+def test_letter_counts_and_scores_equal_brute_force(spark):
+    rows, labels = labelled(spark)
+    long = "aeino w0rthle55 " * 20_000 + "i" * 5000 + " x" * 3000
+    rows = [*rows[:120], rows[0], rows[0], (9001, long, "x"), (9002, None, "x"), (9003, "ß ıŒ é", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string").repartition(1)
+    want = Counter()
+    codes = [[toxicity.letter(c) for c in (t or "").lower()] for _, t, _ in rows]
+    for x in codes:
+        want.update(zip(x, x[1:], x[2:]))
+    got = toxicity.trigram_counts(docs)
+    inner = {k: int(n) for k, n in np.ndenumerate(got) if n and 0 not in k}
+    assert inner == {k: n for k, n in want.items() if 0 not in k}
+    model = toxicity.fit(docs, labels)
+    alone = {}
+    for i, text, _ in rows:
+        z = model.base + sum(model.weights.get(f, 0.0) for f in toxicity.features(model.restorer.words(text or "")))
+        alone[i] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    out = toxicity.scored(docs, model).collect()
+    assert len(out) == len(rows) and all(abs(r.score - alone[r.doc_id]) < 1e-9 and r.predicted == int(r.score >= 0.5) for r in out)
+    assert len({r.score for r in out if r.doc_id == rows[0][0]}) == 1
+
+
+def test_language_model_is_kernel_ridge_regression(spark):
+    """With every row a landmark, the margins are those of the dual solution over the kernel of n-gram sets."""
+    rng = np.random.default_rng(15)
+    texts = ["".join(rng.choice(list(a), 30)) for a in ("abcd", "cdefg", "xyza") for _ in range(12)]
+    langs = [k for k in ("p", "q", "r") for _ in range(12)]
+    x = np.concatenate([s for *_, s in language.spectra(pa.array([*texts, *texts[:3], "abxy cd"]))])
+    train, asked = x[: len(texts)], x[len(texts) :]
+    model = language.fitted((train > 0).astype(np.uint8), langs)
+    size = lambda m: np.sqrt(m.sum(1))
+    kernel = lambda a, b: (a @ b.T) / size(a)[:, None] / size(b)[None, :]
+    target = np.where(np.array(langs)[:, None] == np.array(model.langs)[None, :], 1.0, -1.0)
+    alpha = np.linalg.solve(kernel(train, train) + language.RIDGE * len(langs) * np.eye(len(langs)), target)  # every language has as many rows
+    want = kernel(asked, train) @ alpha
+    margins = (asked @ model.weights) / size(asked)[:, None]
+    assert np.abs(margins - want).max() < 1e-3 and (margins.argmax(1) == want.argmax(1)).all()
+    docs = spark.createDataFrame([(1, "abab"), (1, "abab"), (2, "abab")], "doc_id long, text string")
+    same = {(r.lang_pred, r.score) for r in language.predicted(docs, model).collect()}
+    assert len(same) == 1
+    tied = language.Model(["a", "b"], np.zeros((language.CELLS, 2), np.float32))
+    assert {(r.lang_pred, r.score) for r in language.predicted(docs, tied).collect()} == {("a", 0.5)}  # ties go to the first language

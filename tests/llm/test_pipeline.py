@@ -89,3 +89,13 @@ def test_leaks_of_null_and_repeated_ids_go_alone(spark, folder, monkeypatch, bro
     odd = [(None, leak, "en", "s", 1), (None, rows[1][1], "en", "s", 1), (None, None, "en", "s", 1), (7, leak, "en", "s", 1), (7, rows[2][1], "en", "s", 1), (7, rows[2][1], "en", "s", 1), (8, "", "en", "s", 0)]
     kept = P.benchmark_leaks(spark, spark.createDataFrame(odd, DOCS), at)
     assert kept.columns == P.COLUMNS and Counter(map(tuple, kept.collect())) == Counter(r for r in odd if r[1] != leak)
+
+
+def test_very_long_texts_pass_all_stages(spark, tmp_path):
+    rng = np.random.default_rng(21)
+    long = prose(rng, 40_000)
+    rows = [(1, long, "en", "s", len(long)), (2, long + " end", "en", "s", len(long) + 4), (3, "short " + " ".join(long.split()[100:200]), "en", "s", 9), (4, prose(rng, 30), "en", "s", 9)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, prose(rng, 20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: (r.n_tokens, len(r.ids)) for r in P.run(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 3, 4} and got[1][0] == got[1][1] > 40_000 and got[3][0] < 10
