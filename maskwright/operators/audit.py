@@ -155,13 +155,17 @@ def plain_digits(text: Column) -> Column:
     return F.translate(text, "".join(others), "".join(str(unicodedata.digit(c)) for c in others))
 
 
+#: As detect.MAY_HOLD, with digits of all scripts.
+GUARD_MAY_HOLD = r"(?U)@|\d[ -]?\d[ -]?\d[ -]?\d|[A-Z]{4}0"
+
+
 def guard_class(text: Column) -> Column:
     """First class that the receiving side's guard finds in one string, null if none."""
     shown = S.without_tokens(text)
     out = F.when(F.lit(False), F.lit(None).cast("string"))
     for cls in X.GUARD_DETECTORS:
         out = out.when(F.size(pattern_spans(shown, cls, X.GUARD_DETECTORS, plain_digits)) > 0, F.lit(cls))
-    return out
+    return F.when(shown.rlike(GUARD_MAY_HOLD), out)
 
 
 def guard_leaks(leaf: Column) -> Column:

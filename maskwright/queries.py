@@ -137,12 +137,17 @@ def vault_tokens_per_doc(spark, sf_dir):
     return held.groupBy("doc_id").agg(F.countDistinct("token").alias("n_tokens"), F.count(F.lit(1)).alias("n_spans"))
 
 
-@query(_VAULT + r""", t AS (SELECT '⟦' || cls || '_' || n || '⟧' AS token, value FROM v), u AS (SELECT doc_id, '⟦EMAIL_' || (doc_id % 7 + 1) || '⟧' AS token FROM documents)
-SELECT doc_id, 'to ' || coalesce(t.value, u.token) || ' now ⟦NAME_1⟧' AS rehydrated FROM u LEFT JOIN t USING (token)""")
+@query(_VAULT + """, p AS (SELECT doc_id, key, max(back) AS back FROM k GROUP BY doc_id, key), t AS (SELECT p.doc_id, string_agg(v.value, ' ' ORDER BY p.back DESC) AS told FROM p JOIN v ON v.key = p.key GROUP BY p.doc_id)
+SELECT documents.doc_id, 'to ' || coalesce(told, '') || ' now ⟦NAME_1⟧' AS rehydrated FROM documents LEFT JOIN t USING (doc_id)""")
 def rehydrate_tokens(spark, sf_dir):
-    token = F.concat(F.lit("⟦EMAIL_"), (F.col("doc_id") % 7 + 1).cast("string"), F.lit("⟧"))
-    texts = _read(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("item"), F.concat(F.lit("to "), token, F.lit(" now ⟦NAME_1⟧")).alias("text"))
-    return V.rehydrate(texts, _vault(spark, sf_dir)).select("doc_id", "rehydrated")
+    """The values behind the placeholders of each document, and a placeholder that the vault doesn't know."""
+    vault = durable(_vault(spark, sf_dir))
+    s = _spans(spark, sf_dir).withColumn("key", V.vault_key(F.col("s.cls"), F.col("s.value")))
+    seen = s.join(vault.select("key", "token"), "key").groupBy("doc_id", "token").agg(F.min("s.start").alias("at"))
+    told = seen.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("tokens"))
+    shown = F.coalesce(F.array_join(F.transform("tokens", lambda t: t["token"]), " "), F.lit(""))
+    texts = _read(spark, sf_dir, "documents").select("doc_id").join(told, "doc_id", "left").select("doc_id", F.col("doc_id").alias("item"), F.concat(F.lit("to "), shown, F.lit(" now ⟦NAME_1⟧")).alias("text"))
+    return V.rehydrate(texts, vault).select("doc_id", "rehydrated")
 
 
 # --- scalars ---

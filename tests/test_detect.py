@@ -98,3 +98,11 @@ def test_redacting_only_what_changes(spark):
     assert [(r.id, r.redacted) for r in D.redact(docs, changed_only=True).collect()] == [(1, "to ⟦EMAIL⟧")]
     plan = D.redact(docs, changed_only=True)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == D.redact(docs)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+
+
+def test_what_may_hold_a_span(spark):
+    """No detector finds anything where the fast search finds nothing."""
+    shown = ["a@b.co", "4-1-1-1 1-1-1-1 1-1-1-1 1-1-1-1", "2345 6789 0124", "ABCPD1234K", "HDFC0ABCDEF", "x.y@okaxis", "91 98765-43210", "no 12 3", "ABCD1"]
+    rows = spark.createDataFrame([(i, f"see {t}.") for i, t in enumerate(shown)], "id int, text string")
+    got = rows.select(D.may_hold(F.col("text")).alias("may"), F.size(D.merged(*[D.pattern_spans(F.col("text"), c) for c in D.X.DETECTORS])).alias("n"), F.size(D.detect_patterns(F.col("text"))).alias("own")).collect()
+    assert all(r.n == r.own and (r.may or not r.n) for r in got) and [r.may for r in got] == [True] * 7 + [False] * 2 and sum(r.n > 0 for r in got) >= 6
