@@ -177,3 +177,12 @@ def test_leaked_values_meet_by_grams(spark):
     v = spark.createDataFrame(vault, "scope string, token string, cls string, value string, n int")
     got = {(r.id, r.token) for r in A.leaked_values(spark.createDataFrame(texts, "id int, scope string, text string"), v).collect()}
     assert got == {(1, "⟦NAME_1⟧"), (2, "⟦PHONE_1⟧"), (4, "⟦NAME_9⟧"), (5, "⟦CUSTOM_1⟧"), (7, "⟦PHONE_1⟧")}
+
+
+def test_created_sessions(spark):
+    rows = spark.createDataFrame([(1, "1.0"), (2, "1.9"), (3, "2.0"), (4, None)], "call_id int, vrs_version string")
+    got = {r.call_id: r for r in api.created_sessions(rows).collect()}
+    assert [got[i].status for i in (1, 2, 3, 4)] == [200, 200, 409, 409] and got[3].session_id is None and got[1].max_steps == 25
+    assert got[1].session_id != got[2].session_id and got[1].token != got[2].token and len(got[1].token) == 64
+    salted = [sorted(map(tuple, api.created_sessions(rows, "s").collect())) for _ in range(2)]
+    assert salted[0] == salted[1]

@@ -45,3 +45,17 @@ def test_suppression_and_boxes(spark):
 def test_previous_label(spark):
     rows = spark.createDataFrame([(1, 1, "Full name"), (1, 2, "Ananya Rao"), (1, 3, "x" * 130), (2, 1, "Ravi")], "parent int, ord int, text string")
     assert {(r.parent, r.ord): r.context_class for r in G.previous_label_class(rows, ["parent"], "ord").collect()} == {(1, 1): None, (1, 2): "NAME", (1, 3): None, (2, 1): None}
+
+
+def test_actions_are_routed_to_their_frames(spark):
+    merged = spark.createDataFrame([(1, 1, "element", None, None, None), (1, 8, "element", 21, 1, "https://p.example"), (1, 9, "text", 21, 2, "https://p.example")], "snapshot_id int, vid int, kind string, frame_id int, child_vid int, origin string")
+    actions = spark.createDataFrame([(1, 8, "click"), (1, 1, "click"), (1, None, "done"), (2, 8, "click")], "snapshot_id int, target int, type string")
+    got = {(r.snapshot_id, r.target): (r.frame_id, r.child_vid, r.origin) for r in G.routed(actions, merged).collect()}
+    assert got == {(1, 8): (21, 1, "https://p.example"), (1, 1): (None,) * 3, (1, None): (None,) * 3, (2, 8): (None,) * 3}
+
+
+def test_vision_totals_name_the_first_failure(spark):
+    rows = spark.createDataFrame([("s", "a", True, 2, None), ("s", "c", False, 1, "late"), ("s", "b", None, 1, "early")], "snapshot_id string, key string, ok boolean, n int, error string")
+    v = rows.select("snapshot_id", "key", "ok", *[F.array_repeat(F.lit(1), F.col("n")).alias(c) for c in ("faces", "codes", "lines")], "error")
+    r = G.vision_summary(v).first()
+    assert (r.images, r.faces, r.whole, r.error) == (1, 2, 2, "early")

@@ -222,3 +222,23 @@ def test_only_passed_screens_are_written(spark, tmp_path):
     screens = spark.createDataFrame([("a",), ("b",), ("c",)], "snapshot_id string")
     wire.sanitized_only(screens, spark.createDataFrame([("a", True), ("b", False), ("c", None)], "id string, ok boolean"), str(tmp_path / "out"))
     assert [r.snapshot_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["a"]
+
+
+def test_names_come_before_all_else(spark):
+    shot, none = snapshot(spark), spark.createDataFrame([], wire.VISION)
+    new = spark.createDataFrame([("p", "http://x", 1, 5, "Rao")], "snapshot_id string, source string, ord long, start int, value string")
+    screens, vault = sanitize(shot, none, names=new)
+    s = screens.first()
+    # a name found in prose is number one, the longer name of a field is another
+    assert s.title == "Open account for ⟦NAME_2⟧" and {(r.token, r.value) for r in vault.where("cls = 'NAME'").collect()} == {("⟦NAME_1⟧", "Rao"), ("⟦NAME_2⟧", "Ananya Rao")}
+    assert s.late is False
+    vision_rows = spark.createDataFrame([("p", "k", True, [], [], [("line one", [0.0] * 4, [])], None)], wire.VISION)
+    got = [(r.ord, r.text) for r in names.name_texts(shot, vision_rows).orderBy("ord").collect()]
+    assert got == [(1, "Aadhaar: 4821 6630 1979"), (2, "Ananya Rao"), (3, "ananya.rao@mail.in"), (4, "call +91 98450 12345 after 5"), (5, "line one")]
+
+
+def test_dictionary_hits_without_spans_are_told(spark):
+    el = "Ananya Rao"
+    shot = snapshot(spark).withColumn("texts", F.expr("transform(array('Hello Ananya Rao', 'x'), (t, i) -> named_struct('vid', 8 + i, 'text', t, 'bbox', array(0D, 0D, 5D, 5D), 'spans', array()))").cast(f"array<{wire.RAW_TEXT}>"))
+    s = sanitize(shot, spark.createDataFrame([], wire.VISION))[0].first()
+    assert s.late is True and el not in str(s)
