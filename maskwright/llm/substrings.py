@@ -38,7 +38,7 @@ from .scratch import dropped, shuffles_released, written
 from .textkernel import Words, arrow_bytes, released
 
 WINDOW = 13
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 6 << 20
 MANY_BATCHES = 20_000
 COARSE_BITS, CHUNK_BYTES = 12, 32 << 20
 _CHECK_STEP = 0x9FB21C651E98DF25
@@ -262,21 +262,21 @@ def _merged(table: pa.Table, kind: int) -> pa.Table:
     })
 
 
-def batch_bounds(docs: DataFrame, total: int, batch_bytes: int, wide: int) -> list[int]:
-    """The greatest doc_id of each batch but the last. Ranges of doc_id, four for a batch, are put together as long as they
-    stay within batch_bytes of text; one that alone holds more, as a very long text or a repeated doc_id, is a batch."""
-    n = max(1, math.ceil(total / batch_bytes), min(wide, total // (batch_bytes // 8)))
+def batch_bounds(sizes: DataFrame, n: int) -> list[int]:
+    """The greatest doc_id of each of n batches but the last. sizes: doc_id and bytes of each row. Ranges of doc_id, four
+    for a batch, are put together where their bytes reach the next n-th of all; so a batch holds an n-th and at most
+    one more range, unless one doc_id alone, as of a very long text, holds more."""
     if n == 1:
         return []
-    most = total / n
-    ids = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
-    ids = ids.repartitionByRange(4 * n, "doc_id").groupBy(F.spark_partition_id().alias("range")).agg(F.max("doc_id").alias("top"), F.sum("size").alias("size"))
-    out, size, last = [], 0, None
-    for r in sorted(ids.collect(), key=lambda r: r.top):  # four rows for each batch
-        if size and size + r["size"] > most:
-            out.append(last)
-            size = 0
-        size, last = size + r["size"], r.top
+    ids = sizes.where("doc_id is not null").repartitionByRange(4 * n, "doc_id").groupBy(F.spark_partition_id().alias("range")).agg(F.max("doc_id").alias("top"), F.sum("size").alias("size"))
+    found = sorted(ids.collect(), key=lambda r: r.top)  # four rows for each batch
+    share = max(1.0, sum(r["size"] for r in found) / n)
+    out, before = [], 0
+    for r in found[:-1]:
+        after = before + r["size"]
+        if after // share > before // share:
+            out.append(r.top)
+        before = after
     return out
 
 
@@ -298,10 +298,12 @@ def deduped(docs: DataFrame, window: int = WINDOW, carry: list[str] | None = Non
     """doc_id, n_words, n_removed and kept_sha256 of every row, or with `carry` those columns, text (the kept words
     joined by one space; as it was if no word goes), n_words and n_removed."""
     spark = docs.sparkSession
-    total = int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    sizes, sizes_at = written(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")), "sizes")
+    total = int(sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     batch_bytes = max(batch_bytes, min(16 * batch_bytes, total // MANY_BATCHES))  # bounds are kept by the driver
-    bounds = batch_bounds(docs, total, batch_bytes, wide)
+    bounds = batch_bounds(sizes, max(1, math.ceil(total / batch_bytes), min(wide, total // (batch_bytes // 8))))
+    dropped(spark, sizes_at)
     n_batches = len(bounds) + 1
     all_bits = max(0, (n_batches - 1).bit_length())
     bits = min(all_bits, coarse_bits)

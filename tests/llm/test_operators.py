@@ -186,13 +186,14 @@ def test_substrings_over_chunks_equal_brute_force(spark, corpus, coarse):
 
 def test_batches_are_cut_by_bytes(spark):
     rows = [(i, "x" * (1000 if i % 50 else 20_000)) for i in range(1000)] + [(7, "y" * 5000)] * 3 + [(None, "z" * 900)] * 20
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    bounds = substrings.batch_bounds(docs, sum(len(t) for _, t in rows), 50_000, 4)
+    docs = spark.createDataFrame([(i, len(t)) for i, t in rows], "doc_id long, size long")
+    n = sum(len(t) for _, t in rows) // 50_000
+    bounds = substrings.batch_bounds(docs, n)
     sizes = Counter()
     for i, t in rows:
         if i is not None:
             sizes[sum(b < i for b in bounds)] += len(t)
-    assert bounds == sorted(set(bounds)) and 10 < len(bounds) < 200 and max(sizes.values()) <= 75_000
+    assert bounds == sorted(set(bounds)) and n // 2 < len(bounds) < n and max(sizes.values()) <= 90_000
 
 
 def test_messages_grow_in_proportion(spark):
