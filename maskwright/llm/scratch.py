@@ -37,7 +37,9 @@ def dropped(spark: SparkSession, *paths: str) -> None:
 
 
 def shuffles_released(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of frames that nothing refers to any more."""
+    """Lets Spark's cleaner delete the shuffle files of frames that nothing refers to any more. A session refers to its last
+    query until it runs another one, so it runs one of a row."""
+    spark.range(1).write.format("noop").mode("overwrite").save()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
