@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import contamination, knn, licenses, merkle, neardup, substrings
+from . import contamination, knn, licenses, lines, merkle, neardup, substrings
 from .bpe import op5_bpe
 from .contamination import op4_decontamination
 from .knn import op6_voronoi_topk
 from .language import op3_language_id
 from .licenses import op7_license_scan
+from .lines import op11_line_dedup
 from .merkle import op13_merkle_manifest
 from .neardup import op1_ngram_jaccard_join
 from .pages import op8_html_extraction
@@ -19,7 +20,7 @@ from .toxicity import op2_toxicity
 def queries() -> dict:
     found = (
         op1_ngram_jaccard_join, op2_toxicity, op3_language_id, op4_decontamination, op5_bpe, op6_voronoi_topk, op7_license_scan, op8_html_extraction, op9_substring_dedup, op10_hilbert_sharding,
-        op13_merkle_manifest,
+        op11_line_dedup, op13_merkle_manifest,
     )
     return {f.__name__: f for f in found}
 
@@ -27,5 +28,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": neardup.ORACLE_SQL, "op4_decontamination": contamination.ORACLE_SQL, "op6_voronoi_topk": knn.ORACLE_SQL, "op7_license_scan": licenses.ORACLE_SQL, "op9_substring_dedup": substrings.ORACLE_SQL,
-        "op13_merkle_manifest": merkle.ORACLE_SQL,
+        "op11_line_dedup": lines.ORACLE_SQL, "op13_merkle_manifest": merkle.ORACLE_SQL,
     }
