@@ -260,7 +260,7 @@ def streamed_settling(spark, sf_dir):
 # --- made-up pages ---
 
 
-@query("""SELECT template, count(*) AS n_pages, CAST(sum(n) AS BIGINT) AS n_truth, count(*) AS n_html FROM (SELECT CASE c_custkey % 3 WHEN 0 THEN 'onboarding' WHEN 1 THEN 'member_card' ELSE 'ledger' END AS template, CASE c_custkey % 3 WHEN 0 THEN 6 WHEN 1 THEN 8 ELSE 7 END AS n FROM customer) GROUP BY template""")
+@query("""SELECT template, count(*) AS n_pages, CAST(sum(n) AS BIGINT) AS n_truth, count(*) AS n_html FROM (SELECT CASE c_custkey % 3 WHEN 0 THEN 'parcel' WHEN 1 THEN 'clinic' ELSE 'refund' END AS template, CASE WHEN c_custkey % 3 = 2 THEN 5 ELSE 3 END AS n FROM customer) GROUP BY template""")
 def saved_pages(spark, sf_dir):
     """Made-up pages written with their truth and a manifest, and read again."""
     path = _new_folder(spark)
