@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed as X
 from ..functions import scalars as S
+from ..streaming.live import stream_clicks
 
 ACTION = "struct<type:string,target:int,text:string,requires_confirmation:boolean,message:string>"
 ACTIONS = f"array<{ACTION}>"
@@ -39,8 +41,13 @@ def _why(filled: Column, tail: Column) -> Column:
     return F.when(F.size(filled) > 0, F.concat(F.lit("Fill "), F.array_join(filled, ", "), F.lit("; "), tail, F.lit("."))).otherwise(F.concat(F.upper(F.left(tail, F.lit(1))), F.substring(tail, 2, 1 << 30), F.lit(".")))
 
 
-def plan(requests: DataFrame) -> DataFrame:
-    """request_id, session_id, step, actions, rationale and done."""
+#: What deciding needs of a request.
+PREPARED = ["request_id", "session_id", "step", "typed", "filled", "missing", "asked", "button", "presses"]
+
+
+def prepared(requests: DataFrame) -> DataFrame:
+    """requests with what can be typed, is missing, is asked for, and the button; whether it is pressed, and on which
+    screen (screen_key). Each row for itself, so batches and streams alike."""
     usable = F.filter("entities", lambda e: ~e["class"].isin(X.NO_VALUE))
     first = F.aggregate(usable, F.create_map().cast("map<string,string>"), lambda m, e: F.when(F.map_contains_key(m, e["class"]), m).otherwise(F.map_concat(m, F.create_map(e["class"], e["token"]))))
     rows = requests.withColumn("first", first).withColumn("els", F.col("screen.elements"))
@@ -55,10 +62,28 @@ def plan(requests: DataFrame) -> DataFrame:
     rows = rows.withColumn("missing", F.filter("els", lambda e: (e["role"] == "textbox") & F.coalesce(e["required"], F.lit(False)) & blank(e["value"]) & ~F.exists("typed", lambda a: a["target"] == e["id"])))
     rows = rows.withColumn("button", F.try_element_at(F.filter("els", lambda e: (e["role"] == "button") & ~off(e) & F.coalesce(e["label"], F.lit("")).rlike(S.java(X.PRIMARY))), F.lit(-1)))
     rows = rows.withColumn("presses", (F.size("asked") == 0) & F.col("button").isNotNull() & (F.size("missing") == 0))
-    rows = rows.withColumn("screen_key", F.concat(screen_signature(F.col("screen.path_template"), F.col("els")), F.lit(":"), F.col("button.label")))
+    return rows.withColumn("screen_key", F.concat(screen_signature(F.col("screen.path_template"), F.col("els")), F.lit(":"), F.col("button.label")))
+
+
+def plan(requests: DataFrame) -> DataFrame:
+    """request_id, session_id, step, actions, rationale and done."""
+    rows = prepared(requests)
     earlier = Window.partitionBy("session_id", "presses", "screen_key").orderBy("step", "request_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("clicked", F.col("presses") & (F.count(F.lit(1)).over(earlier) > 0))
+    return decided(rows.withColumn("clicked", F.col("presses") & (F.count(F.lit(1)).over(earlier) > 0)))
+
+
+def stream_plan(requests: DataFrame, ttl_seconds: int = X.TTL_SECONDS, watermark: str = "1 minute") -> DataFrame:
+    """plan() over a stream of requests, which also have `ts`: the clicks of a session are running state, and go when
+    nothing came for the time to live."""
+    rows = prepared(requests)
+    kind = T.StructType([rows.schema[c] for c in PREPARED])
+    fed = rows.select("session_id", "request_id", "ts", "presses", "screen_key", F.to_json(F.struct(*PREPARED)).alias("note"))
+    told = stream_clicks(fed, ttl_seconds, watermark)
+    return decided(told.select(F.from_json("note", kind).alias("r"), F.coalesce("clicked", F.lit(False)).alias("clicked")).select("r.*", "clicked"))
+
 
+def decided(rows: DataFrame) -> DataFrame:
+    """The actions of prepared requests, by the first rule that holds; clicked: whether the loop guard knows the click."""
     asked, button, lacks = F.get("asked", F.lit(0)), F.col("button"), F.get("missing", F.lit(0))
     result = lambda actions, why, done=False: F.struct(actions.cast(ACTIONS).alias("actions"), why.alias("rationale"), F.lit(done).alias("done"))
     plus = lambda a: F.concat(F.col("typed"), F.array(a))

@@ -18,7 +18,7 @@ from .plans import api, planner
 from .queries import _ISLANDS, _read, _sql_rules, query
 from .screen_queries import _padded, _text
 from .sources import synth, wire
-from .streaming import sessions, vaults
+from .streaming import live, sessions, vaults
 
 
 def _new_folder(spark: SparkSession) -> str:
@@ -257,6 +257,82 @@ def streamed_settling(spark, sf_dir):
     return _drained(sessions.stream_settled(_streamed(spark, sf_dir, "events"), "user_id", "ts", quiet=_DAY, most=7 * _DAY), _new_folder(spark))
 
 
+def _kept(stream: DataFrame, path: str, sinks=None, mode: str = "append") -> SparkSession:
+    """Runs a stream into folders under a path, one for each sink."""
+    spark = stream.sparkSession
+    live.started(stream, live.fan_out(spark, sinks or {"out": lambda b: b}, path), f"{path}/state", mode).awaitTermination()
+    return spark
+
+
+_PASSED = "(SELECT max(ts) FROM events) - INTERVAL 1 MINUTE"
+_LIFE = 86_400
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'purchase' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'step' END AS kind, event_type = 'purchase' OR value < 12 AS good, row_number() OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR)) AS i FROM events),
+w AS (SELECT event_id, user_id, i, ts, kind = 'create' AS alive, ts AS last, kind = 'create' AS authorised, 0 AS step FROM c WHERE i = 1
+ UNION ALL SELECT c.event_id, c.user_id, c.i, c.ts, c.kind = 'create' OR (o.up AND NOT (c.kind = 'delete' AND c.good)), CASE WHEN c.kind = 'create' OR (o.up AND c.good) THEN c.ts ELSE w.last END, c.kind = 'create' OR (o.up AND c.good), CASE WHEN c.kind = 'step' AND o.up AND c.good THEN w.step + 1 WHEN c.kind = 'create' THEN 0 ELSE w.step END
+ FROM w JOIN c ON c.user_id = w.user_id AND c.i = w.i + 1, LATERAL (SELECT w.alive AND c.ts - w.last <= INTERVAL {_LIFE} SECONDS AS up) o)
+SELECT w.event_id, authorised, CAST(CASE WHEN authorised AND c.kind = 'step' THEN step ELSE 0 END AS BIGINT) AS step, authorised AND c.kind = 'step' AND step > 2 AS limited FROM w JOIN c USING (event_id) WHERE w.ts <= {_PASSED}""")
+def streamed_sessions(spark, sf_dir):
+    """Calls of sessions over a stream of events: which find theirs alive and bring its bearer, and which step each is."""
+    kind = F.when(F.col("event_type") == "purchase", "create").when(F.col("event_type") == "error", "delete").otherwise("step")
+    bearer = F.when((kind == "create") | (F.col("value") < 12), "a").otherwise("b")
+    calls = _streamed(spark, sf_dir, "events").select(F.col("event_id").alias("call_id"), F.col("user_id").alias("session_id"), "ts", kind.alias("kind"), bearer.alias("bearer"))
+    path = _new_folder(spark)
+    _kept(live.stream_sessions(calls, most=2, ttl_seconds=_LIFE), path)
+    return spark.read.parquet(f"{path}/out").select(F.col("id").cast("long").alias("event_id"), "authorised", "step", "limited")
+
+
+_LIVES = f"g AS (SELECT *, sum(CASE WHEN gap > INTERVAL {_LIFE} SECONDS THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR)) AS s FROM (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR)) AS gap FROM events))"
+
+
+@query(f"""WITH {_LIVES}, e AS (SELECT *, event_type IN ('click', 'view') AS presses FROM g)
+SELECT event_id, CASE WHEN presses THEN row_number() OVER (PARTITION BY user_id, s, event_type ORDER BY ts, CAST(event_id AS VARCHAR)) > 1 END AS clicked FROM e WHERE ts <= {_PASSED}""")
+def streamed_clicks(spark, sf_dir):
+    """Which clicks of a session were made before, over a stream of events."""
+    asked = _streamed(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("request_id"), "ts", F.col("event_type").isin("click", "view").alias("presses"), F.col("event_type").alias("screen_key"), F.lit(None).cast("string").alias("note"))
+    path = _new_folder(spark)
+    _kept(live.stream_clicks(asked, ttl_seconds=_LIFE), path)
+    return spark.read.parquet(f"{path}/out").select(F.col("id").cast("long").alias("event_id"), "clicked")
+
+
+@query(f"""WITH {_LIVES}, e AS (SELECT *, value < 6 AS typed, event_type = 'error' AS asks, value > 15 AS lacks, event_id % 3 > 0 AS button, event_id % 2 AS way FROM g),
+p AS (SELECT *, NOT asks AND NOT lacks AND button AS presses FROM e),
+c AS (SELECT *, presses AND row_number() OVER (PARTITION BY user_id, s, presses, event_type, way ORDER BY ts, CAST(event_id AS VARCHAR)) > 1 AS clicked FROM p)
+SELECT event_id, CASE WHEN asks THEN CASE WHEN typed THEN 'type1,' ELSE '' END || 'ask_user4' WHEN clicked AND NOT typed THEN 'done' WHEN presses THEN CASE WHEN typed THEN 'type1,' ELSE '' END || 'click3' || CASE WHEN way = 1 THEN '!' ELSE '' END
+ WHEN typed THEN 'type1' WHEN lacks THEN 'ask_user5' ELSE 'done' END AS actions FROM c WHERE ts <= {_PASSED}""")
+def streamed_plans(spark, sf_dir):
+    """Plans for a stream of requests, one for each event: what a screen holds follows from the event, and the loop guard
+    knows the clicks of the session so far."""
+    k, none = F.col("event_id"), F.lit(None).cast("string")
+
+    def el(id_, role, label, cls, value, required, disabled=None):
+        label = label if isinstance(label, Column) else F.lit(label)
+        return F.struct(F.lit(id_).alias("id"), F.lit(role).alias("role"), label.alias("label"), value.alias("value"), F.lit(cls).cast("string").alias("field_class"), F.lit(required).alias("required"), (F.lit(False) if disabled is None else disabled).alias("disabled"))
+
+    name = el(1, "textbox", "Full name", "NAME", F.when(F.col("value") >= 6, F.lit("⟦NAME_1⟧")), False)
+    voucher = el(5, "textbox", "Voucher", None, F.when(F.col("value") <= 15, F.lit("x")), True)
+    go = el(3, "button", F.when(k % 2 == 1, F.lit("Submit application")).otherwise(F.lit("Continue")), None, none, False, k % 3 == 0)
+    screen = F.when(F.col("event_type") == "error", F.array(name, el(4, "password", "PIN", "SECRET", none, True), voucher, go)).otherwise(F.array(name, voucher, go))
+    known = F.array(F.struct(F.lit("⟦NAME_1⟧").alias("token"), F.lit("NAME").alias("class")))
+    asked = _streamed(spark, sf_dir, "events").select(k.cast("string").alias("request_id"), F.col("user_id").cast("string").alias("session_id"), "ts", F.lit(1).alias("step"), F.struct(F.concat(F.lit("/"), F.col("event_type")).alias("path_template"), screen.alias("elements")).alias("screen"), known.alias("entities"))
+    path = _new_folder(spark)
+    _kept(planner.stream_plan(asked, ttl_seconds=_LIFE), path)
+    told = F.array_join(F.transform("actions", lambda a: F.concat(a["type"], F.coalesce(a["target"].cast("string"), F.lit("")), F.when(a["requires_confirmation"], F.lit("!")).otherwise(F.lit("")))), ",")
+    return spark.read.parquet(f"{path}/out").select(F.col("request_id").cast("long").alias("event_id"), told.alias("actions"))
+
+
+@query("""SELECT user_id, place, event_id, n_seen FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place, least(60, count(*) OVER (PARTITION BY user_id)) AS n_seen FROM events) WHERE place <= 60""")
+def streamed_ring(spark, sf_dir):
+    """The latest 60 events of each user as running state, and from the same batches in a second folder how many rings
+    hold."""
+    path = _new_folder(spark)
+    sizes = lambda b: b.groupBy("key").agg(F.count(F.lit(1)).alias("n_seen"))
+    _kept(live.stream_ring(_streamed(spark, sf_dir, "events"), "user_id", "ts", "event_id", "event_type"), path, {"rings": lambda b: b, "sizes": sizes}, "update")
+    rings = live.latest_of(spark.read.parquet(f"{path}/rings")).join(live.latest_of(spark.read.parquet(f"{path}/sizes")), "key")
+    return rings.select(F.col("key").cast("long").alias("user_id"), "place", F.col("id").alias("event_id"), "n_seen")
+
+
 # --- made-up pages ---
 
 
