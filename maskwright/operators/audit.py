@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import json
 import sys
 import unicodedata
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed as X
 from ..functions import scalars as S
+from .automata import AUTOMATON_BYTES, found_in
 from .detect import detect_patterns, pattern_spans
+from .ranking import durable
 
 SKIPPED = ("image",)
 LEAVES = "array<struct<path:string,value:string>>"
@@ -38,33 +38,52 @@ def leaves(value: Column, schema: T.DataType, path: Column | None = None, skip:
     return none
 
 
-def json_leaves(payloads: DataFrame, column: str = "json") -> DataFrame:
-    """id, path, value of all strings of JSON payloads (id, json) of any shape, and error: for a payload that can't be
-    read one row that tells why, so that nobody takes it for one without strings."""
+#: Levels of nesting that one plan opens; what is deeper is written and opened by the next.
+LEVELS = 16
+
+
+def nesting(json: Column) -> Column:
+    """How many brackets of a JSON text are open at most, those in strings aside."""
+    brackets = F.regexp_replace(F.regexp_replace(json, r'"(?:[^"\\\\]|\\\\.)*+"', ""), r"[^\[\]{}]+", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(a: Column, c: Column) -> Column:
+        now = a["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    return F.aggregate(F.split(brackets, "(?!^)"), start, step, lambda a: a["most"])
+
 
-    def walk(whole) -> Iterator[tuple[str, str]]:
-        left = [("", whole)]
-        while left:
-            path, x = left.pop()
-            if isinstance(x, str):
-                yield path, x
-            elif isinstance(x, dict):
-                left += [(f"{path}.{k}" if path else k, v) for k, v in reversed(x.items()) if k not in SKIPPED]
-            elif isinstance(x, list):
-                left += [(f"{path}[{i}]", x[i]) for i in range(len(x) - 1, -1, -1)]
+def _opened(rows: DataFrame) -> DataFrame:
+    """id, path, v with each container replaced by what it holds; scalars and empty containers stay."""
+    inner = rows.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col("v").outer()))
+    inner = inner.where(F.col("key").isNull() | ~F.col("key").isin(*SKIPPED))
+    step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat(F.lit("."), F.col("key")))
+    return inner.select("id", F.concat("path", F.when(F.col("pos").isNull(), F.lit("")).otherwise(step)).alias("path"), F.coalesce("value", "v").alias("v"))
 
-    def rows(key, raw: str | None) -> list[tuple]:
-        try:
-            return [(key, p, v, None) for p, v in walk(json.loads(raw))] if raw else []
-        except (ValueError, RecursionError) as e:
-            return [(key, None, None, f"{type(e).__name__}: {e}")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([r for i, raw in zip(b["id"], b[column], strict=True) for r in rows(i, raw)], columns=["id", "path", "value", "error"])
+def json_leaves(payloads: DataFrame, column: str = "json") -> DataFrame:
+    """id, path, value of all strings of JSON payloads (id, json) of any shape, and error: for a payload that can't be
+    read one row that tells why, so that nobody takes it for one without strings. A null or empty payload has no rows.
 
-    kind = payloads.schema["id"].dataType.simpleString()
-    return payloads.select("id", column).mapInPandas(run, f"id {kind}, path string, value string, error string")
+    Payloads are parsed once to variants and opened level by level where they are, with no shuffle. What can't be read:
+    no JSON, an object that names a key twice, and what is nested or as large as the parser refuses.
+    """
+    whole = payloads.select("id", F.col(column).alias("json")).where("json <> ''")
+    rows = whole.select("id", F.lit("").alias("path"), F.try_parse_json("json").alias("v"), nesting(F.col("json")).alias("depth"))
+    error = F.when(F.col("v").isNull(), F.lit("not JSON that can be read"))
+    bad = rows.where(error.isNotNull()).select("id", F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("value"), error.alias("error"))
+    depth = rows.where("v is not null").agg(F.max("depth")).first()[0] or 0
+    rows, told = rows.where("v is not null").select("id", "path", "v"), [bad]
+    kind = F.schema_of_variant("v")
+    while True:
+        for _ in range(min(LEVELS, depth)):
+            rows = _opened(rows)
+        told.append(rows.where(kind == "STRING").select("id", "path", F.variant_get("v", "$", "string").alias("value"), F.lit(None).cast("string").alias("error")))
+        depth -= LEVELS
+        if depth <= 0:
+            return reduce(DataFrame.unionByName, told)
+        rows = durable(rows.where(kind.startswith("OBJECT<") | kind.startswith("ARRAY<")))
 
 
 def joined_text(leaf: Column) -> Column:
@@ -72,45 +91,32 @@ def joined_text(leaf: Column) -> Column:
     return S.without_tokens(F.concat_ws("\n", F.transform(leaf, lambda x: x["value"])))
 
 
-def _folded(text: Column) -> Column:
-    """Case and runs of white space made one, as the patterns of values see them."""
-    return F.lower(F.upper(F.regexp_replace(text, f"{X.SPACE}+", " ")))
-
-
 def value_patterns(cls: Column, value: Column) -> Column:
-    """array<struct(pattern, gram)>: regular expressions by which a stored value is found, its digits however spaced, or
-    itself in any case; and the first of the value's grams, which a text that matches holds (text_grams)."""
-    told = lambda pattern, form, n=3: F.struct(pattern.alias("pattern"), F.substring(form, 1, n).alias("gram"))
-    none = F.array().cast("array<struct<pattern:string,gram:string>>")
+    """array<struct(pattern, form, kind)>: regular expressions by which a stored value is found, its digits however spaced,
+    or itself in any case, and what an automaton seeks to find texts that may match."""
+    told = lambda pattern, form, kind: F.struct(pattern.alias("pattern"), form.alias("form"), F.lit(kind).alias("kind"))
+    none = F.array().cast("array<struct<pattern:string,form:string,kind:string>>")
     v = S.strip(value)
     d = S.digits(v)
     packed = F.length(F.regexp_replace(v, f"{X.SPACE}+", ""))
     core = F.when(cls == "PHONE", F.right(d, F.lit(10))).otherwise(d)
     spaced = F.regexp_replace(core, "(?<=[0-9])(?=[0-9])", r"[\\s-]?")
     flexible = lambda s: F.regexp_replace(S.escaped(s), f"{X.SPACE}+", r"\\s+")
-    whole = F.when(F.length(v) >= 3, F.array(told(F.concat(F.lit("(?iu)"), flexible(v)), _folded(v)))).otherwise(none)
-    words = F.transform(F.filter(F.split(v, f"{X.SPACE}+"), lambda w: F.length(w) >= 3), lambda w: told(F.concat(F.lit("(?iu)" + X.BORDER), S.escaped(w), F.lit(X.BORDER)), _folded(w)))
+    whole = F.when(F.length(v) >= 3, F.array(told(F.concat(F.lit("(?iu)"), flexible(v)), v, "text"))).otherwise(none)
+    words = F.transform(F.filter(F.split(v, f"{X.SPACE}+"), lambda w: F.length(w) >= 3), lambda w: told(F.concat(F.lit("(?iu)" + X.BORDER), S.escaped(w), F.lit(X.BORDER)), w, "text"))
     named = F.when(cls == "NAME", words).otherwise(none)
-    return F.when((F.length(d) >= 6) & (F.length(d) / packed > 0.6), F.array(told(spaced, core, 6))).otherwise(F.concat(whole, named))
-
-
-def text_grams(text: Column) -> Column:
-    """Distinct runs of three characters, and of six digits where single spaces and hyphens between digits are left out."""
-    threes = F.regexp_extract_all(_folded(text), F.lit("(?s)(?=(...))"), F.lit(1))
-    sixes = F.regexp_extract_all(F.regexp_replace(text, r"(?<=[0-9])[\s-](?=[0-9])", ""), F.lit("(?=([0-9]{6}))"), F.lit(1))
-    return F.array_union(threes, sixes)
+    return F.when((F.length(d) >= 6) & (F.length(d) / packed > 0.6), F.array(told(spaced, core, "digits"))).otherwise(F.concat(whole, named))
 
 
-def leaked_values(texts: DataFrame, vault: DataFrame) -> DataFrame:
+def leaked_values(texts: DataFrame, vault: DataFrame, most: int = AUTOMATON_BYTES) -> DataFrame:
     """id, token, cls, ord of the vault entries whose value shows in a text. texts: id, scope, text; vault also scope.
 
-    A payload meets the entries of its own scope (session or user) that begin with a gram that it holds: an equi-join in
-    which only grams travel. Each text then meets its entries once.
+    Each text is read by an automaton of all values and meets those of its own scope (session or user) that it may hold;
+    only leaks travel.
     """
-    known = vault.where(F.col("value") != "").select("scope", "token", "cls", F.col("n").alias("ord"), F.explode(value_patterns(F.col("cls"), F.col("value"))).alias("p")).select("scope", F.col("p.gram").alias("gram"), F.struct("ord", "cls", "token", "p.pattern").alias("entry"))
-    grams = texts.select("id", "scope", F.explode(text_grams(F.col("text"))).alias("gram"))
-    met = grams.join(known, ["scope", "gram"]).groupBy("id").agg(F.collect_set("entry").alias("entries"))
-    shown = texts.join(met, "id").select("id", F.explode(F.filter("entries", lambda e: F.rlike(F.col("text"), e["pattern"]))).alias("e"))
+    known = vault.where(F.col("value") != "").select(F.col("scope").cast("string").alias("scope"), F.col("n").alias("ord"), "cls", "token", F.explode(value_patterns(F.col("cls"), F.col("value"))).alias("p")).select("scope", "ord", "cls", "token", "p.pattern", "p.form", "p.kind")
+    met = texts.select("id", "text", F.explode(found_in(F.col("text"), known, F.col("scope").cast("string"), most)).alias("e"))
+    shown = met.where(F.rlike(F.col("text"), F.col("e.pattern")))
     return shown.groupBy("id", "e.token", "e.cls").agg(F.min("e.ord").alias("ord"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import scalars as S
+from .automata import AUTOMATON_BYTES, found_in
 
 SPAN = "struct<cls:string,start:int,end:int,value:string,valid:boolean,token:string,layer:string>"
 NO_SPANS = f"array<{SPAN}>"
@@ -138,39 +139,18 @@ def clean_terms(raw: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(raw, r"[,\n]"), S.strip), lambda t: F.length(t) >= 3))
 
 
-RUNS = r"[\p{L}\p{N}]+"
-SIGNS = r"[^\p{L}\p{N}\s]"
+def dictionary_spans(texts: DataFrame, terms: DataFrame, text: str = "text", most: int = AUTOMATON_BYTES) -> DataFrame:
+    """texts with a column dict_spans: merged spans of the terms (term, cls, token), longer terms first, equal ones in the
+    order of the terms' column `ord`, or of the term where there is none.
 
-
-def _keys(text: Column) -> Column:
-    """array<string>: runs of letters and digits of a text in lower case, pairs of neighbouring ones, and other signs."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(RUNS), F.lit(0))
-    pairs = lambda r: F.filter(F.transform(r, lambda x, i: F.concat(x, F.lit(" "), F.get(r, i + 1))), lambda p: p.isNotNull())
-    both = S.bound(runs, lambda r: F.concat(r, pairs(r)))
-    return F.array_union(both, F.regexp_extract_all(text, F.lit(SIGNS), F.lit(0)))
-
-
-def term_index(terms: DataFrame) -> DataFrame:
-    """terms (term, cls, token) with the key by which texts are looked up: their first two runs of letters and digits, or
-    the only one; a term without any has its first sign."""
-    runs = F.regexp_extract_all(F.lower("term"), F.lit(RUNS), F.lit(0))
-    return terms.withColumn("key", F.when(F.size(runs) > 0, F.array_join(F.slice(runs, 1, 2), " ")).otherwise(F.regexp_extract("term", SIGNS, 0)))
-
-
-def dictionary_spans(texts: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """texts (with `item`, a unique id) with a column dict_spans: merged spans of the terms, longer terms first, equal
-    ones in the order of the terms' column `ord`, or of the term where there is none.
-
-    A text meets only the terms whose first two runs of letters and digits it holds side by side (or first sign), by an
-    equi-join on an inverted index. Only runs travel there; each text meets its terms once.
+    Each text is read by an automaton of all terms and meets only those that it may hold; no word of it travels.
     """
-    runs = texts.select("item", F.explode(_keys(F.col(text))).alias("key"))
     order = F.col("ord") if "ord" in terms.columns else F.col("term")
-    indexed = term_index(terms).where("key <> ''").select(
-        "key", F.struct((-F.length("term")).alias("k"), order.alias("o"), F.col("term").alias("t"), F.col("cls").alias("cls"), F.col("token").alias("token"), term_pattern(F.col("term")).alias("pattern")).alias("r"))
-    met = runs.join(indexed, "key").groupBy("item").agg(F.array_sort(F.collect_list("r")).alias("_terms"))
+    entries = terms.where(S.strip(F.col("term")) != "").select(F.col("term").alias("form"), F.lit("text").alias("kind"), (-F.length("term")).alias("k"), order.alias("o"), F.col("term").alias("t"), "cls", "token", term_pattern(F.col("term")).alias("pattern"))
+    # a generated column, so that the automaton runs once
+    met = texts.drop("dict_spans").select("*", F.explode(F.array(F.array_sort(F.array_distinct(found_in(F.col(text), entries, most=most))))).alias("_terms"))
     found = F.transform("_terms", lambda r: F.transform(matches(F.col(text), r["pattern"]), lambda m: span(r["cls"], m["start"], m["start"] + F.length(m["value"]), m["value"], token=r["token"])))
-    return texts.join(met, "item", "left").withColumn("dict_spans", F.when(F.col("_terms").isNull(), no_spans()).otherwise(merged(F.flatten(found)))).drop("_terms")
+    return met.withColumn("dict_spans", F.when(F.size("_terms") == 0, no_spans()).otherwise(merged(F.flatten(found)))).drop("_terms")
 
 
 def replaced(text: Column, spans: Column, shown) -> Column:

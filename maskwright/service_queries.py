@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from .functions import fixed as X
 from .functions import scalars as S
+from .operators import audit, ranking
 from .operators import detect as D
-from .operators import ranking
 from .operators import vault as V
 from .plans import api, planner
 from .queries import _ISLANDS, _read, _sql_rules, query
@@ -58,6 +58,21 @@ def custom_terms(spark, sf_dir):
     return _read(spark, sf_dir, "customer").select("c_custkey", F.array_join(D.clean_terms(raw), "|").alias("terms"), S.escaped(_text("a.b*", F.col("c_custkey"))).alias("escaped"))
 
 
+# --- payloads ---
+
+
+@query("""WITH p AS (SELECT conv_id, turn, CASE WHEN turn % 9 = 8 THEN '{"role":' ELSE CAST(json_object('role', role, 'image', json_object('text', text), 'said', json_array(json_object('text', text, 'marks', json_array('a', json_array(role, turn))), turn, json_object(), NULL), 'to be', json_object('deep', json_array(json_array(json_array(text))))) AS VARCHAR) END AS json FROM conversations),
+t AS (SELECT conv_id, turn, j.fullkey AS k, j.atom->>'$' AS v FROM p, LATERAL json_tree(p.json) j WHERE p.turn % 9 <> 8 AND j.type = 'VARCHAR' AND NOT starts_with(j.fullkey, '$.image'))
+SELECT conv_id, turn, replace(CASE WHEN starts_with(k, '$.') THEN substr(k, 3) ELSE substr(k, 2) END, '"', '') AS path, v AS value, false AS unreadable FROM t UNION ALL SELECT conv_id, turn, NULL, NULL, true FROM p WHERE turn % 9 = 8""")
+def payload_leaves(spark, sf_dir):
+    """All strings of nested payloads of conversations, whatever their shape; cut ones are told."""
+    role, text = F.expr("substring(r, 6, length(r) - 6)"), F.expr("substring(t, 6, length(t) - 6)")
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(F.struct(F.coalesce("role", F.lit("")).alias("x"))).alias("r"), F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("x"))).alias("t"))
+    whole = _text('{"role":', role, ',"image":{"text":', text, '},"said":[{"text":', text, ',"marks":["a",[', role, ",", F.col("turn"), "]]},", F.col("turn"), ',{},null],"to be":{"deep":[[[', text, "]]]}}")
+    rows = rows.select(F.struct("conv_id", "turn").alias("id"), F.when(F.col("turn") % 9 == 8, F.lit('{"role":')).otherwise(whole).alias("json"))
+    return audit.json_leaves(rows).select("id.conv_id", "id.turn", "path", "value", F.col("error").isNotNull().alias("unreadable"))
+
+
 # --- vault ---
 
 
