@@ -6,11 +6,11 @@ the product of both sizes. Landmarks give the Nyström features, on which one ri
 solved. As the kernel is a product of presence vectors, landmarks and coefficients fold into one matrix, and a batch
 of texts is scored by one matrix product.
 
-The fit uses at most PER_LANG rows of each language and ROWS in all, taken by a hash of doc_id; LANDMARKS of them, or two
-for each language where that is more, are landmarks. Everything else reads every row and the whole text.
+The fit uses at most PER_LANG rows of each language and ROWS in all, taken by a hash, of the LANGS most frequent
+languages; LANDMARKS of them, or two for each language where that is more, are landmarks. Everything else reads every row and the whole text.
 
 Cases: a null text, or one with no letter, is `und` with score 0, as is every text where no row could be learned
-from; equal texts get equal results; ties go to the language that sorts first; a null doc_id isn't held out; very
+from; equal texts get equal results; rows that repeat are learned once, rows of one doc_id each for itself; ties go to the language that sorts first; a null doc_id isn't held out; very
 long texts are read whole; an empty table gives an empty result; other columns are not read.
 """
 
@@ -24,11 +24,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import dropped, written
 from .textkernel import arrow_bytes, released, slices
 
 ORDER = 4
 CELLS = 1 << 14
-PER_LANG, ROWS = 400, 25_600
+PER_LANG, ROWS, LANGS = 400, 25_600, 512
 LANDMARKS = 300
 RIDGE = 1e-2
 SHARPNESS = 4.0
@@ -95,29 +96,39 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
-def fit(docs: DataFrame, allowed: Column, per_lang: int = PER_LANG) -> Model | None:
-    """A model of at most per_lang rows of each lang and ROWS in all, from rows where `allowed` holds; None if there are none."""
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    rows = docs.where(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", F.pmod(F.hash("doc_id"), F.lit(SHARES)).alias("share"))
-    n_langs = rows.agg(F.count_distinct("lang")).first()[0]
-    per_lang = min(per_lang, max(1, ROWS // max(1, n_langs)))
+def fit(docs: DataFrame, allowed: Column, per_lang: int = PER_LANG, rows_in_all: int = ROWS, most_langs: int = LANGS) -> Model | None:
+    """A model of at most per_lang rows of each lang and rows_in_all together, from rows with a lang and letters where
+    `allowed` holds; None if there are none. Where there are more, the most_langs most frequent langs are learned.
+
+    Rows are taken by a hash of doc_id, lang and text, below a bound for each lang; equal rows count once. The first pass
+    reads hashes only, the second brings the spectra of the rows below the bounds to the driver, and no others.
+    """
+    spark = docs.sparkSession
+    fine = allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}")
+    rows = docs.where(fine).select("lang", "text", F.xxhash64("doc_id", "lang", "text").alias("h"))
+    keys, keys_at = written(rows.select("lang", "h").distinct(), "language-keys")
+    langs = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    if not langs:
+        dropped(spark, keys_at)
+        return None
+    per_lang = min(per_lang, max(1, rows_in_all // len(langs)))
+    known = spark.createDataFrame([(r.lang,) for r in langs], "lang string")
+    first = keys.join(F.broadcast(known), "lang").withColumn("share", F.pmod("h", F.lit(SHARES)))
     # the first rows of a language are among the first of each of its shares, so no task reads a whole language
     for by in (["lang", "share"], ["lang"]):
-        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("n") <= per_lang)
-    sample = rows.select("doc_id", F.col("lang").alias("target")).distinct()
+        first = first.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("n") <= per_lang)
+    # one row for each language, most_langs at most
+    bounds = spark.createDataFrame(first.groupBy("lang").agg(F.max("h").alias("top")).collect(), "lang string, top long")
+    dropped(spark, keys_at)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = [np.packbits(r > 0).tobytes() for _, _, x in spectra(batch.column(1)) for r in x]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bits, pa.binary())], names=["doc_id", "lang", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bits, pa.binary())], names=["lang", "h", "bits"])
 
-    texts = docs.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "text")
-    # at most per_lang rows for each language
-    chosen = texts.join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("string"), "text", F.col("target").alias("lang"))
-    got = chosen.mapInArrow(packed, "doc_id string, lang string, bits binary").toPandas()
-    if got.empty:
-        return None
-    got = got.sort_values(["lang", "doc_id", "bits"], kind="stable").groupby("lang", sort=True).head(per_lang)
+    chosen = rows.join(F.broadcast(bounds), "lang").where(F.col("h") <= F.col("top")).select("lang", "text", "h")
+    spectrum = chosen.mapInArrow(packed, "lang string, h long, bits binary").groupBy("lang", "h").agg(F.first("bits").alias("bits"))
+    got = spectrum.toPandas().sort_values(["lang", "h"], kind="stable")
     x = np.unpackbits(np.frombuffer(b"".join(got.bits), dtype=np.uint8).reshape(len(got), -1), axis=1)
     return fitted(x, got.lang.tolist())
 
