@@ -314,14 +314,18 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, n: int, ridge: float = 1.0,
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, n_features: int = FEATURES, fold: tuple[int, int] = (5, 0)) -> Model | None:
-    """A model of at most train_rows labelled rows outside the held-out fold; None if there are none."""
+    """A model of at most train_rows labelled rows outside the held-out fold; None if there are none. Both doc_ids and rows
+    are taken by a hash, so a doc_id with many rows brings no more than that; equal rows count once."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Restorer(letter_costs(trigram_counts(docs))))
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), *fold))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    # at most train_rows rows
-    rows, rows_at = written(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic"), "labelled")
+    # at most train_rows doc_ids, which may have any number of rows
+    every, every_at = written(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic", F.xxhash64("doc_id", "toxic", "text").alias("h")), "of-labelled-ids")
+    top = every.select("h").distinct().orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
+    rows, rows_at = written(every.where(F.col("h") <= F.lit(top).cast("long")).groupBy("h").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic"), "labelled")
+    dropped(spark, every_at)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: tuple[Counter, Counter] = (Counter(), Counter())
@@ -339,6 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, n_feat
     whole = tally.where("feature = ''").first()
     if whole is None or not whole.pos or not whole.neg:
         tally.unpersist()
+        dropped(spark, rows_at)
         return Model(shared.value, {}, -30.0) if whole else None
     p, q = float(whole.pos), float(whole.neg)
     term = lambda n, all_n: F.when(n > 0, n * F.log(n * (p + q) / ((F.col("pos") + F.col("neg")) * all_n))).otherwise(0.0)
