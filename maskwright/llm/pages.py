@@ -32,13 +32,18 @@ from pyspark.sql import DataFrame
 from .boosting import Boosted, fitted
 
 TRAIN_PAGES = 900
-_TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: One in so many of them has no blocks.
+PLAIN = 10
+_OPENS = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_COMMENT_ENDS = re.compile(r"--!?>")
+_VALUE_OR_END = re.compile(r">|=\s*[\"']")
 _ATTR = re.compile(r"\b(class|id|role|data-y)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style title noscript template iframe object svg math textarea select button option head canvas audio video".split())
 _HEAD = frozenset("head html base basefont bgsound link meta noframes noscript script style template title".split())
 _OPEN = frozenset("option button select object canvas audio video".split())
+_NESTED = frozenset("svg math template".split())
 _CODE = frozenset("script style title textarea iframe noscript".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 _ENDS_P = _BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "dd", "dt", "li"}
@@ -60,6 +65,50 @@ _SIDE_KINDS, _SIDE_NAMES = (1, 2, 3, 4, 5), (0, 1, 2, 3, 4, 5, 6)
 N_FEATURES = 2 * (len(_KINDS) + len(_NAMES)) + 20
 
 
+class Tag:
+    """A tag, or with a name of None what is none: a comment, a declaration, or character data (`data`)."""
+
+    def __init__(self, start: int, end: int, name: str | None, ends: bool = False, attrs: str = "", data: str = ""):
+        self.start, self.end, self.name, self.ends, self.attrs, self.data = start, end, name, ends, attrs, data
+
+
+def tag_after(source: str, at: int, broken: list[bool]) -> Tag | None:
+    """The next tag from `at` on, None if none ends. A quote hides what ends a tag only where a value begins, and no longer
+    once one was found that is never closed, which `broken` remembers: so a page is read in linear time."""
+    m = _OPENS.search(source, at)
+    if not m:
+        return None
+    start, at, what = m.start(), m.end(), m[0]
+    if what == "<!--":
+        for short in (">", "->"):
+            if source.startswith(short, at):
+                return Tag(start, at + len(short), None)
+        end = _COMMENT_ENDS.search(source, at)
+        return Tag(start, end.end() if end else len(source), None)
+    if what == "<![CDATA[" and not broken[1]:
+        end = source.find("]]>", at)
+        if end >= 0:
+            return Tag(start, end + 3, None, data=source[at:end])
+        broken[1] = True
+    if m[2] is None:
+        end = source.find(">", at)
+        return Tag(start, end + 1, None) if end >= 0 else None
+    here = at
+    while not broken[0]:
+        e = _VALUE_OR_END.search(source, here)
+        if not e:
+            break
+        if e[0] == ">":
+            return Tag(start, e.end(), m[2].lower(), bool(m[1]), source[at : e.start()])
+        close = source.find(e[0][-1], e.end())
+        if close < 0:
+            break
+        here = close + 1
+    broken[0] = True
+    end = source.find(">", at)
+    return Tag(start, end + 1, m[2].lower(), bool(m[1]), source[at:end]) if end >= 0 else None
+
+
 class Page:
     """Nodes in page order (parent before child) and text blocks, each with its node."""
 
@@ -114,19 +163,19 @@ class Page:
                 pieces = []
 
         length = len(source)
+        broken, within = [False, False], 0
         while at < length:
-            m = _TAG.search(source, at)
+            m = tag_after(source, at, broken)
             if not m:
                 break
-            text(source[at : m.start()])
-            at = m.end()
-            name = m["tag"]
+            text(source[at : m.start])
+            at = m.end
+            name = m.name
             if name is None:
-                if m["cdata"]:
-                    text(m["cdata"])
+                if m.data:
+                    text(m.data)
                 continue
-            name = name.lower()
-            if not m["end"]:
+            if not m.ends:
                 # the end tags of head and option may be left out
                 if drop == "head" and (name not in _HEAD or name == "template") or drop == "option" and name == "optgroup" and not inner or unclosed and drop and name in _BLOCK:
                     drop = ""
@@ -135,13 +184,14 @@ class Page:
                     at = close.end() if close else length
                     continue
                 if drop:
+                    within += drop in _NESTED and name == drop and not m.attrs.endswith("/")
                     if drop in ("option", "button") and name == drop:
                         inner.clear()
-                    elif drop in _OPEN and name not in _VOID and not m["attrs"].endswith("/"):
+                    elif drop in _OPEN and name not in _VOID and not m.attrs.endswith("/"):
                         inner.append(name)
                     continue
-                if name in _RAW and not m["attrs"].endswith("/"):
-                    drop = name
+                if name in _RAW and not m.attrs.endswith("/"):
+                    drop, within = name, 1
                     inner.clear()
                     if name in _OPEN and name != "option":
                         if name not in ends:
@@ -162,7 +212,7 @@ class Page:
                     flush()
                     links = links if name == "a" else 0 if not any(t == "a" for t, _ in stack) else links
                     if name in ("html", "body", "hr"):
-                        if name == "body" and m["attrs"]:
+                        if name == "body" and m.attrs:
                             pass
                         continue
                     if name in _ENDS_P:
@@ -180,7 +230,7 @@ class Page:
                             if stack[k][0] in same and (name != "tr" or stack[k][0] == "tr"):
                                 del stack[k:]
                                 break
-                    stack.append((name, self._node(name, m["attrs"], stack[-1][1])))
+                    stack.append((name, self._node(name, m.attrs, stack[-1][1])))
                 continue
             if drop in _OPEN and name in inner:
                 del inner[len(inner) - 1 - inner[::-1].index(name) :]
@@ -188,7 +238,8 @@ class Page:
             if drop == "option" and name not in ("option", "body", "html") or drop in _OPEN and name != drop and any(t == name for t, _ in stack[1:]):
                 drop = ""  # its parent ends
             if drop:
-                if name == drop or name in ("body", "html"):
+                within -= name == drop
+                if name == drop and (within <= 0 or drop not in _NESTED) or name in ("body", "html"):
                     drop = ""
             elif name == "a":
                 links = max(0, links - 1)
@@ -318,11 +369,25 @@ def sample_page(rng: random.Random) -> str:
             body = f"<b>{words(2, 6)}</b><br>" + body
         return f'<p data-y="1">{body}' + rng.choice(["</p>", "</p>", "</p>", ""])
 
+    def table() -> str:
+        cell = lambda t: f'<{t} data-y="1">{rng.choice([words(1, 4), str(rng.randint(0, 9999)), sentence(2, 8), link() if rng.random() < 0.2 else word()])}</{t}>'
+        cols = rng.randint(2, 5)
+        rows = [f'<tr data-y="1">{"".join(cell("th" if k == 0 and rng.random() < 0.8 else "td") for _ in range(cols))}</tr>' for k in range(rng.randint(1, 7))]
+        caption = f'<caption data-y="1">{words(2, 7)}</caption>' if rng.random() < 0.3 else ""
+        inner = caption + (f'<thead data-y="1">{rows[0]}</thead><tbody data-y="1">{"".join(rows[1:])}</tbody>' if rng.random() < 0.4 else "".join(rows))
+        return f'<table data-y="1">{inner}</table>'
+
+    def odd() -> str:
+        """What articles hold beside paragraphs, headings, lists and tables."""
+        terms = "".join(f'<dt data-y="1">{words(1, 3)}</dt><dd data-y="1">{sentence()}</dd>' for _ in range(rng.randint(1, 4)))
+        steps = "".join(f'<li data-y="1">{sentence(1, 9)}</li>' for _ in range(rng.randint(1, 5)))
+        return rng.choice([f'<dl data-y="1">{terms}</dl>', f'<ol data-y="1">{steps}</ol>', f'<pre data-y="1">{words(2, 12)}</pre>', f'<figure data-y="1"><img src="x.png"><figcaption data-y="1">{sentence()}</figcaption></figure>'])
+
     def main() -> str:
         parts = [f'<h1 data-y="1">{words(2, 12)}</h1>'] if rng.random() < 0.8 else []
         for _ in range(rng.choice([1, 1, 2] if stub else [1, 1, 2, 3, 5, 8, 12])):
             x = rng.random()
-            parts.append(para() if x < 0.78 else f'<h2 data-y="1">{words(2, 6)}</h2>' + para() if x < 0.86 else '<ul data-y="1">' + "".join(f'<li data-y="1">{sentence()}</li>' for _ in range(rng.randint(2, 5))) + "</ul>" if x < 0.92 else f'<blockquote data-y="1">{prose(1, 3)}</blockquote>' if x < 0.95 else f'<div data-y="1">{prose(1, 4)}</div>')
+            parts.append(table() if x < 0.07 else odd() if x < 0.13 else para() if x < 0.78 else f'<h2 data-y="1">{words(2, 6)}</h2>' + para() if x < 0.86 else '<ul data-y="1">' + "".join(f'<li data-y="1">{sentence()}</li>' for _ in range(rng.randint(2, 5))) + "</ul>" if x < 0.92 else f'<blockquote data-y="1">{prose(1, 3)}</blockquote>' if x < 0.95 else f'<div data-y="1">{prose(1, 4)}</div>')
         for extra in (ad, aside, notice, form):
             if rng.random() < 0.08:
                 parts.insert(rng.randint(0, len(parts)), extra())
@@ -347,13 +412,22 @@ def sample_page(rng: random.Random) -> str:
     return "".join(top) + ("<div>" if wrap else "") + "".join(middle) + ("</div>" if wrap else "") + (footer() if rng.random() < 0.8 else "")
 
 
+def plain_page(rng: random.Random) -> str:
+    """A made-up page of text without blocks, all of it main."""
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnoprstuvwy") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    lines = [words(rng.randint(1, 14)).capitalize() + rng.choice(["", ".", ".", "!", ", and so on."]) for _ in range(rng.choice([1, 1, 2, 3, 5, 9, 16, 30]))]
+    return rng.choice(["\n", " ", "<br>", "<br>\n"]).join(f"<b>{x}</b>" if rng.random() < 0.05 else x for x in lines)
+
+
 @functools.lru_cache(maxsize=2)
 def trained(pages: int = TRAIN_PAGES, seed: int = 7) -> Boosted:
     rng = random.Random(seed)
     x: list[list[float]] = []
     y: list[int] = []
-    for _ in range(pages):
-        page = Page(sample_page(rng))
+    for k in range(pages):
+        plain = k % PLAIN == 0
+        page = Page(plain_page(rng) if plain else sample_page(rng))
+        page.truth[0] = int(plain)
         for row, truth in zip(page.features(), page.truth, strict=True):
             if truth is not None:
                 x.append(row)

@@ -160,7 +160,45 @@ def test_end_tags_of_head_and_option_may_be_left_out():
 
 
 def test_main_text():
-    assert pages.main_texts([PAGE, "", "plain text only"], pages.trained())[:2] == ["Title & more\n\nFirst line, with words in it. And a second one.\n\nAnother paragraph, of some length, with several words. It goes on.", ""]
+    assert pages.main_texts([PAGE, "", "plain text only"], pages.trained()) == ["Title & more\n\nFirst line, with words in it. And a second one.\n\nAnother paragraph, of some length, with several words. It goes on.", "", "plain text only"]
+
+
+PROSE = "The river rose in the night, and by morning the lower fields were under water. Nobody had expected it so early in the year."
+
+
+def test_tables_and_lists_of_an_article_stay():
+    inside = [
+        ("<table><tr><th>Place</th><td>Depth</td></tr><tr><th>Mill</th><td>2 m</td></tr></table>", ["Place", "Depth", "Mill", "2 m"]), ("<table><thead><tr><th>Day</th></tr></thead><tbody><tr><td>Monday</td></tr></tbody></table>", ["Day", "Monday"]),
+        ("<dl><dt>Weir</dt><dd>A low dam over a river.</dd></dl>", ["Weir", "A low dam over a river."]), ("<ol><li>Leave the house.</li><li>Go up the hill.</li></ol>", ["Leave the house.", "Go up the hill."]), ("<pre>gauge one  two</pre>", ["gauge one two"]),
+        ("<figure><img src=a><figcaption>The mill in the flood.</figcaption></figure>", ["The mill in the flood."]),
+    ]
+    sources = [f"<body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>The flood</h1><p>{PROSE}</p>{x}<p>{PROSE}</p></article><footer>&copy; us</footer></body>" for x, _ in inside]
+    assert pages.main_texts(sources, pages.trained()) == ["\n\n".join(["The flood", PROSE, *blocks, PROSE]) for _, blocks in inside]
+
+
+def test_pages_of_plain_text_stay():
+    sources = [PROSE, f"{PROSE}<br>{PROSE}", "one", "  a  b\n c ", f"<html><body>{PROSE}</body></html>"]
+    assert pages.main_texts(sources, pages.trained()) == [PROSE, f"{PROSE} {PROSE}", "one", "a b c", PROSE]
+
+
+def test_what_is_nested_in_a_picture_is_no_text():
+    sources = [f"<article><p>{PROSE}</p>{x}<p>{PROSE}</p></article>" for x in ("<svg><g><svg><text>in</text></svg><text>out</text></g></svg>", "<svg><svg/><text>x</text></svg>", "<template><p>a<template><p>b</template><p>c</template>", "<math><mi>x</mi></math>")]
+    assert pages.main_texts(sources, pages.trained()) == [f"{PROSE}\n\n{PROSE}"] * 4
+
+
+@pytest.mark.parametrize("piece", ['<p "', "<p '", '<p a="', "<p a='\"", "<p x='>", "<![CDATA[", "<!", "<?x", "<!--", "<a", "<svg>", "<option>", "<div a=", "</", "<p =\t "])
+def test_pages_are_read_in_linear_time(piece):
+    import time
+
+    began = time.process_time()
+    pages.Page(piece * ((1 << 20) // len(piece)))
+    assert time.process_time() - began < 6
+
+
+def test_quotes_hide_what_ends_a_tag_only_in_values():
+    of = lambda s: [b for _, b in pages.Page(s).blocks]
+    assert of('<p title="a > b">x</p>') == ["x"] and of("<p title = 'a > b'>x</p>") == ["x"] and of('<p it"s>x</p>') == ["x"]
+    assert of('<p title="a>x</p><p>y</p>') == ["x", "y"] and of("<![CDATA[a<b]]>c") == ["a<bc"] and of("a <p") == ["a <p"]
 
 
 def test_held_out_sample_pages():
