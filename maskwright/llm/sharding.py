@@ -54,15 +54,18 @@ def with_hilbert_index(df: DataFrame, coords: list[Column], bits: int, name: str
 
 
 def _coded(df: DataFrame, name: str, cells: int) -> Column:
-    """Coordinate of a string column: its rank while there are at most `cells` - 1 values, which keeps their order,
-    else a hash. No more than `cells` values are read to the driver."""
-    found = [r[0] for r in df.select(name).where(F.col(name).isNotNull()).distinct().orderBy(name).limit(cells).collect()]
-    if not found:
+    """Coordinate of a string column: 0 for null, else 1 + the quantile, of cells - 1, of its value among the distinct
+    values, so cells keep the order of the values however many there are. Only where cells begin is read to the driver."""
+    values = df.select(name).where(F.col(name).isNotNull()).distinct()
+    placed, total = ranked(values, [name], "_rank")
+    cell = F.expr(f"cast(1 + _rank * {cells - 1}L div {max(total, 1)}L as int)")
+    # one row for each cell
+    starts = placed.groupBy(cell.alias("cell")).agg(F.min(name).alias("first")).orderBy("cell").collect()
+    if not starts:
         return F.lit(0)
-    if len(found) < cells:
-        ranks = F.create_map(*[x for k, v in enumerate(found) for x in (F.lit(v), F.lit(1 + k * (cells - 1) // len(found)))])
-        return F.coalesce(F.try_element_at(ranks, F.col(name)), F.lit(0))
-    return F.when(F.col(name).isNull(), 0).otherwise(F.pmod(F.xxhash64(name), F.lit(cells)).cast("int"))
+    passed = F.size(F.filter(F.array(*[F.lit(r.first) for r in starts]), lambda b: b <= F.col(name)))
+    # what changed since the values were read, if anything, has the place of its neighbour
+    return F.when(F.col(name).isNull(), 0).otherwise(F.element_at(F.array(*[F.lit(r.cell) for r in starts]), F.greatest(passed, F.lit(1))))
 
 
 def ranked(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int]:
