@@ -1,6 +1,6 @@
 """Substring dedup with fixed-block anchors.
 
-Rows are dealt to batches by ranges of doc_id. BLOCK words are the longest block of which every window of WINDOW words
+Rows are dealt to batches by ranges of doc_id; a doc_id of more bytes than a batch has batches of its own. BLOCK words are the longest block of which every window of WINDOW words
 holds a whole one, wherever blocks begin: the non-overlapping blocks of every document are the index, and every rolling
 window of BLOCK words of every document is a probe.
 
@@ -20,7 +20,7 @@ and the answers take the same way back, so that rows grow in proportion to the b
 
 Cases: a null or empty text has no words; a text of less than WINDOW words loses none; rows of one doc_id don't count
 as before each other; a row with a null doc_id neither loses words nor makes others lose any; very long texts are read
-whole; an empty table gives an empty result; no column but doc_id and text is read, unless asked for.
+whole; a doc_id that is no integer is refused; an empty table gives an empty result; no column but doc_id and text is read, unless asked for.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import dropped, shuffles_released, written
@@ -262,46 +262,68 @@ def _merged(table: pa.Table, kind: int) -> pa.Table:
     })
 
 
-def batch_bounds(sizes: DataFrame, n: int) -> list[int]:
-    """The greatest doc_id of each of n batches but the last. sizes: doc_id and bytes of each row. Ranges of doc_id, four
-    for a batch, are put together where their bytes reach the next n-th of all; so a batch holds an n-th and at most
-    one more range, unless one doc_id alone, as of a very long text, holds more."""
+def batch_bounds(sizes: DataFrame, n: int) -> np.ndarray:
+    """The greatest doc_id of each of about n batches but the last, in order; a doc_id that fills several is there as often.
+    sizes: doc_id and bytes of each row.
+
+    The bytes of each doc_id are added up in order of doc_id: within range partitions, as many as the session has, and
+    from one to the next. A batch ends where the sum passes the next n-th of all, so it holds an n-th and at most one
+    more doc_id. Only the bounds come to the driver, eight bytes for each batch.
+    """
     if n == 1:
-        return []
-    ids = sizes.where("doc_id is not null").repartitionByRange(4 * n, "doc_id").groupBy(F.spark_partition_id().alias("range")).agg(F.max("doc_id").alias("top"), F.sum("size").alias("size"))
-    found = sorted(ids.collect(), key=lambda r: r.top)  # four rows for each batch
-    share = max(1.0, sum(r["size"] for r in found) / n)
-    out, before = [], 0
-    for r in found[:-1]:
-        after = before + r["size"]
-        if after // share > before // share:
-            out.append(r.top)
-        before = after
-    return out
+        return np.zeros(0, np.int64)
+    spark = sizes.sparkSession
+    per_id = sizes.where("doc_id is not null").groupBy("doc_id").agg(F.sum("size").alias("size"))
+    laid, laid_at = written(per_id.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").withColumn("part", F.spark_partition_id()), "ranges")
+    tops = laid.groupBy("part").agg(F.min("doc_id").alias("first"), F.sum("size").alias("size")).orderBy("first").collect()  # a row for each partition
+    share = max(1.0, sum(r["size"] for r in tops) / n)
+    before = np.cumsum([0, *(r["size"] for r in tops)]).tolist()
+    offsets = spark.createDataFrame([(r.part, b) for r, b in zip(tops, before, strict=False)], "part int, before long")
+    so_far = F.col("before") + F.sum("size").over(Window.partitionBy("part").orderBy("doc_id"))
+    passed = laid.join(F.broadcast(offsets), "part").select("doc_id", (F.floor(so_far / share) - F.floor((so_far - F.col("size")) / share)).cast("int").alias("m")).where("m > 0").toPandas().sort_values("doc_id")
+    dropped(spark, laid_at)
+    return np.repeat(passed.doc_id.to_numpy(np.int64), passed.m.to_numpy())
+
+
+def ranks_of(bounds: np.ndarray) -> np.ndarray:
+    """The place of each batch in the order of doc_id; the batches of one doc_id share the place of their first."""
+    ranks = np.arange(len(bounds) + 1)
+    again = np.append(False, bounds[1:] == bounds[:-1]) if len(bounds) else np.zeros(0, bool)
+    inner = np.flatnonzero(again)
+    ranks[inner] = np.searchsorted(bounds, bounds[inner], side="left") + 1
+    return ranks
+
+
+def batches_of(doc_ids: np.ndarray, spread: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The batch of each row: how many bounds lie below its doc_id; rows of a doc_id that fills batches of its own are dealt
+    to them by `spread`."""
+    lo, hi = np.searchsorted(bounds, doc_ids, side="left"), np.searchsorted(bounds, doc_ids, side="right")
+    own = hi - lo - 1
+    return np.where(own > 0, lo + 1 + spread % np.maximum(own, 1), lo).astype(np.int32)
+
+
+def _dealt(shared, n_batches: int) -> Column:
+    """The batch of a row. The bounds are told by broadcast; no other column goes to Python."""
 
+    def deal(doc_ids: pa.Array, spread: pa.Array) -> pa.Array:
+        s = spread.to_numpy(zero_copy_only=False) & ((1 << 62) - 1)
+        ids = pc.fill_null(doc_ids, 0).to_numpy(zero_copy_only=False)
+        none = np.asarray(pc.is_null(doc_ids))
+        return pa.array(np.where(none, s % n_batches, batches_of(ids, s, shared.value)).astype(np.int32), pa.int32())
 
-def _ranged(doc_id: Column, bounds: list, null_to: Column) -> Column:
-    """How many of the sorted bounds lie below doc_id, by a search in two levels."""
-    if not bounds:
-        return F.when(doc_id.isNull(), null_to).otherwise(F.lit(0)).cast("int")
-    width = max(1, math.isqrt(len(bounds)))
-    runs = [bounds[k : k + width] for k in range(0, len(bounds), width)]
-    longs = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")  # noqa: E731  one literal, which the optimizer folds
-    count = lambda xs: F.size(F.filter(xs, lambda b: b < doc_id))
-    outer = count(longs([r[-1] for r in runs]))
-    all_runs = F.transform(F.split(F.lit(";".join(",".join(map(str, r)) for r in runs)), ";"), lambda r: F.split(r, ",").cast("array<bigint>"))
-    inner = F.get(all_runs, F.least(outer, F.lit(len(runs) - 1)))
-    return F.when(doc_id.isNull(), null_to).otherwise(F.when(outer == len(runs), len(bounds)).otherwise(outer * width + count(inner))).cast("int")
+    return F.arrow_udf(deal, "int")(F.col("doc_id").cast("long"), F.xxhash64("text", "doc_id"))
 
 
 def deduped(docs: DataFrame, window: int = WINDOW, carry: list[str] | None = None, batch_bytes: int = BATCH_BYTES, coarse_bits: int = COARSE_BITS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row, or with `carry` those columns, text (the kept words
     joined by one space; as it was if no word goes), n_words and n_removed."""
     spark = docs.sparkSession
+    if docs.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError("doc_id must be an integer, as it gives the order of the documents")
     sizes, sizes_at = written(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")), "sizes")
     total = int(sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    batch_bytes = max(batch_bytes, min(16 * batch_bytes, total // MANY_BATCHES))  # bounds are kept by the driver
+    batch_bytes = max(batch_bytes, min(16 * batch_bytes, total // MANY_BATCHES))  # the driver holds a bound for each
     bounds = batch_bounds(sizes, max(1, math.ceil(total / batch_bytes), min(wide, total // (batch_bytes // 8))))
     dropped(spark, sizes_at)
     n_batches = len(bounds) + 1
@@ -309,7 +331,8 @@ def deduped(docs: DataFrame, window: int = WINDOW, carry: list[str] | None = Non
     bits = min(all_bits, coarse_bits)
     fine = all_bits - bits
     # rows without a doc_id take no part and are spread
-    batch = _ranged(F.col("doc_id"), bounds, F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(n_batches)).cast("int"))
+    batch = _dealt(spark.sparkContext.broadcast(bounds), n_batches)
+    ranks = spark.sparkContext.broadcast(ranks_of(bounds))
     slim = docs.where("doc_id is not null").select(batch.alias("_batch"), "doc_id", "text")
     reply = "batch int, kind int, part int, payload binary"
     sent = "batch int, part int, payload binary"
@@ -358,7 +381,7 @@ def deduped(docs: DataFrame, window: int = WINDOW, carry: list[str] | None = Non
     del asked
     shuffles_released(spark)
     asked = grouped(slim, "_batch").cogroup(grouped(anchors, "batch")).applyInArrow(ask_before, sent)
-    before, _ = written(answered(asked, 2, before_bits).unionByName(anchors), "repeats")
+    before, _ = written(answered(asked, 2, lambda b, x: before_bits(ranks.value[b], x)).unionByName(anchors), "repeats")
     del asked
     shuffles_released(spark)
     dropped(spark, anchors_at)

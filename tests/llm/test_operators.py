@@ -188,12 +188,38 @@ def test_batches_are_cut_by_bytes(spark):
     rows = [(i, "x" * (1000 if i % 50 else 20_000)) for i in range(1000)] + [(7, "y" * 5000)] * 3 + [(None, "z" * 900)] * 20
     docs = spark.createDataFrame([(i, len(t)) for i, t in rows], "doc_id long, size long")
     n = sum(len(t) for _, t in rows) // 50_000
-    bounds = substrings.batch_bounds(docs, n)
+    bounds = substrings.batch_bounds(docs, n).tolist()
     sizes = Counter()
     for i, t in rows:
         if i is not None:
             sizes[sum(b < i for b in bounds)] += len(t)
-    assert bounds == sorted(set(bounds)) and n // 2 < len(bounds) < n and max(sizes.values()) <= 90_000
+    assert bounds == sorted(set(bounds)) and n // 2 < len(bounds) <= n and max(sizes.values()) <= 90_000
+
+
+def test_one_doc_id_of_many_rows_has_batches_of_its_own(spark):
+    """A third of all bytes under one doc_id: they are dealt to many batches, which don't count as before each other."""
+    rng = np.random.default_rng(6)
+    passage = prose(rng, 20)
+    rows = [(i, f"{prose(rng, 30)} {passage if i % 3 == 0 else ''} {prose(rng, 5)}") for i in range(60)] + [(31, f"{prose(rng, 4)} {passage} {prose(rng, 20)}") for _ in range(60)] + [(31, f"{passage} end")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    sizes = docs.select("doc_id", F.octet_length("text").alias("size"))
+    bounds = substrings.batch_bounds(sizes, 30)
+    assert (bounds == 31).sum() >= 10 and len(bounds) <= 30
+    dealt = Counter(substrings.batches_of(np.full(600, 31), np.arange(600), bounds).tolist())
+    assert len(dealt) == (bounds == 31).sum() - 1 and max(dealt.values()) < 90
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.deduped(docs, batch_bytes=1500).collect())
+    assert got == dedup_by_hand(rows)
+
+
+def test_a_very_large_number_of_batches(spark, corpus):
+    rows, docs = corpus
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.deduped(docs, batch_bytes=300, coarse_bits=3).collect())
+    assert got == dedup_by_hand(rows)
+
+
+def test_doc_ids_must_be_integers(spark):
+    with pytest.raises(TypeError):
+        substrings.deduped(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 def test_messages_grow_in_proportion(spark):
@@ -219,10 +245,12 @@ def test_substrings_other_windows_and_carried_columns(spark, corpus):
     assert clash.where("batch = 1").count() == len(rows) - 2
 
 
-def test_ranges_of_doc_ids(spark):
-    bounds = [5, 9, 9, 20, 31, 40, 41]
-    got = spark.range(50).select("id", substrings._ranged(F.col("id"), bounds, F.lit(-1)).alias("b")).collect()
-    assert all(r.b == sum(x < r.id for x in bounds) for r in got)
+def test_ranges_of_doc_ids():
+    bounds, ids = np.array([5, 9, 9, 20, 31, 31, 31, 40, 41]), np.arange(50)
+    got = substrings.batches_of(ids, ids * 7, bounds)
+    plain = [i for i in ids if i not in (9, 31)]
+    assert all(got[i] == sum(bounds < i) for i in plain) and got[9] == 2 and {int(x) for x in substrings.batches_of(np.full(9, 31), np.arange(9), bounds)} == {5, 6}
+    assert substrings.ranks_of(bounds).tolist() == [0, 1, 2, 3, 4, 5, 5, 7, 8, 9] and substrings.ranks_of(np.zeros(0, np.int64)).tolist() == [0]
 
 
 @pytest.mark.parametrize("broadcast", [1000, 0])
