@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .scratch import written
 from .textkernel import Words, arrow_bytes, mix, slices
@@ -214,7 +215,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, b
                         names=["doc_id", "item_id", "n_common", "n_shingles", "containment"],
                     )
 
-        items_type = pa.int64() if kinds[1] == "bigint" else pa.int32() if kinds[1] == "int" else pa.string()
+        items_type = to_arrow_type(items.schema["item_id"].dataType)
         return docs.select("doc_id", "text").mapInArrow(solve, out)
 
     common = spark.sparkContext.broadcast(_bitmap(table, "shingles", n_shingles))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from maskwright.llm import language, toxicity
+from maskwright.llm import contamination, language, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string"
 GERMAN = "der Hund und die Katze gehen über die alte Straße und schlafen nicht"
@@ -55,3 +55,15 @@ def test_toxicity_rows_of_one_id_are_bounded(spark, seen, same):
     assert len(seen["y"]) <= (held if same else 100)
     toxicity.fit(spark.createDataFrame(rows, DOCS), labels, train_rows=20)
     assert len(seen["y"]) <= 20
+
+
+@pytest.mark.parametrize("kind", ["tinyint", "smallint", "int", "bigint", "decimal(12,2)", "date", "string", "double"])
+@pytest.mark.parametrize("broadcast", [1000, 0])
+def test_benchmark_items_of_any_id(spark, kind, broadcast):
+    items = spark.createDataFrame([(i, f"{ENGLISH} number {i} of them") for i in range(1, 5)], "i int, text string")
+    ids = F.expr(f"date_add(date'2026-01-01', i)" if kind == "date" else f"cast(i as {kind})").alias("item_id")
+    docs = spark.createDataFrame([(i, f"Some words before. {ENGLISH} number {i} of them and after.") for i in range(1, 9)], "doc_id int, text string")
+    got = contamination.contained(docs, items.select(ids, "text"), broadcast=broadcast)
+    assert dict(got.dtypes)["item_id"] == kind
+    want = {(r.doc_id, r.item_id) for r in docs.join(items.select(F.col("i").alias("doc_id"), ids), "doc_id").collect()}
+    assert want <= {(r.doc_id, r.item_id) for r in got.collect()}
