@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
+import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +32,33 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_WRITTEN: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
+
+
+@contextlib.contextmanager
+def dropping(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what numbered() has written within it, for callers who have stored their result by then."""
+    mine: list[str] = []
+    token = _WRITTEN.set(mine)
+    try:
+        yield
+    finally:
+        _WRITTEN.reset(token)
+        for p in mine:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _laid(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/maskwright-numbers/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
     """Adds the number of each row, from 1, in its group in this order.
 
@@ -37,7 +68,7 @@ def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFram
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid = df.repartitionByRange(parts, group, *order).sortWithinPartitions(group, *order)
-    laid = durable(laid.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    laid = _laid(laid.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
     counts = laid.groupBy(F.col(group).alias("_group"), "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumnRenamed("_part", "_own")

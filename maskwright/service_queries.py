@@ -137,6 +137,28 @@ def vault_running(spark, sf_dir):
     return vaults.vault_version(spark, path).select("token", "value")
 
 
+@query("""WITH s AS (SELECT 'NAME' AS cls, c_name AS value, c_custkey AS ord, c_custkey % 2 AS w FROM customer UNION ALL SELECT 'ADDRESS', c_nationkey || ' Lake Road', c_custkey, c_custkey % 2 FROM customer),
+f AS (SELECT cls, value, max(w) AS won, coalesce(min(CASE WHEN w = 1 THEN ord END), min(ord)) AS ord FROM s GROUP BY ALL)
+SELECT '⟦' || cls || '_' || row_number() OVER (PARTITION BY cls ORDER BY won DESC, ord) || '⟧' AS token, value, won = 1 AS seen_before FROM f""")
+def vault_two_writers(spark, sf_dir):
+    """Two writers of one vault at once: the one that loses the commit numbers after the one that won; and what a reader
+    sees who holds on to the version in between."""
+    path = _new_folder(spark)
+    c = _read(spark, sf_dir, "customer")
+    seen = F.explode(F.array(F.struct(F.lit("NAME").alias("cls"), F.col("c_name").alias("value")), F.struct(F.lit("ADDRESS").alias("cls"), _text(F.col("c_nationkey"), " Lake Road").alias("value")))).alias("e")
+    s = c.select("c_custkey", F.struct("c_custkey").alias("ord"), F.lit("s").alias("source"), F.lit(None).cast("boolean").alias("valid"), seen).select("c_custkey", "ord", "source", "valid", "e.*")
+    part = lambda k: s.where(F.col("c_custkey") % 2 == k).drop("c_custkey")
+    first, won = vaults.VaultStore(spark, path), []
+
+    def other() -> None:
+        if not won:
+            won.append(vaults.VaultStore(spark, path).update(part(1)))
+
+    first.update(part(0), before_commit=other)
+    before = first.read(won[0]).select("key", F.lit(True).alias("b"))
+    return first.read().join(before, "key", "left").select("token", "value", F.coalesce("b", F.lit(False)).alias("seen_before"))
+
+
 # --- calls ---
 
 
