@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,6 +142,63 @@ def sanitized_screens(spark, sf_dir):
     return screens.select("snapshot_id", "origin", "path_template", "title", F.col("state.class").alias("state"), F.array_join(F.transform("texts", lambda t: t["text"]), "|").alias("texts"), "late", F.array_join(masks, ",").alias("masks"), F.size("marks").alias("n_marks"))
 
 
+# --- sanitizing with what vision saw ---
+
+_SEEN_LINES = """l AS (SELECT l_suppkey, l_linenumber AS n, lpad(CAST(l_suppkey AS VARCHAR), 9, '0') AS snapshot_id, l_orderkey % 2 = 0 AS known, l_quantity, l_partkey % 100000 AS phone, l_partkey, CAST(l_quantity AS BIGINT) % 3 AS kind, l_orderkey,
+  CASE CAST(l_quantity AS BIGINT) % 3 WHEN 0 THEN 'Order ' || l_orderkey WHEN 1 THEN 'ring +91 98450 ' || lpad(CAST(l_partkey % 100000 AS VARCHAR), 5, '0') ELSE 'mail p' || l_partkey || '@mail.example' END AS text, (l_suppkey + l_linenumber) % 4 <> 0 AND (l_suppkey + l_linenumber) % 5 <> 4 AS ok FROM lineitem),
+k AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, n ORDER BY l_orderkey, text) - 1 AS i FROM l),
+p AS (SELECT phone, row_number() OVER (ORDER BY min(struct_pack(s := snapshot_id, n := n, i := i))) AS t FROM k WHERE ok AND kind = 1 GROUP BY phone),
+m AS (SELECT l_partkey, row_number() OVER (ORDER BY min(struct_pack(s := snapshot_id, n := n, i := i))) AS t FROM k WHERE ok AND kind = 2 GROUP BY l_partkey),
+t AS (SELECT k.*, CASE kind WHEN 1 THEN '⟦PHONE_' || p.t || '⟧' WHEN 2 THEN '⟦EMAIL_' || m.t || '⟧' END AS token FROM k LEFT JOIN p ON p.phone = k.phone AND kind = 1 LEFT JOIN m ON m.l_partkey = k.l_partkey AND kind = 2 WHERE ok)"""
+
+
+def _seen_screens(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A screen for each supplier, with an image for each line number, and what vision saw in these: lines of text, faces
+    and codes that follow from the items; some results failed, some are missing."""
+    n, qty = F.col("l_linenumber"), F.col("l_quantity")
+    kind = qty.cast("long") % 3
+    line = F.when(kind == 0, _text("Order ", F.col("l_orderkey"))).when(kind == 1, _text("ring +91 98450 ", F.lpad((F.col("l_partkey") % 100000).cast("string"), 5, "0"))).otherwise(_text("mail p", F.col("l_partkey"), "@mail.example"))
+    images = _read(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", line.alias("text")))).alias("rows"), F.min("l_quantity").cast("double").alias("least"), F.max("l_quantity").cast("double").alias("most"))
+    y = n * 100.0
+    box = F.array(F.lit(0.0), y, F.lit(500.0), y + 90)
+    edge = lambda i: i * 2.0 + 10
+    read = lambda r, i: F.struct(r["text"].alias("text"), F.array(F.lit(10.0), y + i, edge(F.length(r["text"])), y + i + 0.8).alias("bbox"), F.when(r["l_orderkey"] % 2 == 0, F.transform(F.sequence(F.lit(0), F.length(r["text"]) - 1), lambda c: F.array(edge(c), edge(c + 1)))).otherwise(F.array().cast("array<array<double>>")).alias("chars"))
+    snapshot, mix = _padded(F.col("l_suppkey"), 9), F.col("l_suppkey") + n
+    some = lambda when, b: F.when(when, F.array(b)).otherwise(F.array().cast("array<array<double>>"))
+    images = durable(images.select("l_suppkey", n, snapshot.alias("snapshot_id"), (mix % 4 != 0).alias("ok"), (mix % 5 == 4).alias("missing"), box.alias("box"), F.transform("rows", read).alias("lines"), some(n % 2 == 0, F.array("least", y, F.col("most") + 1, y + 20)).alias("faces"), some(n % 3 == 0, F.array("most", y, F.col("most") + 30, y + 30)).alias("codes")))
+    vision = images.where("not missing").select("snapshot_id", geometry.raster_key(S.box_from(F.col("box"))).alias("key"), "ok", "faces", "codes", "lines", F.when(~F.col("ok"), F.lit("failed")).alias("error"))
+    raster = F.struct((n + 1).cast("int").alias("vid"), F.lit("img").alias("kind"), _text("scan ", n).alias("alt"), F.col("box").alias("bbox"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("array<double>").alias("inner"))
+    by = images.groupBy("l_suppkey", "snapshot_id").agg(F.array_sort(F.collect_list(raster)).alias("rasters"))
+    none = {c: "" for c in ("tag", "type", "value", "placeholder", "name", "idAttr", "autocomplete")}
+    choice = F.from_json(F.lit(json.dumps([none | {"vid": 1, "role": "combobox", "label": "Part", "hasValue": False, "required": False, "disabled": False}])), dom.ELEMENTS)
+    choice = F.transform(choice, lambda e: e.withField("options", F.transform(F.sequence(F.lit(1), (F.col("l_suppkey") % 45 + 1).cast("int")), lambda i: _text("part ", i))))
+    texts = F.array(F.struct(F.lit(9).alias("vid"), _text("Supplier ", F.col("l_suppkey")).alias("text"), F.lit(None).cast("array<double>").alias("bbox"), D.no_spans().alias("spans")))
+    return durable(by.select("snapshot_id", F.col("snapshot_id").alias("source"), F.lit("https://a.example/s").alias("url"), F.lit("").alias("title"), F.array(F.lit(800), F.lit(600)).alias("viewport"), F.lit(1.0).alias("dpr"), F.lit(1).alias("ms"), choice.alias("elements"), texts.alias("texts"), "rasters")), vision
+
+
+@query(f"""WITH {_SEEN_LINES}, g AS (SELECT snapshot_id, n, ok, min(l_quantity) AS least, max(l_quantity) AS most FROM l GROUP BY ALL),
+f AS (SELECT *, row_number() OVER (ORDER BY snapshot_id, n) AS t FROM g WHERE ok AND n % 2 = 0), c AS (SELECT *, row_number() OVER (ORDER BY snapshot_id, n) AS t FROM g WHERE ok AND n % 3 = 0)
+SELECT snapshot_id, token AS label, CASE WHEN known THEN 20 ELSE 10 END::DOUBLE AS x0, (100 * n + i)::DOUBLE AS y0, (10 + 2 * length(text))::DOUBLE AS x1, (100 * n + i + 1)::DOUBLE AS y1 FROM t WHERE token IS NOT NULL
+UNION ALL SELECT snapshot_id, 'IMAGE', 0, 100 * n, 500, 100 * n + 90 FROM g WHERE NOT ok
+UNION ALL SELECT snapshot_id, '⟦FACE_' || t || '⟧', least, 100 * n, most + 1, 100 * n + 20 FROM f UNION ALL SELECT snapshot_id, '⟦QR_' || t || '⟧', most, 100 * n, most + 30, 100 * n + 30 FROM c""")
+def vision_masks(spark, sf_dir):
+    """Masks over what vision saw on each supplier's screen: characters that are values, faces, codes, and whole images
+    whose result failed or is missing."""
+    screens, _ = sanitize(*_seen_screens(spark, sf_dir))
+    at = lambda i: F.get("m.bbox", F.lit(i))
+    return screens.select("snapshot_id", F.explode("masks").alias("m")).select("snapshot_id", "m.label", at(0).alias("x0"), at(1).alias("y0"), at(2).alias("x1"), at(3).alias("y1"))
+
+
+@query(f"""WITH {_SEEN_LINES}, s AS (SELECT snapshot_id, l_suppkey, 9 + row_number() OVER (PARTITION BY snapshot_id ORDER BY n, i) AS id, CASE kind WHEN 1 THEN 'ring ' || token WHEN 2 THEN 'mail ' || token ELSE text END AS text FROM t),
+a AS (SELECT snapshot_id, id, text FROM s WHERE id <= 159 UNION ALL SELECT snapshot_id, 9, 'Supplier ' || l_suppkey FROM (SELECT l.snapshot_id, l.l_suppkey, count(*) FILTER (l.ok) AS n FROM l GROUP BY ALL) WHERE n < 150)
+SELECT a.snapshot_id, a.id::INTEGER AS id, a.text, least(30, CAST(a.snapshot_id AS BIGINT) % 45 + 1)::INTEGER AS n_options FROM a""")
+def vision_texts(spark, sf_dir):
+    """The texts of each supplier's screen, those that vision read before those of the page, 150 at most; and how many
+    options are told, 30 at most."""
+    screens, _ = sanitize(*_seen_screens(spark, sf_dir))
+    return screens.select("snapshot_id", F.explode("texts").alias("t"), F.size(F.get("elements", F.lit(0))["options"]).alias("n_options")).select("snapshot_id", "t.id", "t.text", "n_options")
+
+
 # --- names in prose ---
 
 _FIRST, _LAST = ["Asha", "Ravi", "Meera", "Kiran"], ["Patel", "Singh", "Menon", "Bose"]
