@@ -89,7 +89,8 @@ class Ordered(StatefulProcessor):
             self.used.clear()
         else:
             self.used.update((last, after))
-        yield pd.DataFrame(out, columns=["key", "id", *self.columns])
+        if out:
+            yield pd.DataFrame(out, columns=["key", "id", *self.columns])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = [(int(ts.value // 1000), i, k, f, n) for b in rows for ts, i, k, f, n in zip(b.ts, b.id, b.kind, b.flag, b.note, strict=True)]
@@ -163,6 +164,56 @@ class LoopGuard(Ordered):
                 self.clicks.updateValue((k,), (n,))
 
 
+class Settling(StatefulProcessor):
+    """Runs of changes: one settles after `quiet` ms without a change, `most` ms after its start at the latest. Of a run only
+    its start, end and size are kept; what the watermark hasn't passed yet waits."""
+
+    def __init__(self, quiet: int, most: int):
+        self.quiet, self.most = quiet, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ms long")
+        self.run = handle.getValueState("run", "first long, settled long, n long, timer long")
+
+    def _advanced(self, key: tuple, new: list[int], now: int) -> Iterator[pd.DataFrame]:
+        held = [r[0] for r in self.waiting.get()] if self.waiting.exists() else []
+        times = held + new
+        due, left = sorted(t for t in times if t <= now), [t for t in times if t > now]
+        if left != held:
+            self.waiting.put([(t,) for t in left]) if left else self.waiting.clear()
+        first, settled, n, timer = self.run.get() if self.run.exists() else (None, None, 0, None)
+        out = []
+        for t in due:
+            if first is not None and t < settled:
+                settled, n = min(t + self.quiet, first + self.most), n + 1
+                continue
+            if first is not None:
+                out.append((str(key[0]), first, settled, n))
+            first, settled, n = t, t + min(self.quiet, self.most), 1
+        if first is not None and settled <= now:
+            out.append((str(key[0]), first, settled, n))
+            first, settled, n = None, None, 0
+        ends = [t for t in (min(left, default=None), settled) if t is not None]
+        after = max(min(ends), now + 1) if ends else None
+        if timer is not None and timer != after and timer > now:
+            self.handle.deleteTimer(timer)
+        if after is not None and after != timer:
+            self.handle.registerTimer(after)
+        self.run.update((first, settled, n, after)) if after is not None else self.run.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["key", "first_ms", "settled_ms", "n"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        yield from self._advanced(key, [int(t.value // 1_000_000) for b in rows for t in b.ts], timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._advanced(key, [], timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
 class Ring(StatefulProcessor):
     """The latest events of a key by (time, id), `most` of them, each time that some of them are new."""
 

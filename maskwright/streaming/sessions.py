@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed as X
+from .live import Settling, started
 
 
 def ttl_sessions(events: DataFrame, key: str, ts: str, ttl: str = "15 minutes", watermark: str | None = None) -> DataFrame:
@@ -75,39 +76,35 @@ def settle_groups(times: list[int], quiet: int = 300, most: int = 3000) -> list[
 
 def settled(changes: DataFrame, key: str, ms: str, quiet: int = 300, most: int = 3000) -> DataFrame:
     """key, first_ms, settled_ms and n of each run of changes. Where a run ends depends on where it began, so each
-    key's times are folded in order; a gap of `most` without a change always ends a run, which bounds what is folded
-    together."""
+    key's times are folded in order, in one pass over sorted partitions that holds one run at a time. A gap of `quiet` always
+    ends a run, so a key is dealt to many tasks wherever it has one."""
     order = Window.partitionBy(key).orderBy(ms)
     gap = F.coalesce(F.col(ms) - F.lag(ms).over(order) >= min(quiet, most), F.lit(True))
-    parts = changes.withColumn("_run", F.sum(gap.cast("int")).over(order))
+    parts = changes.withColumn("_run", F.sum(gap.cast("int")).over(order)).select(F.col(key).cast("string").alias("key"), F.col(ms).cast("long").alias("ms"), "_run")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = str(pdf["key"].iloc[0])
-        return pd.DataFrame([(k, a, b, n) for a, b, n in settle_groups(pdf["ms"].tolist(), quiet, most)], columns=["key", "first_ms", "settled_ms", "n"])
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run = None  # key, part, first, settled, n
+        for b in batches:
+            out = []
+            for k, part, t in zip(b["key"], b["_run"], b["ms"], strict=True):
+                if run and run[:2] == [k, part] and t < run[3]:
+                    run[3], run[4] = min(t + quiet, run[2] + most), run[4] + 1
+                else:
+                    if run:
+                        out.append((run[0], *run[2:]))
+                    run = [k, part, t, t + min(quiet, most), 1]
+            yield pd.DataFrame(out, columns=["key", "first_ms", "settled_ms", "n"])
+        if run:
+            yield pd.DataFrame([(run[0], *run[2:])], columns=["key", "first_ms", "settled_ms", "n"])
 
-    return parts.select(F.col(key).cast("string").alias("key"), F.col(ms).cast("long").alias("ms"), "_run").groupBy("key", "_run").applyInPandas(fold, SETTLED)
+    return parts.repartition("key", "_run").sortWithinPartitions("key", "_run", "ms").mapInPandas(fold, SETTLED)
 
 
 def stream_settled(changes: DataFrame, key: str, ts: str, quiet: int = 300, most: int = 3000, watermark: str = "1 minute") -> DataFrame:
     """settled() over a stream of changes: a run is told once the watermark has passed the time at which it settles. What
     comes later than the watermark allows is left out, as in all event-time state."""
-
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting = list(state.get[0]) if state.exists else []
-        for b in batches:
-            waiting += [t.value // 1_000_000 for t in b["ts"]]
-        now, runs = state.getCurrentWatermarkMs(), settle_groups(waiting, quiet, most)
-        done = [r for r in runs if r[1] <= now]
-        left = sorted(t for t in waiting if not done or t >= done[-1][1])
-        if left:
-            state.update((left,))
-            state.setTimeoutTimestamp(max(settle_groups(left, quiet, most)[0][1], now + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame([(str(k[0]), a, b, n) for a, b, n in done], columns=["key", "first_ms", "settled_ms", "n"])
-
-    rows = changes.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", watermark)
-    return rows.groupBy("key").applyInPandasWithState(run, SETTLED, "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = changes.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts")).where("key is not null and ts is not null").withWatermark("ts", watermark)
+    return rows.groupBy("key").transformWithStateInPandas(Settling(quiet, most), SETTLED, "Append", "EventTime")
 
 
 def latest_log(events: DataFrame, key: str, order: list[str], most: int = 60) -> DataFrame:
@@ -126,4 +123,4 @@ def to_sink(stream: DataFrame, path: str, checkpoint: str):
     def put(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return started(stream, put, checkpoint)
