@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,11 +14,11 @@ from pyspark.sql import functions as F
 from .functions import fixed as X
 from .functions import scalars as S
 from .operators import detect as D
-from .operators import geometry, names, vision
-from .operators.ranking import durable
+from .operators import geometry, names, timing, vision
+from .operators.ranking import durable, shared_folder
 from .operators.sanitize import sanitize
 from .queries import _read, _sql_rules, query
-from .sources import dom, images, wire
+from .sources import dom, images, synth, wire
 from .sources.png import encode_png
 
 
@@ -199,6 +200,30 @@ def vision_texts(spark, sf_dir):
     return screens.select("snapshot_id", F.explode("texts").alias("t"), F.size(F.get("elements", F.lit(0))["options"]).alias("n_options")).select("snapshot_id", "t.id", "t.text", "n_options")
 
 
+@query("""WITH n AS (SELECT count(*) AS n, CAST(sum(CASE c_custkey % 3 WHEN 0 THEN 7 ELSE 11 END) AS BIGINT) AS texts FROM customer),
+v AS (SELECT l_suppkey, l_linenumber AS n, (l_suppkey + l_linenumber) % 4 <> 0 AS ok, count(*) AS lines FROM lineitem WHERE (l_suppkey + l_linenumber) % 5 <> 4 GROUP BY ALL)
+SELECT 'made' AS stage, 0 AS place, n AS n_rows, NULL::BIGINT AS texts, NULL::BIGINT AS faces, NULL::BIGINT AS codes, NULL::BIGINT AS lines, NULL::BIGINT AS whole, true AS timed FROM n UNION ALL SELECT 'scanned', 1, n, texts, NULL, NULL, NULL, NULL, true FROM n
+UNION ALL SELECT 'seen', 2, count(*), NULL, count(*) FILTER (ok AND n % 2 = 0), count(*) FILTER (ok AND n % 3 = 0), CAST(sum(lines) FILTER (ok) AS BIGINT), count(*) FILTER (NOT ok), true FROM v""")
+def stage_timings(spark, sf_dir):
+    """Stages of scanning made-up pages and of reading vision results, timed and counted while they run."""
+    t = timing.Timings(spark)
+    made = t.stage("made", synth.pages(synth.people(_read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")))))
+    t.stage("scanned", dom.scan_pages(made.select("page", "html"), "page", "html"), texts=F.sum(F.size("texts")))
+    t.stage("seen", _seen_screens(spark, sf_dir)[1], **timing.vision_metrics())
+    of = lambda c: F.try_element_at("metrics", F.lit(c)).alias(c)
+    return t.table().select("stage", "place", "n_rows", *map(of, ("texts", "faces", "codes", "lines", "whole")), (F.col("ms") > 0).alias("timed"))
+
+
+@query("""SELECT n_name AS name, strlen(string_agg(c_name, chr(10) ORDER BY c_custkey)) + 1 AS n_bytes, sha256(string_agg(c_name, chr(10) ORDER BY c_custkey) || chr(10)) AS sha256 FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name""")
+def image_folder(spark, sf_dir):
+    """A folder of files read as rows of path and bytes: one file for each nation, of what its customers are called."""
+    path = f"{shared_folder(spark)}/maskwright-queries/{uuid.uuid4().hex}"
+    c = _read(spark, sf_dir, "customer").join(_read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    c.repartition("n_name").sortWithinPartitions("n_name", "c_custkey").select("c_name", F.concat(F.col("n_name"), F.lit(".png")).alias("file")).write.partitionBy("file").text(path)
+    found = images.read_images(spark, path, "part-*")
+    return found.select(F.regexp_extract("path", "file=([^/]+)[.]png/", 1).alias("name"), F.octet_length("png").cast("long").alias("n_bytes"), F.sha2("png", 256).alias("sha256")).withColumn("name", F.url_decode("name"))
+
+
 # --- names in prose ---
 
 _FIRST, _LAST = ["Asha", "Ravi", "Meera", "Kiran"], ["Patel", "Singh", "Menon", "Bose"]

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from .png import decode_png
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """path and png of every image file in a folder."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(path).select("path", F.col("content").alias("png"))
+def read_images(spark: SparkSession, path: str, names: str = "*.png") -> DataFrame:
+    """path and png of every image file in a folder and those below it, by their names."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", True).load(path).select("path", F.col("content").alias("png"))
 
 
 def decoded(images: DataFrame) -> DataFrame:
