@@ -10,9 +10,11 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import fixed as X
 from ..functions import scalars as S
@@ -251,13 +253,20 @@ ELEMENTS = "array<struct<vid:int,role:string,tag:string,type:string,label:string
 SCANNED = f"title string, elements {ELEMENTS}, texts array<struct<vid:int,text:string,bbox:array<double>,prev_label:string>>, rasters array<struct<vid:int,kind:string,alt:string,bbox:array<double>,src:string,inner:array<double>>>"
 
 
+SLICE = 128
+
+
 def scan_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key and the snapshot of each page, with the spans of its texts."""
+    kinds = [(f.name, to_arrow_type(f.dataType)) for f in T.StructType.fromDDL(SCANNED)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([{key: k} | scan(h) for k, h in zip(b[key], b[html], strict=True)], columns=[key, "title", "elements", "texts", "rasters"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                found = [scan(h) for h in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([f[c] for f in found], kind) for c, kind in kinds]], names=[key, *[c for c, _ in kinds]])
 
-    rows = pages.select(key, html).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, {SCANNED}")
+    rows = pages.select(key, html).mapInArrow(run, f"`{key}` {pages.schema[key].dataType.simpleString()}, {SCANNED}")
     spans = lambda t: D.block_spans(t["text"], S.class_from_context(t["prev_label"]))
     return rows.withColumn("texts", F.transform("texts", lambda t: F.struct(t["vid"].alias("vid"), t["text"].alias("text"), t["bbox"].alias("bbox"), spans(t).alias("spans"))))
