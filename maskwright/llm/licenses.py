@@ -8,7 +8,7 @@ blocks of the corpus hold them, rarest first (then by themselves). A matching bl
 |T| - ceil(threshold * |T|) + 1 tokens of template T (prefix filter) and as many tokens as must be common (length
 filter), and where a token is met at place i of T and place j of the block's template tokens, what is left behind
 these places must suffice (positional filter). What passes is verified on the places of the words, and the words
-that tell a license from others (NEEDED) must be among them.
+that tell a license from others (NEEDED) must stand among them, one after another.
 
 The places where a phrase's words stand one after another, which the base labels come from, are found on the whole
 text, where a phrase may go on over line ends.
@@ -35,6 +35,7 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Label and words of each template: what the notices of common licenses say.
 TEMPLATES = {
+    "agpl": ["licensed under the gnu affero general public license version 3"],
     "apache": ["licensed under the apache license version 2 0"],
     "bsd": [
         "licensed under the bsd 3 clause license",
@@ -47,18 +48,22 @@ TEMPLATES = {
         "this work is licensed under the gnu general public license version 3",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
     ],
+    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
     "lgpl": ["licensed under the gnu lesser general public license version 2 1"],
     "mit": [
         "released under the mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
     ],
     "mpl": ["this source code form is subject to the terms of the mozilla public license"],
+    "unlicense": ["this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"],
     "copyright": ["no part of this publication may be reproduced or transmitted in any form without prior written permission"],
 }
 
-#: Words of a template that tell its license from others and so must be in a notice, whatever share of the rest is there.
+#: Words of a template that tell its license from others and so must stand in a notice as they do there, whatever share of
+#: the rest is there.
 NEEDED = {
-    "licensed under the apache license version 2 0": "apache",
+    "licensed under the gnu affero general public license version 3": "gnu affero",
+    "licensed under the apache license version 2 0": "apache license",
     "licensed under the bsd 3 clause license": "bsd",
     "licensed under cc by nc 4 0": "cc by nc",
     "this work is licensed under a creative commons attribution 4 0 international license": "creative commons attribution",
@@ -66,9 +71,9 @@ NEEDED = {
     "this work is licensed under the gnu general public license version 3": "gnu general public",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gnu general public",
     "licensed under the gnu lesser general public license version 2 1": "gnu lesser",
-    "released under the mit license": "mit",
+    "released under the mit license": "mit license",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "associated",
-    "this source code form is subject to the terms of the mozilla public license": "mozilla",
+    "this source code form is subject to the terms of the mozilla public license": "mozilla public license",
 }
 
 
@@ -88,7 +93,7 @@ def widths(threshold: float = THRESHOLD, templates: dict[str, list[str]] = TEMPL
 
 
 def needed(templates: dict[str, list[str]] = TEMPLATES, words: dict[str, str] = NEEDED) -> list[list[str]]:
-    """For each template the words that must be in a notice."""
+    """For each template the words that must stand in a notice, one after another."""
     return [words.get(t, "").split() for ts in templates.values() for t in ts]
 
 
@@ -119,14 +124,17 @@ def matches(blocks: DataFrame, threshold: float = THRESHOLD, templates: dict[str
     met = met.where(F.size(F.array_intersect("tokens", "all")) >= F.col("common"))
     met = met.withColumn("own", F.filter("placed", lambda x: F.array_contains("all", x["token"])))
     window = lambda x: F.array_distinct(F.transform(F.filter("own", lambda y: (y["at"] >= x["at"]) & (y["at"] < x["at"] + F.col("width"))), lambda y: y["token"]))
-    met = met.withColumn("held", F.filter(F.transform("own", window), lambda ts: F.size(F.array_except("needed", ts)) == 0))
+    stands = lambda x: F.forall(F.transform("needed", lambda w, k: F.struct(w.alias("w"), k.alias("k"))), lambda z: F.exists("own", lambda y: (y["at"] == x["at"] + z["k"]) & (y["token"] == z["w"])))
+    met = met.withColumn("starts", F.transform(F.filter("own", stands), lambda x: x["at"]))
+    whole = lambda x: (F.size("needed") == 0) | F.exists("starts", lambda s: (s >= x["at"]) & (s + F.size("needed") <= x["at"] + F.col("width")))
+    met = met.withColumn("held", F.transform(F.filter("own", whole), window))
     met = met.withColumn("common_here", F.array_max(F.transform("held", lambda ts: F.size(ts))))
     return met.where(F.col("common_here") >= F.col("common")).groupBy("row", "label").agg(F.max(F.col("common_here") / F.col("size")).alias("score"))
 
 
 def scanned(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, list[str]] = TEMPLATES, needed_words: dict[str, str] = NEEDED) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row. templates: the texts of
-    each label, lower-cased words set apart by spaces; needed_words: of a template those that no notice may lack."""
+    each label, lower-cased words set apart by spaces; needed_words: of a template those that must stand in a notice one after another."""
     told = template_rows(threshold, templates)
     known = sorted({t for _, _, ts, _ in told for t in ts})
     vocabulary = F.array(*[F.lit(t) for t in known])
@@ -186,9 +194,10 @@ def _oracle() -> str:
         labels.append(f"CASE WHEN len({places[-1]}) > 0 THEN '{label}' END")
     best = []
     for (_, label, tokens, common), width, must in zip(template_rows(), widths(), needed(), strict=True):
-        ts, ms = (f"[{', '.join(repr(t) for t in xs)}]" for xs in (tokens, must))
+        ts = f"[{', '.join(repr(t) for t in tokens)}]"
         own = f"list_filter(range(0, len(w)), lambda i: list_contains({ts}, w[i + 1]))"
-        whole = f"list_has_all(w[i + 1 : i + {width}], {ms})" if must else "true"
+        phrase = " AND ".join(f"w[s + {k + 1}] = {m!r}" for k, m in enumerate(must))
+        whole = f"len(list_filter(range(i, least(i + {width}, len(w)) - {len(must) - 1}), lambda s: {phrase})) > 0" if must else "true"
         held = f"list_max(list_transform({own}, lambda i: CASE WHEN {whole} THEN len(list_distinct(list_intersect(w[i + 1 : i + {width}], {ts}))) ELSE 0 END))"
         best.append((label, f"CASE WHEN {held} >= {common} THEN {held} / {len(tokens)}.0 END"))
     more = ", ".join(f"CASE WHEN {x} IS NOT NULL THEN '{label}' END" for label, x in best)

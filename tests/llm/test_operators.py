@@ -306,9 +306,10 @@ def scan_by_hand(text):
         labels |= {label} if at else set()
     more, best = set(labels), 0.0
     for line in low.split("\n"):
-        own = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))
-        for _, label, tokens, common in licenses.template_rows():
-            if len(own & set(tokens)) >= common:
+        said = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line)
+        own = set(said)
+        for (_, label, tokens, common), must in zip(licenses.template_rows(), licenses.needed(), strict=True):
+            if len(own & set(tokens)) >= common and any(said[i : i + len(must)] == must for i in range(len(said))):
                 more.add(label)
                 best = max(best, len(own & set(tokens)) / len(tokens))
     return (len(ws), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(more)), best or (1.0 if places else 0.0))
@@ -340,6 +341,9 @@ def test_licenses_need_the_word_that_tells_them_apart(spark):
     texts = {
         "Released under the BSD License": "", "Released under the Apache License": "", "Licensed under CC BY 4.0": "cc-by", "Licensed under CC BY-SA 4.0": "cc-by", "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc",
         "Licensed under the Mozilla Public License, Version 2.0": "", "Licensed under the GNU General Public License, version 2": "gpl", "Licensed under the GNU Lesser General Public License, version 2.1": "gpl,lgpl",
+        "released by the mit students under a license": "", "Released under MIT license": "mit", "the license was released under mit": "", "Licensed under the GNU Affero General Public License, version 3": "agpl,gpl",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "isc",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software": "unlicense",
         "Released under the MIT License": "mit", "released as mit was, " + "so it is " * 30 + "under the license": "", "Licensed under the Apache License": "",
         "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation": "",
     }
