@@ -161,7 +161,7 @@ def plain_digits(text: Column) -> Column:
     return F.translate(text, "".join(others), "".join(str(unicodedata.digit(c)) for c in others))
 
 
-#: As detect.MAY_HOLD, with digits of all scripts.
+#: What detect.may_hold seeks, with digits of all scripts.
 GUARD_MAY_HOLD = r"(?U)@|\d[ -]?\d[ -]?\d[ -]?\d|[A-Z]{4}0"
 
 

@@ -83,13 +83,13 @@ def merged(*lists: Column) -> Column:
     return F.transform(ordered, lambda x: x["s"])
 
 
-#: What every match of a detector holds, found in one fast search: an at sign, four digits that at most a space or a
-#: hyphen parts, or a bank code's beginning.
-MAY_HOLD = "@|[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]|[A-Z]{4}0"
+#: What every match of a detector holds: an at sign, four digits that at most a space or a hyphen parts, or a bank code's
+#: beginning. Each is sought for itself, as a search for all at once takes twice the time, and the last only where a 0 is.
+FOUR_DIGITS, BANK = "[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]", "[A-Z]{4}0"
 
 
 def may_hold(text: Column) -> Column:
-    return text.rlike(MAY_HOLD)
+    return F.contains(text, F.lit("@")) | text.rlike(FOUR_DIGITS) | (F.contains(text, F.lit("0")) & text.rlike(BANK))
 
 
 def detect_patterns(text: Column) -> Column:

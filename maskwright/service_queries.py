@@ -73,6 +73,21 @@ def payload_leaves(spark, sf_dir):
     return audit.json_leaves(rows).select("id.conv_id", "id.turn", "path", "value", F.col("error").isNotNull().alias("unreadable"))
 
 
+@query(r"""WITH a AS (SELECT conv_id, 'CUSTOM' AS cls, regexp_extract(text, '[A-Za-z]{4,}') AS v FROM conversations WHERE turn = 0 UNION ALL SELECT conv_id, 'NAME', regexp_extract(text, '[A-Za-z]{3,} [A-Za-z]{3,}') FROM conversations WHERE turn = 1),
+v AS (SELECT DISTINCT conv_id, cls, v FROM a WHERE v <> ''), c AS (SELECT DISTINCT conv_id, turn, text FROM conversations)
+SELECT c.conv_id, c.turn, v.cls, v.v AS value FROM c JOIN v USING (conv_id) WHERE contains(lower(c.text), lower(v.v)) AND v.cls = 'CUSTOM'
+ OR v.cls = 'NAME' AND (regexp_matches(c.text, '(?i)' || replace(v.v, ' ', '\s+')) OR regexp_matches(c.text, '(?i)\b(' || replace(v.v, ' ', '|') || ')\b'))""")
+def conversation_leaks(spark, sf_dir):
+    """Turns in which what the vault of their conversation holds shows: a word of the first turn, two of the second as a name."""
+    c = _read(spark, sf_dir, "conversations")
+    taken = lambda turn, cls, pattern: c.where(F.col("turn") == turn).select(F.col("conv_id").cast("string").alias("scope"), F.lit(cls).alias("cls"), F.regexp_extract("text", pattern, 0).alias("value"))
+    vault = taken(0, "CUSTOM", "[A-Za-z]{4,}").unionByName(taken(1, "NAME", "[A-Za-z]{3,} [A-Za-z]{3,}")).where("value <> ''").distinct()
+    vault = vault.withColumn("n", F.lit(1)).withColumn("token", F.to_json(F.struct("cls", "value")))
+    texts = c.select("conv_id", "turn", "text").distinct().select(F.struct("conv_id", "turn", "text").alias("id"), F.col("conv_id").cast("string").alias("scope"), "text")
+    found = audit.leaked_values(texts, vault)
+    return found.select("id.conv_id", "id.turn", "cls", F.get_json_object("token", "$.value").alias("value"))
+
+
 # --- vault ---
 
 
