@@ -160,7 +160,8 @@ def deduped(docs: DataFrame, carry: list[str], least_docs: int = LEAST_DOCS, lea
         released()
 
     lines = docs.select("text", *_text_key()).mapInArrow(told, "_t1 long, _t2 long, h1 long, h2 long")
-    gone = lines.join(frequent, KEY).groupBy("_t1", "_t2").agg(F.collect_set(F.struct(*KEY)).alias("_gone"))
+    # written, so that the join below has a shuffle of its own on both sides and a text of many copies can be split
+    gone, _ = written(lines.join(frequent, KEY).groupBy("_t1", "_t2").agg(F.collect_set(F.struct(*KEY)).alias("_gone")), "gone")
 
     row = docs.select(F.struct(*carry).alias("_row"), "text", *_text_key())
     kinds = {f.name: f.dataType for f in docs.schema.fields}
