@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .ranking import durable
+
 AUTOMATON_BYTES = 16 << 20
 #: What an entry's own fields need beside its strings.
 OVERHEAD = 64
@@ -96,6 +98,7 @@ def parts(entries: DataFrame, most: int = AUTOMATON_BYTES) -> Iterator[list[dict
     size = sum(texts, F.lit(OVERHEAD)).cast("long")
     total = entries.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     n = max(1, math.ceil(total / most))
+    entries = durable(entries) if n > 1 else entries  # each part reads them
     for k in range(n):
         own = entries.where(F.pmod(F.xxhash64("form"), F.lit(n)) == k) if n > 1 else entries
         if rows := own.collect():
