@@ -92,9 +92,10 @@ def may_hold(text: Column) -> Column:
     return F.contains(text, F.lit("@")) | text.rlike(FOUR_DIGITS) | (F.contains(text, F.lit("0")) & text.rlike(BANK))
 
 
-def detect_patterns(text: Column) -> Column:
+def detect_patterns(text: Column, classes: tuple[str, ...] = tuple(X.DETECTORS)) -> Column:
+    """Merged spans of the classes, in the detectors' order of priority."""
     whole = F.coalesce(text, F.lit(""))
-    return F.when(may_hold(whole), merged(*[pattern_spans(whole, c) for c in X.DETECTORS])).otherwise(no_spans())
+    return F.when(may_hold(whole), merged(*[pattern_spans(whole, c) for c in X.DETECTORS if c in classes])).otherwise(no_spans())
 
 
 def label_values(text: Column) -> Column:
@@ -161,11 +162,11 @@ def replaced(text: Column, spans: Column, shown) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(whole)
 
 
-def redact(docs: DataFrame, text: str = "text", changed_only: bool = False) -> DataFrame:
-    """docs with `spans` and `redacted`, where each span is ⟦CLASS⟧. changed_only: only rows with spans; most others are
+def redact(docs: DataFrame, text: str = "text", changed_only: bool = False, classes: tuple[str, ...] = tuple(X.DETECTORS)) -> DataFrame:
+    """docs with `spans` of the classes and `redacted`, where each span is ⟦CLASS⟧. changed_only: only rows with spans; most others are
     left out by one fast search."""
     rows = (docs.where(may_hold(F.col(text))) if changed_only else docs).drop("spans", "redacted")
     # a generated column, so that a filter on it isn't worked out from the patterns once more
-    found = rows.select("*", F.explode(F.array(detect_patterns(F.col(text)))).alias("spans"))
+    found = rows.select("*", F.explode(F.array(detect_patterns(F.col(text), classes))).alias("spans"))
     found = found.where(F.size("spans") > 0) if changed_only else found
     return found.withColumn("redacted", replaced(F.col(text), F.col("spans"), lambda s: F.concat(F.lit("⟦"), s["cls"], F.lit("⟧"))))

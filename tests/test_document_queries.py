@@ -32,3 +32,7 @@ def differs(spark, tables, name):
 
 def test_class_counts(spark, tables):
     assert not differs(spark, tables, "class_counts")
+
+
+def test_redact_documents(spark, tables):
+    assert not differs(spark, tables, "redact_documents")
