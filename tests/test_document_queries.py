@@ -48,3 +48,7 @@ def test_vault_entities(spark, tables):
 
 def test_rehydrate_tokens(spark, tables):
     assert not differs(spark, tables, "rehydrate_tokens")
+
+
+def test_vault_tokens_per_doc(spark, tables):
+    assert not differs(spark, tables, "vault_tokens_per_doc")
