@@ -32,6 +32,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by the keys over as many tasks as a shuffle has, for rows of few bytes that take long: by their bytes alone
+    hundreds of thousands of them end in one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 _WRITTEN: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
 
 

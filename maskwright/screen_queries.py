@@ -15,7 +15,7 @@ from .functions import fixed as X
 from .functions import scalars as S
 from .operators import detect as D
 from .operators import geometry, names, timing, vision
-from .operators.ranking import durable, shared_folder
+from .operators.ranking import durable, shared_folder, spread
 from .operators.sanitize import sanitize
 from .queries import _read, _sql_rules, query
 from .sources import dom, images, synth, wire
@@ -427,7 +427,7 @@ def _drawn(spark, sf_dir, columns: str, draw) -> DataFrame:
         for b in batches:
             yield pd.DataFrame([r for k in b["c_custkey"] for r in draw(int(k))], columns=names_of)
 
-    return _read(spark, sf_dir, "customer").select("c_custkey").mapInPandas(run, columns)
+    return spread(_read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").mapInPandas(run, columns)
 
 
 def _plain_png(k: int) -> bytes:
