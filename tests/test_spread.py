@@ -39,3 +39,23 @@ def test_text_regions(spark, customers):
     for share in (0.0, 0.3, 0.6, 0.9, 1.0):
         mask = r.random((19, 23)) < share
         assert (vision.labelled(mask) == plain_parts(mask)).all()
+
+
+def plain_runs(dark):
+    out = []
+    for y, row in enumerate(dark.tolist()):
+        cut = [0, *[i for i in range(1, len(row)) if row[i] != row[i - 1]], len(row)]
+        for at in range(len(cut) - 5):
+            five = [b - a for a, b in zip(cut[at : at + 5], cut[at + 1 : at + 6], strict=True)]
+            m = sum(five) / 7
+            if row[cut[at]] and sum(five) >= 7 and all(abs(f - k * m) < k * m * 0.6 for f, k in zip(five, (1, 1, 3, 1, 1), strict=True)):
+                out.append((y, cut[at + 2] + five[2] / 2, m))
+    return out
+
+
+def test_code_regions(spark, customers):
+    assert tasks_with_rows(entry.queries()["code_regions"](spark, customers)) > 1
+    r = np.random.default_rng(2)
+    dark = np.kron((r.random((30, 60)) < 0.5).astype(np.int8), np.ones((2, 2), np.int8))
+    assert plain_runs(dark) == vision.finder_runs(dark) != []
+    assert vision.finder_runs(np.zeros((1, 3), np.int8)) == []
