@@ -6,7 +6,7 @@ The classifier is a callable from (ids, mask) to logits, given by the caller.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -21,11 +21,12 @@ from .vault import dictionary
 # Fixed values of the model.
 LABELS = ["O", "B-PER", "I-PER", "B-ORG", "I-ORG", "B-LOC", "I-LOC", "B-MISC", "I-MISC"]
 SEGMENT, BATCH, LEAST_SCORE, LONGEST_WORD = 128, 16, 0.7, 100
+#: Texts whose pieces a task holds at once, and words whose pieces it remembers.
+SLICE, REMEMBERED = 256, 50_000
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+|[^\s\p{L}\p{N}\p{M}]")
 
 
-@dataclass(frozen=True)
-class Piece:
+class Piece(NamedTuple):
     id: int
     start: int
     end: int
@@ -38,20 +39,33 @@ def read_vocabulary(text: str) -> dict[str, int]:
     return {piece: i for i, piece in enumerate(text.replace("\r\n", "\n").split("\n"))}
 
 
-def pieces(text: str, vocabulary: dict[str, int]) -> list[Piece]:
-    """Words split into the longest known pieces, first piece first; a word with an unknown rest is one unknown piece."""
+def _split(word: str, vocabulary: dict[str, int]) -> list[tuple[int, int, int]]:
+    """(id, start, end) of the longest known pieces of a word, first piece first."""
+    at, own = 0, []
+    while at < len(word) <= LONGEST_WORD:
+        end = next((e for e in range(len(word), at, -1) if ("##" if at else "") + word[at:e] in vocabulary), None)
+        if end is None:
+            break
+        own.append((vocabulary[("##" if at else "") + word[at:end]], at, end))
+        at = end
+    return own if at == len(word) else [(vocabulary["[UNK]"], 0, len(word))]
+
+
+def pieces(text: str, vocabulary: dict[str, int], seen: dict[str, list] | None = None) -> list[Piece]:
+    """Words split into the longest known pieces, first piece first; a word with an unknown rest is one unknown piece.
+    seen: remembers the pieces of words."""
     out: list[Piece] = []
+    seen = {} if seen is None else seen
     for n, m in enumerate(_WORD.finditer(text)):
-        word, at, own = m[0], 0, []
-        while at < len(word) <= LONGEST_WORD:
-            end = next((e for e in range(len(word), at, -1) if ("##" if at else "") + word[at:e] in vocabulary), None)
-            if end is None:
-                break
-            own.append((vocabulary[("##" if at else "") + word[at:end]], at, end))
-            at = end
-        if at < len(word):
-            own = [(vocabulary["[UNK]"], 0, len(word))]
-        out += [Piece(i, m.start() + a, m.start() + b, n, word in (".", "!", "?")) for i, a, b in own]
+        word, at = m[0], m.start()
+        own = seen.get(word)
+        if own is None:
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            own = seen[word] = _split(word, vocabulary)
+        stop = word in (".", "!", "?")
+        for i, a, b in own:
+            out.append(Piece(i, at + a, at + b, n, stop))
     return out
 
 
@@ -61,9 +75,8 @@ def segments(all_pieces: list[Piece], most: int = SEGMENT) -> list[list[Piece]]:
     while at < len(all_pieces):
         end = min(len(all_pieces), at + most)
         if end < len(all_pieces):
-            stops = [k for k in range(at + 2, end + 1) if all_pieces[k - 1].stop]
-            borders = [k for k in range(at + 1, end + 1) if all_pieces[k].word != all_pieces[k - 1].word]
-            end = stops[-1] if stops else borders[-1] if borders else at + 1
+            last = next((k for k in range(end, at + 1, -1) if all_pieces[k - 1].stop), None)
+            end = last or next((k for k in range(end, at, -1) if all_pieces[k].word != all_pieces[k - 1].word), at + 1)
         out.append(all_pieces[at:end])
         at = end
     return out
@@ -72,22 +85,23 @@ def segments(all_pieces: list[Piece], most: int = SEGMENT) -> list[list[Piece]]:
 def names_of(text: str, segment: list[Piece], logits: np.ndarray) -> list[tuple[int, int, str, float]]:
     """(start, end, value, mean score) of the names that the logits (a row for each piece) tell, words by first piece."""
     z = np.exp(logits - logits.max(axis=1, keepdims=True))
-    label, prob = logits.argmax(axis=1), 1 / z.sum(axis=1)
+    label, prob = logits.argmax(axis=1).tolist(), (1 / z.sum(axis=1)).tolist()
     spans: list[list] = []
     running = False
+    before = None
     for k, p in enumerate(segment):
-        if k and segment[k - 1].word == p.word:
+        if p.word == before:
             if running:
                 spans[-1][1] = p.end
             continue
-        told = LABELS[label[k]]
+        before, told = p.word, LABELS[label[k]]
         if told == "I-PER" and running:
             spans[-1][1] = p.end
             spans[-1][2].append(prob[k])
         elif told in ("B-PER", "I-PER"):
             spans.append([p.start, p.end, [prob[k]]])
         running = told in ("B-PER", "I-PER")
-    return [(a, b, text[a:b], float(np.mean(s))) for a, b, s in spans if np.mean(s) >= LEAST_SCORE]
+    return [(a, b, text[a:b], score) for a, b, s in spans if (score := s[0] if len(s) == 1 else float(np.mean(s))) >= LEAST_SCORE]
 
 
 def candidate(text: Column) -> Column:
@@ -108,22 +122,25 @@ def find_names(texts: DataFrame, vocabulary: dict[str, int], model: Callable[[],
     known = texts.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classify, v = None, known.value
-        for b in batches:
+        classify, v, seen = None, known.value, {}
+        for whole in batches:
             classify = classify or model()
-            parts = [(i, s) for i, t in enumerate(b["text"]) for s in segments(pieces(t, v))]
-            out = []
-            for k in range(0, len(parts), BATCH):
-                part = parts[k : k + BATCH]
-                wide = max(len(s) for _, s in part) + 2
-                ids, mask = np.full((len(part), wide), v["[PAD]"], dtype=np.int64), np.zeros((len(part), wide), dtype=np.int64)
-                for r, (_, s) in enumerate(part):
-                    ids[r, : len(s) + 2] = [v["[CLS]"], *[p.id for p in s], v["[SEP]"]]
-                    mask[r, : len(s) + 2] = 1
-                logits = np.asarray(classify(ids, mask))
-                for r, (i, s) in enumerate(part):
-                    out += [(b["snapshot_id"].iloc[i], int(b["ord"].iloc[i]), *n) for n in names_of(b["text"].iloc[i], s, logits[r, 1 : len(s) + 1])]
-            yield pd.DataFrame(out, columns=["snapshot_id", "ord", "start", "end", "value", "score"])
+            for at in range(0, len(whole), SLICE):
+                b = whole.iloc[at : at + SLICE]
+                of, ords, said = b["snapshot_id"].tolist(), b["ord"].tolist(), b["text"].tolist()
+                parts = [(i, s) for i, t in enumerate(said) for s in segments(pieces(t, v, seen))]
+                out = []
+                for k in range(0, len(parts), BATCH):
+                    part = parts[k : k + BATCH]
+                    wide = max(len(s) for _, s in part) + 2
+                    ids, mask = np.full((len(part), wide), v["[PAD]"], dtype=np.int64), np.zeros((len(part), wide), dtype=np.int64)
+                    for r, (_, s) in enumerate(part):
+                        ids[r, : len(s) + 2] = [v["[CLS]"], *[p.id for p in s], v["[SEP]"]]
+                        mask[r, : len(s) + 2] = 1
+                    logits = np.asarray(classify(ids, mask))
+                    for r, (i, s) in enumerate(part):
+                        out += [(of[i], int(ords[i]), *n) for n in names_of(said[i], s, logits[r, 1 : len(s) + 1])]
+                yield pd.DataFrame(out, columns=["snapshot_id", "ord", "start", "end", "value", "score"])
 
     return texts.select("snapshot_id", "ord", "text").mapInPandas(run, "snapshot_id string, ord long, start int, end int, value string, score double")
 

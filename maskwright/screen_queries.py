@@ -233,14 +233,11 @@ _PIECES = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *_FIRST, *[x[:3] for x in _LAST],
 
 def _classifier():
     """First names begin a name, last names go on; of one first name it is unsure."""
-    begins, goes_on, weak = {_PIECES.index(x) for x in _FIRST}, {_PIECES.index(x[:3]) for x in _LAST}, {_PIECES.index(_WEAK), _PIECES.index(_LAST[_FIRST.index(_WEAK)][:3])}
-
-    def classify(ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        out = np.zeros((*ids.shape, len(names.LABELS)))
-        for r, row in enumerate(ids):
-            for c, i in enumerate(row):
-                out[r, c, 1 if i in begins else 2 if i in goes_on else 0] = 2.0 if i in weak else 9.0
-        return out
+    said = np.zeros((len(_PIECES), len(names.LABELS)))
+    for i, piece in enumerate(_PIECES):
+        weak = piece in (_WEAK, _LAST[_FIRST.index(_WEAK)][:3])
+        said[i, 1 if piece in _FIRST else 2 if piece in [x[:3] for x in _LAST] else 0] = 2.0 if weak else 9.0
+    return lambda ids, mask: said[ids]
 
     return classify
 
@@ -258,7 +255,7 @@ _SQL_PROSE = f"p AS (SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 9, '0')
 SELECT snapshot_id, CAST(6 + i * length(s) AS INTEGER) AS "start", CAST(6 + i * length(s) + length(who) AS INTEGER) AS "end", who AS value FROM (SELECT *, unnest(range(0, 1 + c_custkey % 3 * 20)) AS i FROM t) WHERE who NOT LIKE '{_WEAK}%'""")
 def found_names(spark, sf_dir):
     """Names that a classifier tells in texts of up to 41 sentences, in segments of at most 128 pieces."""
-    texts = _prose(spark, sf_dir).select("snapshot_id", F.lit(1).cast("long").alias("ord"), F.repeat("sentence", (1 + F.col("c_custkey") % 3 * 20).cast("int")).alias("text"))
+    texts = spread(_prose(spark, sf_dir), "snapshot_id").select("snapshot_id", F.lit(1).cast("long").alias("ord"), F.repeat("sentence", (1 + F.col("c_custkey") % 3 * 20).cast("int")).alias("text"))
     return names.find_names(texts, names.read_vocabulary("\n".join(_PIECES)), _classifier).select("snapshot_id", "start", "end", "value")
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from maskwright.operators import vision
+from maskwright.operators import names, vision
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +59,10 @@ def test_code_regions(spark, customers):
     dark = np.kron((r.random((30, 60)) < 0.5).astype(np.int8), np.ones((2, 2), np.int8))
     assert plain_runs(dark) == vision.finder_runs(dark) != []
     assert vision.finder_runs(np.zeros((1, 3), np.int8)) == []
+
+
+def test_found_names(spark, customers):
+    assert tasks_with_rows(entry.queries()["found_names"](spark, customers)) > 1
+    seen = {}
+    assert names.pieces("Asha Asha x.", {"[UNK]": 0, "As": 1, "##ha": 2, ".": 3}, seen) == names.pieces("Asha Asha x.", {"[UNK]": 0, "As": 1, "##ha": 2, ".": 3})
+    assert set(seen) == {"Asha", "x", "."}
