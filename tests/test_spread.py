@@ -66,3 +66,14 @@ def test_found_names(spark, customers):
     seen = {}
     assert names.pieces("Asha Asha x.", {"[UNK]": 0, "As": 1, "##ha": 2, ".": 3}, seen) == names.pieces("Asha Asha x.", {"[UNK]": 0, "As": 1, "##ha": 2, ".": 3})
     assert set(seen) == {"Asha", "x", "."}
+
+
+def test_analysed_images(spark, customers):
+    images = entry.queries()["analysed_images"](spark, customers)
+    assert tasks_with_rows(images) > 1 and "RoundRobin" not in images._jdf.queryExecution().toString()
+    r = np.random.default_rng(3)
+    img = r.integers(0, 256, (40, 70, 4)).astype(np.uint8)
+    x, _ = vision.face_input(img)
+    again, _ = vision.face_input(img[:, :30], vision.face_input(np.full((9, 9, 4), 200, np.uint8))[0])  # written over
+    assert (again == vision.face_input(img[:, :30].copy())[0]).all() and not (again == x).all()
+    assert (vision.resize(np.full((3, 5, 4), 77, np.uint8), 11, 9) == 77).all()
