@@ -92,12 +92,14 @@ class Sought:
         return list(out)
 
 
+def total_bytes(entries: DataFrame) -> int:
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in entries.schema.fields if isinstance(f.dataType, T.StringType)]
+    return entries.agg(F.coalesce(F.sum(sum(texts, F.lit(OVERHEAD)).cast("long")), F.lit(0))).first()[0]
+
+
 def parts(entries: DataFrame, most: int = AUTOMATON_BYTES) -> Iterator[list[dict]]:
     """The entries in parts of about `most` bytes; no more of them are on the driver at once."""
-    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in entries.schema.fields if isinstance(f.dataType, T.StringType)]
-    size = sum(texts, F.lit(OVERHEAD)).cast("long")
-    total = entries.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    n = max(1, math.ceil(total / most))
+    n = max(1, math.ceil(total_bytes(entries) / most))
     entries = durable(entries) if n > 1 else entries  # each part reads them
     for k in range(n):
         own = entries.where(F.pmod(F.xxhash64("form"), F.lit(n)) == k) if n > 1 else entries

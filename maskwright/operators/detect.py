@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed as X
 from ..functions import scalars as S
-from .automata import AUTOMATON_BYTES, found_in
+from .automata import AUTOMATON_BYTES, found_in, total_bytes
+from .ranking import durable
 
 SPAN = "struct<cls:string,start:int,end:int,value:string,valid:boolean,token:string,layer:string>"
 NO_SPANS = f"array<{SPAN}>"
@@ -140,20 +142,58 @@ def clean_terms(raw: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(raw, r"[,\n]"), S.strip), lambda t: F.length(t) >= 3))
 
 
-def dictionary_spans(texts: DataFrame, terms: DataFrame, text: str = "text", most: int = AUTOMATON_BYTES) -> DataFrame:
+def words_of(text: Column | str) -> Column:
+    """The distinct words of a text, folded so far that what a case-insensitive pattern matches is the same words."""
+    put = lambda c, a, b: F.replace(c, F.lit(a), F.lit(b))
+    # what is put in between keeps the optimizer from taking lower(upper(x)) for lower(x)
+    folded = put(put(F.lower(put(F.upper(put(text, "ẞ", "ß")), "\u0307", "")), "\u0307", ""), "ς", "σ")
+    return F.array_distinct(F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+
+
+#: The one mark whose capital is a letter: part of a word, or the border of one.
+_IOTA = "\u0345"
+
+
+def _met(rows: DataFrame, entries: DataFrame, text: str, key: str) -> DataFrame:
+    """key and _terms of the rows that may hold terms, by the word of each term that the fewest terms have."""
+    entry = [c for c in entries.columns if c not in ("form", "kind")]
+    each = entries.select(F.struct(*entry).alias("e"), F.explode(words_of(F.col("form"))).alias("w"))
+    common = each.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    sought = each.join(common, "w").groupBy("e").agg(F.min_by("w", F.struct("n", "w")).alias("w"))
+    words = words_of(F.col(text))
+    words = F.when(F.contains(text, F.lit(_IOTA)), F.array_union(words, words_of(F.replace(text, F.lit(_IOTA), F.lit(" "))))).otherwise(words)
+    return rows.select(key, F.explode(words).alias("w")).join(sought, "w").groupBy(key).agg(F.collect_set("e").alias("_terms"))
+
+
+def dictionary_spans(texts: DataFrame, terms: DataFrame, text: str = "text", most: int = AUTOMATON_BYTES, key: str | None = None) -> DataFrame:
     """texts with a column dict_spans: merged spans of the terms (term, cls, token), longer terms first, equal ones in the
     order of the terms' column `ord`, or of the term where there is none.
 
-    Each text is read by an automaton of all terms and meets only those that it may hold; no word of it travels.
+    Each text is read by an automaton of all terms and meets only those that it may hold; no word of it travels. key: a
+    column that tells the texts apart; with it, terms that one automaton can't hold meet the texts by a join on words, so
+    that no task and not the driver holds them all.
     """
     order = F.col("ord") if "ord" in terms.columns else F.col("term")
     entries = terms.where(S.strip(F.col("term")) != "").select(F.col("term").alias("form"), F.lit("text").alias("kind"), (-F.length("term")).alias("k"), order.alias("o"), F.col("term").alias("t"), "cls", "token", term_pattern(F.col("term")).alias("pattern"))
-    # a generated column, so that the automaton runs once
-    met = texts.drop("dict_spans").select("*", F.explode(F.array(F.array_sort(F.array_distinct(found_in(F.col(text), entries, most=most))))).alias("_terms"))
+    rows = texts.drop("dict_spans")
+    if key is not None and total_bytes(entries) > most:
+        rows, entries = durable(rows), durable(entries)
+        bare = entries.where(F.size(words_of(F.col("form"))) == 0)  # signs alone
+        held = F.coalesce("_met", F.array().cast(_kind(entries)))
+        hits = F.concat(held, found_in(F.col(text), bare, most=most)) if not bare.isEmpty() else held
+        rows = rows.join(_met(rows, entries, text, key).withColumnRenamed("_terms", "_met"), key, "left")
+        met = rows.select("*", F.explode(F.array(F.array_sort(F.array_distinct(hits)))).alias("_terms")).drop("_met")
+    else:
+        # a generated column, so that the automaton runs once
+        met = rows.select("*", F.explode(F.array(F.array_sort(F.array_distinct(found_in(F.col(text), entries, most=most))))).alias("_terms"))
     found = F.transform("_terms", lambda r: F.transform(matches(F.col(text), r["pattern"]), lambda m: span(r["cls"], m["start"], m["start"] + F.length(m["value"]), m["value"], token=r["token"])))
     return met.withColumn("dict_spans", F.when(F.size("_terms") == 0, no_spans()).otherwise(merged(F.flatten(found)))).drop("_terms")
 
 
+def _kind(entries: DataFrame) -> T.ArrayType:
+    return T.ArrayType(T.StructType([f for f in entries.schema.fields if f.name not in ("form", "kind")]))
+
+
 def replaced(text: Column, spans: Column, shown) -> Column:
     """The text with each span (sorted, apart) replaced by shown(span)."""
     state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))

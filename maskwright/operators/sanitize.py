@@ -37,7 +37,7 @@ def apply_vault(items: DataFrame, vault: DataFrame) -> DataFrame:
     told = held.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("i", "s", "t"))).alias("ts"))
     s = lambda x: D.span(x["s"]["cls"], x["s"]["start"], x["s"]["end"], x["s"]["value"], x["s"]["valid"], F.coalesce(x["t"], x["s"]["token"]), x["s"]["layer"])
     rows = items.join(told.select("item", F.transform("ts", s).alias("own")), "item", "left")
-    rows = D.dictionary_spans(rows, dictionary(vault))
+    rows = D.dictionary_spans(rows, dictionary(vault), key="item")
     rows = rows.withColumn("shown", D.merged(F.coalesce("own", D.no_spans()), F.col("dict_spans")))
     return rows.withColumn("clean", D.replaced(F.col("text"), F.col("shown"), lambda x: x["token"])).withColumn("hit", F.size("shown") > 0).drop("own", "dict_spans")
 

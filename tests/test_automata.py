@@ -35,6 +35,20 @@ def test_dictionary_spans_equal_a_search_for_each_term(spark, most):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_terms_of_many_automata_meet_texts_by_words(spark):
+    """The same spans as by automata, and no term passes the driver but those without a word."""
+    rng = np.random.default_rng(3)
+    odd = ["İzmir", "izmir", "ΟΔΟΣ", "οδος x", "a\u0345b", "aιb", "\u0345Asha", "Lake\u00a0Road", "u7@mail.example", "U7@MAIL.example"]
+    texts = texts_of(rng, 40) + [f"{a}, {b}" for a in odd for b in odd]
+    terms = ["Asha", "Lake Road", "straße", "x1", "!!", "A.B", "é", "  ", "izmir", "οδος", "a\u0345b", "Asha Rao", *[f"u{i}@mail.example" for i in range(30)]]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "item int, text string")
+    told = spark.createDataFrame([(t, "NAME", f"t{i}", i) for i, t in enumerate(terms)], "term string, cls string, token string, ord int")
+    of = lambda df: {r.item: [(s.start, s.end, s.token) for s in r.dict_spans] for r in df.collect()}
+    joined = detect.dictionary_spans(frame, told, most=200, key="item")
+    assert of(joined) == of(detect.dictionary_spans(frame, told))
+    assert joined._jdf.queryExecution().toString().count("ArrowEvalPython") <= 5  # analyzed to executed plan: one for all
+
+
 @pytest.mark.parametrize("most", [automata.AUTOMATON_BYTES, 150])
 def test_leaks_equal_a_search_for_each_value(spark, most):
     rng = np.random.default_rng(2)
