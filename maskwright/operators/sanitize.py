@@ -89,9 +89,10 @@ def sanitize(snapshots: DataFrame, vision: DataFrame, known: DataFrame | None =
     slot = secret_slot(F.col("source"), F.col("e.label"), F.col("e.name"), F.col("e.idAttr"))
     el = el.withColumn("whole_cls", F.when(F.col("kind") == "secret", "SECRET").when(F.col("kind") == "field", F.col("fc")))
     el = el.withColumn("whole_value", F.when(F.col("kind") == "secret", slot).when(F.col("kind") == "field", F.col("e.value")))
+    # what several later steps read is written once
+    el = durable(el)
 
     rasters = raster_vision(snapshots.select("snapshot_id", "source", F.explode("rasters").alias("r")).select("snapshot_id", "source", "r.vid", "r.kind", "r.alt", S.box_from(F.col("r.bbox")).alias("bbox")), vision)
-    # what several later steps read is written once
     rasters = durable(rasters)
     lines = durable(image_lines(rasters))
     tx = snapshots.select("snapshot_id", "source", F.explode("texts").alias("t"))

@@ -111,7 +111,7 @@ def _screens(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     )
     text = lambda vid, t: F.struct(F.lit(vid).alias("vid"), t.alias("text"), F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0), F.lit(4.0)).alias("bbox"), D.block_spans(t, F.lit(None).cast("string")).alias("spans"))
     raster = F.struct(F.lit(9).alias("vid"), F.lit("img").alias("kind"), _text("Photo of ", name).alias("alt"), F.array(F.lit(200.0), F.lit(5.0), F.lit(300.0), F.lit(105.0)).alias("bbox"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("array<double>").alias("inner"))
-    made = _read(spark, sf_dir, "customer").select(
+    made = spread(_read(spark, sf_dir, "customer"), "c_custkey").select(
         _padded(k, 9).alias("snapshot_id"), _text("s", k).alias("source"), _text("https://bank.example/accounts/", k, "/profile?x=1").alias("url"), _text("Open account for ", name).alias("title"), F.array(F.lit(1280), F.lit(720)).alias("viewport"),
         F.lit(1.0).alias("dpr"), F.lit(1).alias("ms"), elements.alias("elements"), F.array(text(7, F.lit("Aadhaar: 4821 6630 1979")), text(8, _text("Welcome back, ", name))).alias("texts"), F.array(raster).alias("rasters"),
     )

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from maskwright import screen_queries
 from maskwright.operators import names, vision
 
 
@@ -77,3 +78,7 @@ def test_analysed_images(spark, customers):
     again, _ = vision.face_input(img[:, :30], vision.face_input(np.full((9, 9, 4), 200, np.uint8))[0])  # written over
     assert (again == vision.face_input(img[:, :30].copy())[0]).all() and not (again == x).all()
     assert (vision.resize(np.full((3, 5, 4), 77, np.uint8), 11, 9) == 77).all()
+
+
+def test_screens(spark, customers):
+    assert tasks_with_rows(screen_queries._screens(spark, customers)[0]) > 1
