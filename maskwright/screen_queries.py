@@ -60,7 +60,7 @@ def scan_texts(spark, sf_dir):
         "<div>Name</div><div>", F.col("c_name"), "</div><p>Write to <b>now</b> user", k, "@mail.example or call +91 98", _padded(k % 1000, 3), " 12345</p><script>4111 1111 1111 1111</script><style>x</style><h2>Total 5</h2>",
         F.repeat(F.lit("<li>item</li>"), (k % 3 * 210).cast("int")),
     )
-    s = dom.scan_pages(_read(spark, sf_dir, "customer").select("c_custkey", html.alias("html")), "c_custkey")
+    s = dom.scan_pages(spread(_read(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", html.alias("html")), "c_custkey")
     spans = F.flatten(F.transform("texts", lambda t: F.transform(t["spans"], lambda x: F.concat_ws(" ", x["cls"], x["value"]))))
     return s.select("c_custkey", F.size("texts").alias("n_texts"), F.array_join(spans, ",").alias("spans"))
 

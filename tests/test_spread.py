@@ -6,6 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from maskwright import screen_queries
 from maskwright.operators import names, vision
+from maskwright.sources import dom
 
 
 @pytest.fixture(scope="module")
@@ -82,3 +83,13 @@ def test_analysed_images(spark, customers):
 
 def test_screens(spark, customers):
     assert tasks_with_rows(screen_queries._screens(spark, customers)[0]) > 1
+
+
+def test_scan_texts(spark, customers):
+    assert tasks_with_rows(entry.queries()["scan_texts"](spark, customers)) > 1
+    page = "<p>Mobile</p><p>9876543210</p><p>x</p><p>9876543210</p><p>Full name</p><p>Asha</p><p>Plan</p><p>Asha</p><title>a&lt</title><P >b</P ><script><p>c</p></script>"
+    row = dom.scan_pages(spark.createDataFrame([(1, page)], "page_id int, html string")).first()
+    assert row.asDict().keys() == {"page_id", "title", "elements", "texts", "rasters"} and row.title == "a<"
+    assert [(t.vid, t.text, [(s.cls, s.value) for s in t.spans]) for t in row.texts] == [
+        (1, "Mobile", []), (2, "9876543210", [("PHONE", "9876543210")]), (3, "x", []), (4, "9876543210", [("PHONE", "9876543210")]), (5, "Full name", []), (6, "Asha", [("NAME", "Asha")]), (7, "Plan", []), (8, "Asha", []), (9, "b", []),
+    ]
