@@ -62,7 +62,7 @@ class Sought:
                 digits = e["kind"] == "digits"
                 form = e["form"] if digits else fold(e["form"])
                 if form:
-                    forms[digits].setdefault(form, []).append(i)
+                    forms[digits].setdefault(form, {}).setdefault(e.get("scope"), []).append(i)
             made = []
             for own in forms:
                 a = ahocorasick.Automaton()
@@ -76,18 +76,20 @@ class Sought:
 
     def found(self, text: str | None, scope: str | None) -> list[int]:
         """Which entries a text may hold."""
-        if not text:
+        if not text or not self.entries:
             return []
         out = {}
+        scope = scope if "scope" in self.entries[0] else None  # a hit meets the entries of its scope, however many others have its form
         for automaton, read in zip(self._automata(), (fold, squeezed), strict=True):
             if automaton is None:
                 continue
             whole = read(text)
             for end, (size, at) in automaton.iter(whole):
+                if (own := at.get(scope)) is None:
+                    continue
                 free = not (end + 1 < len(whole) and _is_word(whole[end + 1]) or end >= size and _is_word(whole[end - size]))
-                for i in at:
-                    e = self.entries[i]
-                    if (free or e["kind"] != "word") and ("scope" not in e or e["scope"] == scope):
+                for i in own:
+                    if free or self.entries[i]["kind"] != "word":
                         out[i] = True
         return list(out)
 

@@ -68,6 +68,21 @@ def test_a_text_is_folded_like_what_it_may_match():
     assert sought.found("no. 12-34 56", None) == [2] and sought.found("12--3456", None) == [] and sought.found("book ok", None) == [3] and sought.found("book", None) == []
 
 
+def test_a_hit_meets_the_entries_of_its_scope_alone():
+    """One word of many scopes: each text reads the entries of its own."""
+
+    class Read(list):
+        n = 0
+
+        def __getitem__(self, i):
+            Read.n += 1
+            return super().__getitem__(i)
+
+    sought = automata.Sought(Read({"form": "asha", "kind": "text", "scope": f"s{i}"} for i in range(5000)))
+    assert [sought.found("Asha, asha", f"s{i}") for i in (0, 4999, 7)] == [[0], [4999], [7]] and sought.found("Asha", "none") == sought.found("Asha", None) == []
+    assert Read.n < 100
+
+
 def leaves(x, path=""):
     if isinstance(x, str):
         yield path, x
